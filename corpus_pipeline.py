@@ -1,0 +1,10 @@
+"""The corpus pipeline: each stage works on all that the one before it kept."""
+
+STAGES = []
+
+
+def run(spark, sf_dir):
+    raise NotImplementedError
+
+
+ORACLE_SQL = None
