@@ -1,10 +1,64 @@
-"""The corpus pipeline: each stage works on all that the one before it kept."""
+"""The corpus pipeline: each stage works on all that the one before it kept.
 
-STAGES = []
+Quality classifier (rejected documents go), n-gram Jaccard join (the smallest id of each group stays), benchmark
+decontamination (documents that hold an item go), secret scan (live secrets are replaced in the text), byte-level
+BPE (ids of the text, and whether they decode to it). Documents with a null id can't be named as copies or as
+contaminated, and stay; rows that repeat an id with the same group count as copies.
+"""
 
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from lemmaflow.llm import byte_bpe, decontaminate, jaccard_join, quality_classifier, secret_scan
+from lemmaflow.llm.common import materialize, table
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ratings = quality_classifier.grades_of(table(spark, sf_dir, "labels"))
+    return quality_classifier.classify(docs, ratings).where("kept").select(docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = jaccard_join.jaccard_components(docs)
+    copies = groups.groupBy("doc_id").agg(F.min("component_id").alias("of"), F.count(F.lit(1)).alias("n"))
+    known = copies.where("doc_id <> of or n > 1")
+    known = materialize(known)
+    kept = docs.join(known.select("doc_id"), "doc_id", "left_anti")
+    again = docs.join(known.where("doc_id = of").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.select(docs.columns).union(again.select(docs.columns))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    redacted = secret_scan.redact_secrets(docs)
+    return redacted.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ids = byte_bpe.encode(docs, path, public_tokenizers.PATTERN)
+    both = byte_bpe.decode(ids, path)
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return both.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("decodes_to_text"))
+
+
+STAGES = [
+    ("quality_classifier", keep_good),
+    ("ngram_jaccard_join", drop_copies),
+    ("decontamination", drop_contaminated),
+    ("secret_scans", redact_secrets),
+    ("byte_bpe", encode),
+]
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

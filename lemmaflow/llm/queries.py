@@ -1,16 +1,50 @@
 """The registered queries: each applies its operator to a whole table and derives the contract's columns."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lemmaflow.llm import chat_format, jaccard_join, quality_rules, secret_scan
-from lemmaflow.llm.common import table
+from lemmaflow.llm import (
+    byte_bpe,
+    chat_format,
+    decontaminate,
+    jaccard_join,
+    language_id,
+    personal_data,
+    quality_classifier,
+    quality_rules,
+    secret_scan,
+    warc,
+)
+from lemmaflow.llm.common import scratch, table
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ratings = quality_classifier.grades_of(table(spark, sf_dir, "labels"))
+    return quality_classifier.classify(docs, ratings).drop("text")
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ids = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
+    both = byte_bpe.decode(ids.select("doc_id", "ids"), path)
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin(secret_scan.BASE))
@@ -39,14 +73,74 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_examples(said.unionByName(own)))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"].isin(personal_data.BASE))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{k}") for k in personal_data.BASE],
+        F.sha2(secret_scan.written(base), 256).alias("base_sha256"),
+        secret_scan.written(F.col("spans")).alias("spans"),
+    )
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language_id.identify(docs, F.coalesce(language_id.fold() != 2, F.lit(False)))
+    held_out = F.coalesce(language_id.fold() == 2, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch(spark)
+    warc.write_archives(table(spark, sf_dir, "pages"), out)
+    return warc.read_archives(spark, out).drop("url")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_quality_classifier": op2_quality_classifier,
+    "op3_byte_bpe": op3_byte_bpe,
+    "op10_decontamination": op10_decontamination,
     "op4_secret_scans": op4_secret_scans,
     "op5_chat_formatting": op5_chat_formatting,
+    "op6_personal_data": op6_personal_data,
+    "op7_language_id": op7_language_id,
+    "op9_warc": op9_warc,
     "op8_quality_rules": op8_quality_rules,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_chat_formatting": """
+        WITH own AS (
+          SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+          UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        sized AS (
+          SELECT *, 14 + sum(length(role) + length(text)
+              + length(regexp_replace(role || text, '[^\\\\<\\[\\]]', '', 'g'))) OVER w
+              + 14 * (row_number() OVER w - 1) AS prefix_chars,
+            row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS from_end
+          FROM own WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING))
+        SELECT conv_id, count(*) AS n_turns,
+          sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+          coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+          sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+          (sum(prefix_chars) FILTER (role = 'assistant' OR from_end = 1))::BIGINT AS formatted_chars,
+          count(*) FILTER (role = 'assistant') AS n_examples
+        FROM sized GROUP BY conv_id""",
+    "op9_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest,
+            CASE WHEN strlen(html) >= 100 THEN min(page_id) OVER (PARTITION BY html) END AS first_id FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+          CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+          CASE WHEN first_id <> page_id THEN first_id END AS refers_to FROM d""",
+}
