@@ -1,0 +1,97 @@
+"""Canonical names of symbols and variables, from token tables."""
+
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+_token = re.compile(r"[A-Za-z0-9_][A-Za-z0-9_$:]*")
+TOKENS = "key string, tok int, start int, end int, name string, kind string, arity int"
+
+
+def scan_tokens(formula: str) -> list[tuple]:
+    """(tok, start, end, name, kind, arity) in order; kind is variable, predicate, function or constant.
+
+    A call inside another call, or beside = or !=, is a function; other calls are predicates.
+    """
+    calls: list[bool] = []
+    out: list[list] = []
+    open_at: list[int | None] = []
+    last, pending = 0, None
+    for m in re.finditer(r"[A-Za-z0-9_][A-Za-z0-9_$:]*|[(),\[\]]|!?=", formula):
+        s = m[0]
+        if s in "([":
+            is_call = s == "(" and pending is not None and not formula[last : m.start()].strip()
+            calls.append(is_call)
+            open_at.append(pending if is_call else None)
+            if is_call:
+                out[pending][5] = 1
+        elif s in ")]":
+            if calls:
+                calls.pop()
+                owner = open_at.pop()
+                if owner is not None and re.match(r"\s*!?=", formula[m.end() :]):
+                    out[owner][4] = "function"
+        elif s == ",":
+            if open_at and open_at[-1] is not None:
+                out[open_at[-1]][5] += 1
+        elif _token.match(s):
+            name = s.split(":")[0]
+            beside = re.search(r"=\s*$", formula[: m.start()]) or re.match(r"\s*!?=", formula[m.end() :])
+            call = re.match(r"\s*\(", formula[m.end() :])
+            if name[:1].isupper():
+                kind = "variable"
+            elif call:
+                kind = "function" if any(calls) or beside else "predicate"
+            else:
+                kind = "constant" if any(calls) or beside else "predicate"
+            out.append([len(out), m.start(), m.end(), name, kind, 0])
+            pending, last = len(out) - 1, m.end()
+            continue
+        pending = None
+    return [tuple(x) for x in out]
+
+
+def formula_tokens(rows: DataFrame) -> DataFrame:
+    """rows: key (string), formula. One row per token; offsets are in code points."""
+    names = [x.split()[0] for x in TOKENS.split(", ")]
+    types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(k, *t) for k, f in zip(batch["key"].to_pylist(), batch["formula"].to_pylist(), strict=True) for t in scan_tokens(f or "")]
+            columns = list(zip(*found, strict=True)) if found else [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+    return rows.select("key", "formula").mapInArrow(run, TOKENS)
+
+
+def number_symbols(tokens: DataFrame) -> DataFrame:
+    """tokens: batch, ord, tok, name, kind, arity. batch, name, arity, kind, canon by first occurrence in each batch and prefix."""
+    prefix = F.upper(F.substring("kind", 1, 1))
+    first = tokens.where("kind <> 'variable'").groupBy("batch", "name", "arity", "kind").agg(F.min(F.struct("ord", "tok")).alias("first"))
+    rank = F.row_number().over(Window.partitionBy("batch", "kind").orderBy("first"))
+    return first.withColumn("canon", F.concat(prefix, rank.cast("string"))).drop("first")
+
+
+def number_variables(tokens: DataFrame) -> DataFrame:
+    """key, name, canon: V0, V1, ... by first occurrence in each clause."""
+    first = tokens.where("kind = 'variable'").groupBy("key", "name").agg(F.min("tok").alias("first"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("first")) - 1
+    return first.select("key", "name", F.concat(F.lit("V"), rank.cast("string")).alias("canon"))
+
+
+def rewrite(rows: DataFrame, tokens: DataFrame, symbols: DataFrame, variables: DataFrame) -> DataFrame:
+    """rows: key, batch, formula. key, canonical: each token by its canonical name, all else as it was."""
+    named = tokens.join(symbols, ["batch", "name", "arity", "kind"], "left").join(variables.withColumnRenamed("canon", "v"), ["key", "name"], "left")
+    per = named.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.coalesce("v", "canon", "name").alias("to")))).alias("parts"))
+
+    def step(state, p):
+        more = F.concat(state["text"], F.substr("formula", state["at"] + 1, p["start"] - state["at"]), p["to"])
+        return F.struct(more.alias("text"), p["end"].alias("at"))
+
+    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
+    done = F.aggregate("parts", start, step, lambda s: F.concat(s["text"], F.substr("formula", s["at"] + 1, F.length("formula"))))
+    return rows.join(per, "key").select("key", done.alias("canonical"))

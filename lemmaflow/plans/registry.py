@@ -1,4 +1,546 @@
 """Queries over the driver's tables, with their SQL twins."""
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lemmaflow.functions import scores, text
+from lemmaflow.operators import canonical, evaluation, labeling, scoring
+from lemmaflow.streaming import replay as streaming
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def clause_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a log of clauses: a user is a problem, an event a clause and its last message."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    order = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
+    e = _read(spark, sf_dir, "events").select(
+        F.col("user_id").alias("problem"), F.col("event_id").alias("clause_id"), "event_type", k.alias("k"), order.alias("born")
+    )
+    kind = F.col("event_type")
+    formula = F.concat(
+        F.lit("tcf(c_"), F.col("clause_id"), F.lit(",plain,(![X0:$i]: (~p_"), F.col("k") % 9, F.lit("(X0)|q_"), kind, F.lit("(X0,c_"), F.col("problem") % 7, F.lit(")))),inference(x)")
+    )
+    return e.select(
+        "problem",
+        "clause_id",
+        "event_type",
+        "k",
+        "born",
+        F.col("born").alias("ord"),
+        (F.col("k") % 7).alias("conj_dist"),
+        (F.col("k") % 2 == 0).alias("horn"),
+        (F.col("k") % 3 == 0).alias("unit"),
+        F.when(F.col("k") % 13 != 0, F.expr("born div 2")).alias("basic_clause_id"),
+        (kind == "purchase").alias("is_proof"),
+        ((kind == "click") | (F.col("k") % 11 == 0)).alias("is_given"),
+        (kind == "error").alias("is_simplified"),
+        ((kind == "view") | (F.col("k") % 5 == 0)).alias("is_passive"),
+        formula.alias("text"),
+    )
+
+
+CL = """WITH e AS (SELECT user_id AS problem, event_id AS clause_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS born FROM events),
+  clause_log AS (SELECT *, born AS ord, k % 7 AS conj_dist, k % 2 = 0 AS horn, k % 3 = 0 AS unit,
+    CASE WHEN k % 13 <> 0 THEN born // 2 END AS basic_clause_id, event_type = 'purchase' AS is_proof,
+    event_type = 'click' OR k % 11 = 0 AS is_given, event_type = 'error' AS is_simplified, event_type = 'view' OR k % 5 = 0 AS is_passive,
+    'tcf(c_' || clause_id || ',plain,(![X0:$i]: (~p_' || (k % 9) || '(X0)|q_' || event_type || '(X0,c_' || (problem % 7) || ')))),inference(x)' AS text FROM e),
+  labelled AS (SELECT *, CASE WHEN is_proof THEN 1 ELSE 0 END AS label, CASE WHEN is_proof THEN NULL WHEN is_given THEN 'NEG_given_nonproof'
+    WHEN is_simplified THEN 'NEG_simplified' WHEN is_passive THEN 'NEG_passive_only' ELSE 'NEG_never_seen' END AS neg_bucket FROM clause_log)"""
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labeling.label_rows(clause_log(spark, sf_dir))
+
+
+@query(CL + " SELECT problem, clause_id, label, neg_bucket, basic_clause_id FROM labelled")
+def label_buckets(spark, sf_dir):
+    return labelled(spark, sf_dir).select("problem", "clause_id", "label", "neg_bucket", "basic_clause_id")
+
+
+@query(CL + " SELECT problem, coalesce(neg_bucket, 'POS') AS bucket, count(*) AS n FROM labelled GROUP BY ALL")
+def bucket_counts(spark, sf_dir):
+    return labelled(spark, sf_dir).groupBy("problem", F.coalesce("neg_bucket", F.lit("POS")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Two clauses make one message here, so that messages of several ids are tested.
+GIVEN_MESSAGES = " given AS (SELECT problem, (born - 1) // 2 AS msg_pos, born AS item_pos, clause_id FROM clause_log WHERE is_given)"
+
+
+def _given(spark, sf_dir):
+    rows = clause_log(spark, sf_dir).where("is_given")
+    return rows.select("problem", F.expr("(born - 1) div 2").alias("msg_pos"), F.col("born").alias("item_pos"), "clause_id")
+
+
+@query(
+    CL
+    + ","
+    + GIVEN_MESSAGES
+    + """, m AS (SELECT problem, msg_pos, count(*) AS n FROM given GROUP BY ALL),
+    b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY problem ORDER BY msg_pos DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM m),
+    r AS (SELECT g.*, row_number() OVER (PARTITION BY g.problem ORDER BY g.msg_pos DESC, item_pos) AS r, count(*) OVER (PARTITION BY g.problem) AS total
+      FROM given g JOIN b ON g.problem = b.problem AND g.msg_pos = b.msg_pos WHERE before < 4)
+    SELECT problem, clause_id, total - r AS rank FROM r WHERE r > total - 4"""
+)
+def last_given_frontier(spark, sf_dir):
+    return labeling.last_given(_given(spark, sf_dir), 4)
+
+
+@query(
+    CL
+    + """, s AS (SELECT *, CASE WHEN horn THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END - 0.001::DOUBLE * born - 0.0001::DOUBLE * conj_dist AS score FROM clause_log
+      WHERE is_passive AND NOT is_given AND NOT is_simplified),
+    r AS (SELECT problem, clause_id, score, row_number() OVER (PARTITION BY problem ORDER BY score DESC, clause_id) AS rank FROM s)
+    SELECT problem, clause_id, round(score, 6) AS score, rank FROM r WHERE rank <= 8"""
+)
+def passive_only_sample(spark, sf_dir):
+    return labeling.passive_sample(clause_log(spark, sf_dir)).select("problem", "clause_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+FRONTIER = """, g AS (SELECT problem, clause_id, row_number() OVER (PARTITION BY problem ORDER BY born DESC) AS r FROM clause_log WHERE is_given),
+    fr AS (SELECT problem, clause_id FROM g WHERE r <= 4),
+    neg0 AS (SELECT l.*, fr.clause_id IS NOT NULL AS frontier, min(born) OVER (PARTITION BY l.problem) AS lo, max(born) OVER (PARTITION BY l.problem) AS hi
+      FROM labelled l LEFT JOIN fr ON l.problem = fr.problem AND l.clause_id = fr.clause_id WHERE label = 0),
+    neg AS (SELECT *, CASE WHEN frontier THEN 12.0::DOUBLE ELSE 0.0::DOUBLE END
+      + 5.0::DOUBLE * CASE WHEN hi <= lo THEN 0.0::DOUBLE ELSE (born - lo)::DOUBLE / (hi - lo)::DOUBLE END
+      + CASE WHEN unit THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN horn THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
+      + greatest(0.0::DOUBLE, 5.0::DOUBLE - conj_dist) AS score FROM neg0)"""
+
+
+def _frontier(spark, sf_dir):
+    rows = clause_log(spark, sf_dir).where("is_given")
+    one = rows.select("problem", F.col("born").alias("msg_pos"), F.lit(0).alias("item_pos"), "clause_id")
+    return labeling.last_given(one, 4)
+
+
+@query(CL + FRONTIER + " SELECT problem, clause_id, frontier, round(score, 6) AS score FROM neg")
+def neg_score(spark, sf_dir):
+    rows = labeling.scored_negatives(labelled(spark, sf_dir), _frontier(spark, sf_dir))
+    return rows.select("problem", "clause_id", "frontier", F.round("score", 6).alias("score"))
+
+
+DEDUP = """, pd AS (SELECT *, row_number() OVER (PARTITION BY problem, coalesce(basic_clause_id, clause_id) ORDER BY born, ord) AS best,
+      min(ord) OVER (PARTITION BY problem, coalesce(basic_clause_id, clause_id)) AS first_ord FROM labelled WHERE label = 1),
+    pos AS (SELECT problem, clause_id, label, neg_bucket, row_number() OVER (PARTITION BY problem ORDER BY first_ord) AS pos_rank FROM pd WHERE best = 1)"""
+
+
+@query(CL + DEDUP + " SELECT problem, clause_id, pos_rank FROM pos")
+def dedup_positives(spark, sf_dir):
+    return labeling.dedup_positives(labelled(spark, sf_dir).where("label = 1")).select("problem", "clause_id", F.col("pos_rank").cast("long").alias("pos_rank"))
+
+
+@query(
+    CL
+    + """, r AS (SELECT problem, clause_id, row_number() OVER (PARTITION BY problem ORDER BY born, ord) AS r, count(*) OVER (PARTITION BY problem) AS n FROM labelled WHERE neg_bucket = 'NEG_given_nonproof')
+    SELECT problem, clause_id, CASE WHEN n < 3 THEN 'late' WHEN r <= greatest(1, n // 3) THEN 'early' WHEN r <= 2 * greatest(1, n // 3) THEN 'mid' ELSE 'late' END AS section FROM r"""
+)
+def born_slices(spark, sf_dir):
+    rows = labelled(spark, sf_dir).where(F.col("neg_bucket") == labeling.GIVEN)
+    return rows.select("problem", "clause_id", labeling.born_section(["problem"]).alias("section"))
+
+
+@query(
+    CL
+    + FRONTIER
+    + DEDUP
+    + """, np AS (SELECT problem, count(*) AS n_pos FROM pos GROUP BY 1),
+    q AS (SELECT neg.*, least(CASE WHEN coalesce(n_pos, 0) > 0 THEN n_pos ELSE 300 END, 1000) AS t FROM neg LEFT JOIN np USING (problem)),
+    q2 AS (SELECT *, t // 2 AS qg, t // 5 AS qs, t // 4 AS qp, t - t // 2 - t // 5 - t // 4 AS qn,
+      CASE WHEN neg_bucket <> 'NEG_given_nonproof' THEN neg_bucket WHEN frontier THEN 'frontier' ELSE 'open' END AS kind0 FROM q WHERE t > 0),
+    q3 AS (SELECT *, row_number() OVER (PARTITION BY problem, kind0 ORDER BY born, ord) AS br, count(*) OVER (PARTITION BY problem, kind0) AS bn FROM q2),
+    q4 AS (SELECT *, CASE WHEN kind0 <> 'open' THEN kind0 WHEN bn < 3 THEN 'late' WHEN br <= greatest(1, bn // 3) THEN 'early' WHEN br <= 2 * greatest(1, bn // 3) THEN 'mid' ELSE 'late' END AS kind FROM q3),
+    q5 AS (SELECT *, CASE WHEN kind = 'NEG_never_seen' THEN row_number() OVER (PARTITION BY problem, kind ORDER BY clause_id)
+        WHEN kind IN ('early', 'mid', 'late') THEN row_number() OVER (PARTITION BY problem, kind ORDER BY score DESC, born, ord)
+        ELSE row_number() OVER (PARTITION BY problem, kind ORDER BY score DESC, ord) END AS r,
+      count(*) FILTER (kind = 'frontier') OVER (PARTITION BY problem) AS nf, count(*) FILTER (kind = 'early') OVER (PARTITION BY problem) AS ne,
+      count(*) FILTER (kind = 'mid') OVER (PARTITION BY problem) AS nm, count(*) FILTER (kind = 'late') OVER (PARTITION BY problem) AS nl FROM q4),
+    q6 AS (SELECT *, CASE WHEN nf > 0 AND qg > 0 THEN greatest(1, least(nf, qg // 3)) ELSE 0 END AS tf FROM q5),
+    q7 AS (SELECT *, qg - tf AS rem, CASE WHEN qg - tf > 0 THEN greatest(1, (qg - tf) // 3) ELSE 0 END AS sec FROM q6),
+    q8 AS (SELECT *, least(sec, ne) AS e_n FROM q7), q9 AS (SELECT *, CASE WHEN rem - e_n > 0 THEN least(sec, nm) ELSE 0 END AS m_n FROM q8),
+    q10 AS (SELECT *, CASE WHEN rem - e_n - m_n > 0 THEN least(sec, nl) ELSE 0 END AS l_n FROM q9),
+    q11 AS (SELECT *, CASE WHEN kind = 'frontier' AND r <= tf THEN 1 WHEN kind = 'early' AND r <= e_n THEN 2 WHEN kind = 'mid' AND r <= m_n THEN 3 WHEN kind = 'late' AND r <= l_n THEN 4
+      WHEN kind = 'NEG_simplified' AND r <= qs THEN 6 WHEN kind = 'NEG_passive_only' AND r <= qp THEN 7 WHEN kind = 'NEG_never_seen' AND r <= qn THEN 8 END AS part0 FROM q10),
+    q12 AS (SELECT *, part0 IS NULL AND kind IN ('early', 'mid', 'late') AS ol FROM q11),
+    q13 AS (SELECT *, CASE WHEN ol AND row_number() OVER (PARTITION BY problem, ol ORDER BY score DESC, ord) <= rem - e_n - m_n - l_n THEN 5 ELSE part0 END AS part1 FROM q12),
+    q14 AS (SELECT *, count(part1) OVER (PARTITION BY problem) AS taken, row_number() OVER (PARTITION BY problem, part1 IS NULL ORDER BY score DESC, ord) AS tr FROM q13),
+    q15 AS (SELECT problem, clause_id, label, neg_bucket, CASE WHEN part1 IS NULL AND tr <= t - taken THEN 9 ELSE part1 END AS part FROM q14)
+    SELECT problem, clause_id, label, neg_bucket, 0 AS part FROM pos UNION ALL SELECT * FROM q15 WHERE part IS NOT NULL"""
+)
+def negative_sampling(spark, sf_dir):
+    return labeling.sample_negatives(labelled(spark, sf_dir), _frontier(spark, sf_dir), mult=1)
+
+
+@query(
+    CL
+    + """ SELECT clause_id, regexp_replace(regexp_replace(regexp_replace(CASE WHEN contains(text, 'file(') THEN split_part(text, 'file(', 1)
+      ELSE split_part(text, 'inference(', 1) END, '\\s+$', ''), ',$', ''), '\\s+$', '') AS cleaned FROM clause_log"""
+)
+def clean_clause_text(spark, sf_dir):
+    return clause_log(spark, sf_dir).select("clause_id", text.clean_clause(F.col("text")).alias("cleaned"))
+
+
+@query(
+    r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\b\w{41,}\b', '<SYM_LONG>', 'g'), '\b[A-Z]\w*\b', 'VAR', 'g'),
+      '([()=,~&|])', ' \1 ', 'g'), '\s+', ' ', 'g')) AS normalized FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]')"""
+)
+def clause_normalize(spark, sf_dir):
+    """ASCII texts only: word boundaries of the two engines differ beyond."""
+    docs = _read(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    return docs.select("doc_id", text.normalize_text(F.col("text")).alias("normalized"))
+
+
+PREFIX = """'<H' || horn::INT || '><U' || unit::INT || '><E0><C' || CASE WHEN conj_dist <= 0 THEN 0 WHEN conj_dist <= 2 THEN 1 WHEN conj_dist <= 5 THEN 2 ELSE 3 END
+    || '><B' || CASE WHEN born <= 0 THEN 0 WHEN born <= 8 THEN 1 WHEN born <= 32 THEN 2 ELSE 3 END || '> '"""
+
+
+def _prefix():
+    return text.feature_prefix(F.col("horn"), F.col("unit"), F.lit(None), F.col("conj_dist"), F.col("born"))
+
+
+@query(CL + f" SELECT clause_id, {PREFIX} AS prefix FROM clause_log")
+def feature_prefix(spark, sf_dir):
+    return clause_log(spark, sf_dir).select("clause_id", _prefix().alias("prefix"))
+
+
+@query(CL + f" SELECT clause_id, {PREFIX} || '<D> ' || text || ' </D>' AS doc, '<Q> ' || text || ' </Q>' AS query FROM clause_log")
+def wrap_doc(spark, sf_dir):
+    return clause_log(spark, sf_dir).select("clause_id", text.wrap_document(_prefix(), F.col("text")).alias("doc"), text.wrap_query(F.col("text")).alias("query"))
+
+
+TOKEN_SQL = r"regexp_extract_all(text, '[A-Za-z0-9_]+|[()=,~|&!]|:\$i|:\$o')"
+
+
+@query(f"SELECT doc_id, greatest(1, len({TOKEN_SQL})) AS n_tokens, array_to_string(list_slice({TOKEN_SQL}, 1, 256), ' ') AS head FROM documents")
+def static_tokens(spark, sf_dir):
+    tokens = _read(spark, sf_dir, "documents").select("doc_id", text.static_tokens(F.col("text")).alias("tokens"))
+    return tokens.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.array_join(text.truncate(F.col("tokens"), 256), " ").alias("head"))
+
+
+@query(CL + r" SELECT clause_id, len(regexp_extract_all(text, '\b[A-Z]\w*\b')) + 2 * len(regexp_extract_all(text, '\|')) AS weight FROM clause_log")
+def token_weight(spark, sf_dir):
+    return clause_log(spark, sf_dir).select("clause_id", text.token_weight(F.col("text")).cast("long").alias("weight"))
+
+
+@query(
+    r"""WITH t AS (SELECT doc_id, unnest(regexp_split_to_array(trim(text, E' \t\n\x0b\f\r'), '[ \t\n\x0b\f\r]+')) AS token,
+      generate_subscripts(regexp_split_to_array(trim(text, E' \t\n\x0b\f\r'), '[ \t\n\x0b\f\r]+'), 1) AS i FROM documents),
+    f AS (SELECT token, min((doc_id, i)) AS first, count(*) AS n FROM t GROUP BY 1)
+    SELECT token, n, row_number() OVER (ORDER BY first) + 1 AS id FROM f"""
+)
+def dynamic_vocab(spark, sf_dir):
+    """Ids in order of arrival, from 2. Ranks are made within ranges of first places and offset by the ranges before."""
+    spaces = " \t\n\x0b\x0c\r"
+    words = F.split(F.btrim("text", F.lit(spaces)), r"[ \t\n\x0b\f\r]+")
+    one = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(words).alias("i", "token"))
+    first = one.groupBy("token").agg(F.min(F.struct("doc_id", "i")).alias("first"), F.count(F.lit(1)).alias("n"))
+    ranged = first.repartitionByRange("first").withColumn("part", F.spark_partition_id()).persist()
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offset = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("c")).select("part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset"))
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("first"))
+    return ranged.join(offset, "part").select("token", "n", (F.col("offset") + rank + 1).alias("id"))
+
+
+def _tokens(spark, sf_dir):
+    rows = clause_log(spark, sf_dir).select(F.col("clause_id").cast("string").alias("key"), F.col("problem").alias("batch"), "ord", text.annotated_formula(text.clean_clause(F.col("text"))).alias("formula"))
+    tokens = canonical.formula_tokens(rows).join(rows.select("key", "batch", "ord"), "key")
+    return rows, tokens
+
+
+SYMBOLS = """, s AS (SELECT problem AS batch, 'p_' || (k % 9) AS name, 1 AS arity, 'predicate' AS kind, ord * 10 AS place FROM clause_log
+      UNION ALL SELECT problem, 'q_' || event_type, 2, 'predicate', ord * 10 + 1 FROM clause_log
+      UNION ALL SELECT problem, 'c_' || (problem % 7), 0, 'constant', ord * 10 + 2 FROM clause_log),
+    f AS (SELECT batch, name, arity, kind, min(place) AS first FROM s GROUP BY ALL),
+    sym AS (SELECT batch, name, arity, kind, upper(left(kind, 1)) || row_number() OVER (PARTITION BY batch, kind ORDER BY first) AS canon FROM f)"""
+
+
+@query(CL + SYMBOLS + " SELECT * FROM sym")
+def symbol_map(spark, sf_dir):
+    return canonical.number_symbols(_tokens(spark, sf_dir)[1]).select("batch", "name", "arity", "kind", "canon")
+
+
+@query(CL + " SELECT clause_id::VARCHAR AS key, 'X0' AS name, 'V0' AS canon FROM clause_log")
+def variable_names(spark, sf_dir):
+    return canonical.number_variables(_tokens(spark, sf_dir)[1])
+
+
+@query(
+    CL
+    + SYMBOLS
+    + """ SELECT c.clause_id::VARCHAR AS key, '(![V0]: (~' || a.canon || '(V0)|' || b.canon || '(V0,' || d.canon || '))))' AS canonical FROM clause_log c
+      JOIN sym a ON a.batch = c.problem AND a.name = 'p_' || (k % 9) JOIN sym b ON b.batch = c.problem AND b.name = 'q_' || event_type
+      JOIN sym d ON d.batch = c.problem AND d.name = 'c_' || (problem % 7)"""
+)
+def canonical_formula(spark, sf_dir):
+    rows, tokens = _tokens(spark, sf_dir)
+    return canonical.rewrite(rows, tokens, canonical.number_symbols(tokens), canonical.number_variables(tokens))
+
+
+REQUESTED = """, req AS (SELECT problem, clause_id, born AS pos FROM clause_log WHERE k % 4 = 0),
+    cj AS (SELECT problem, arg_min(clause_id, ord) AS clause_id FROM clause_log WHERE conj_dist = 0 GROUP BY 1),
+    rest AS (SELECT c.*, r.pos FROM clause_log c LEFT JOIN req r ON r.problem = c.problem AND r.clause_id = c.clause_id
+      WHERE NOT EXISTS (SELECT 1 FROM cj WHERE cj.problem = c.problem AND cj.clause_id = c.clause_id)),
+    batch AS (SELECT problem, clause_id, 'conjecture' AS role, 1 AS rank FROM cj
+      UNION ALL SELECT problem, clause_id, 'context', row_number() OVER (PARTITION BY problem ORDER BY ord) FROM rest WHERE pos IS NULL QUALIFY row_number() OVER (PARTITION BY problem ORDER BY ord) <= 16
+      UNION ALL SELECT problem, clause_id, 'candidate', row_number() OVER (PARTITION BY problem ORDER BY pos) FROM rest WHERE pos IS NOT NULL QUALIFY row_number() OVER (PARTITION BY problem ORDER BY pos) <= 8)"""
+
+
+@query(CL + REQUESTED + " SELECT problem, clause_id, role, rank FROM batch")
+def conjecture_context_candidates(spark, sf_dir):
+    clauses = clause_log(spark, sf_dir)
+    requested = clauses.where("k % 4 = 0").select("problem", "clause_id", F.col("born").alias("pos"))
+    return scoring.select_batch(clauses, requested, 16, 8).withColumn("rank", F.col("rank").cast("long"))
+
+
+TAGGED = """, f AS (SELECT problem, clause_id, k, CASE WHEN k % 2 = 0 THEN '~' ELSE '' END || 'F' || (k % 3) || '(C' || (k % 4) || ',C' || (k % 5) || ')' || CASE WHEN k % 6 = 0 THEN '|P1(V0)' ELSE '' END AS formula FROM clause_log),
+    tg AS (SELECT *, contains(formula, 'F1(') AS touches, contains(formula, 'F1(C2') AND NOT contains(formula, '~F1(C2') AS first_arg,
+      list_sort(list_intersect(regexp_extract_all(formula, '\\bC\\d+\\b'), ['C1', 'C2', 'C3'])) AS shared FROM f)"""
+
+
+def _tagged(spark, sf_dir):
+    k = F.col("k")
+    formula = F.concat(F.when(k % 2 == 0, "~").otherwise(""), F.lit("F"), k % 3, F.lit("(C"), k % 4, F.lit(",C"), k % 5, F.lit(")"), F.when(k % 6 == 0, "|P1(V0)").otherwise(""))
+    rows = clause_log(spark, sf_dir).select("problem", "clause_id", "k", formula.alias("formula"))
+    return scoring.reasoning_tags(rows, F.lit("F1"), F.lit("C2"), F.array(F.lit("C1"), F.lit("C2"), F.lit("C3")))
+
+
+@query(CL + TAGGED + " SELECT clause_id, touches, first_arg, len(shared) AS n_shared, array_to_string(shared, ',') AS shared FROM tg")
+def reasoning_tags(spark, sf_dir):
+    return _tagged(spark, sf_dir).select("clause_id", "touches", "first_arg", F.size("shared").cast("long").alias("n_shared"), F.array_join("shared", ",").alias("shared"))
+
+
+@query(
+    CL
+    + TAGGED
+    + r""", p AS (SELECT *, CASE WHEN k % 10 = 0 THEN 1.0::DOUBLE WHEN touches AND first_arg THEN 0.85::DOUBLE ELSE least(0.6::DOUBLE, 0.15::DOUBLE * len(shared)) END AS hook,
+      len(regexp_extract_all(formula, '\b[A-Z]\w*\b')) + 2 * len(regexp_extract_all(formula, '\|')) AS w, count(*) OVER (PARTITION BY problem) AS n FROM tg),
+    pr AS (SELECT *, CASE WHEN k % 10 = 0 THEN 3000 ELSE 0 END + CASE WHEN touches AND first_arg THEN 1000 ELSE 0 END + 5 * trunc(hook * 100::DOUBLE)::INT
+      + CASE WHEN NOT contains(formula, '|') THEN 50 ELSE 0 END - trunc(0.3::DOUBLE * w)::INT AS prio FROM p),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY problem ORDER BY prio DESC, clause_id DESC) AS rank FROM pr)
+    SELECT problem, clause_id, prio::BIGINT AS prio, rank FROM rk WHERE rank <= greatest(0, least(n, least(greatest(round_even(n * 0.25::DOUBLE, 0)::INT, 6), 12)))"""
+)
+def prefilter_topk(spark, sf_dir):
+    rows = _tagged(spark, sf_dir).withColumn("equation", F.col("k") % 10 == 0).withColumn("n_shared", F.size("shared"))
+    kept = scoring.prefilter(rows, drop=0.75, least=6, most=12)
+    return kept.select("problem", "clause_id", F.col("prio").cast("long").alias("prio"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    """SELECT o_custkey AS id, n, CASE WHEN n <= 80 THEN 'S' WHEN n <= 400 THEN 'A' WHEN n <= 2000 THEN 'B' WHEN n <= 10000 THEN 'C' ELSE 'D' END AS tier,
+      CASE WHEN n <= 80 THEN n WHEN n <= 400 THEN 200 WHEN n <= 2000 THEN 128 WHEN n <= 10000 THEN 64 ELSE 48 END AS budget
+      FROM (SELECT o_custkey, count(*) * 60 AS n FROM orders GROUP BY 1)"""
+)
+def budget_tier(spark, sf_dir):
+    n = _read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg((F.count(F.lit(1)) * 60).alias("n"))
+    tier, kept = scores.budget(F.col("n"))
+    return n.select("id", "n", tier.alias("tier"), kept.cast("long").alias("budget"))
+
+
+RAW = """, raw AS (SELECT *, CASE WHEN conj_dist >= 0 THEN 2.0::DOUBLE / (1.0::DOUBLE + conj_dist) ELSE 0.2::DOUBLE END + CASE WHEN NOT contains(text, '|') THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END
+    + CASE WHEN contains(text, '=') THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN horn THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END AS s FROM clause_log)"""
+
+
+def _raw(spark, sf_dir):
+    return clause_log(spark, sf_dir).withColumn("s", scores.fallback_raw(F.col("text"), F.col("conj_dist"), F.col("horn")))
+
+
+@query(
+    CL
+    + RAW
+    + """, w AS (SELECT *, min(s) OVER p AS lo, max(s) OVER p AS hi FROM raw WINDOW p AS (PARTITION BY problem))
+    SELECT problem, clause_id, round(CASE WHEN hi - lo < 1e-9 THEN 0.5 ELSE (s - lo) / (hi - lo) END, 6) AS score FROM w"""
+)
+def fallback_heuristic(spark, sf_dir):
+    return _raw(spark, sf_dir).select("problem", "clause_id", F.round(scores.normalized(F.col("s"), ["problem"], "minmax"), 6).alias("score"))
+
+
+@query(
+    CL
+    + RAW
+    + """, w AS (SELECT *, exp(s - max(s) OVER p) AS e, avg(s) OVER p AS mu, stddev_samp(s) OVER p AS sd FROM raw WINDOW p AS (PARTITION BY problem))
+    SELECT clause_id, round(e / sum(e) OVER (PARTITION BY problem), 6) AS softmax, round((s - mu) / coalesce(nullif(sd, 0), 1), 6) AS zscore FROM w"""
+)
+def score_normalize(spark, sf_dir):
+    rows = _raw(spark, sf_dir)
+    return rows.select("clause_id", *[F.round(scores.normalized(F.col("s"), ["problem"], how), 6).alias(how) for how in ("softmax", "zscore")])
+
+
+DOTS = """WITH q AS (SELECT vec_id AS q_id, label AS q_label, embedding AS q FROM embeddings WHERE vec_id < 10),
+    d AS (SELECT q_id, q_label, vec_id, label, list_dot_product(q::DOUBLE[], embedding::DOUBLE[]) AS score FROM embeddings, q)"""
+
+
+def _dots(spark, sf_dir):
+    """Ten conjectures against every vector; ten rows are broadcast."""
+    e = _read(spark, sf_dir, "embeddings")
+    q = e.where("vec_id < 10").select(F.col("vec_id").alias("q_id"), F.col("label").alias("q_label"), F.col("embedding").alias("q"))
+    return e.crossJoin(F.broadcast(q)).select("q_id", "q_label", "vec_id", "label", scores.dot(F.col("q"), F.col("embedding")).alias("score"), F.col("vec_id").alias("pos"))
+
+
+@query(DOTS + " SELECT q_id, vec_id, round(score, 9) + 0.0 AS score FROM d")
+def embedding_scores(spark, sf_dir):
+    return _dots(spark, sf_dir).select("q_id", "vec_id", (F.round("score", 9) + 0.0).alias("score"))
+
+
+@query(
+    DOTS
+    + """, r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY round(score, 6) DESC, vec_id) AS rank FROM d)
+    SELECT q_id, vec_id, rank, round(CASE WHEN rank <= 128 THEN 2.0 * score + label ELSE round(score, 6) END, 9) + 0.0 AS final FROM r"""
+)
+def two_stage_rerank(spark, sf_dir):
+    first = _dots(spark, sf_dir).withColumn("exact", F.col("score")).withColumn("score", F.round("score", 6))
+    both = scoring.rerank(first, 2.0 * F.col("exact") + F.col("label"), 128, ["q_id"])
+    return both.select("q_id", "vec_id", F.col("rank").cast("long").alias("rank"), (F.round("final", 9) + 0.0).alias("final"))
+
+
+@query(
+    """WITH s AS (SELECT 0 AS source, vec_id AS id, embedding[1]::DOUBLE AS score FROM embeddings WHERE vec_id % 2 = 0
+      UNION ALL SELECT 1, vec_id, embedding[2]::DOUBLE FROM embeddings WHERE vec_id % 3 = 0)
+    SELECT vec_id AS id, round(coalesce(sum(CASE source WHEN 0 THEN 0.75 ELSE 0.25 END * s.score), 0), 6) AS score FROM embeddings LEFT JOIN s ON s.id = vec_id GROUP BY vec_id"""
+)
+def score_fusion(spark, sf_dir):
+    e = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    part = lambda n, i, m: e.where(F.col("id") % m == 0).select(F.lit(n).alias("source"), "id", F.col("embedding")[i].cast("double").alias("score"))
+    weights = spark.createDataFrame([(0, 3.0), (1, 1.0)], "source int, weight double")
+    return scoring.fuse(e.select("id"), part(0, 0, 2).union(part(1, 1, 3)), weights).select("id", F.round("score", 6).alias("score"))
+
+
+@query(
+    "SELECT label, "
+    + ", ".join(f"round(avg(embedding[{i + 1}]::DOUBLE), 5) AS mean_{i}, max(embedding[{i + 1}]::DOUBLE) AS max_{i}" for i in range(4))
+    + " FROM embeddings GROUP BY label"
+)
+def chunk_pool(spark, sf_dir):
+    chunks = _read(spark, sf_dir, "embeddings").select("label", F.col("embedding").alias("vector"))
+    mean, most = scoring.pool_chunks(chunks, ["label"]), scoring.pool_chunks(chunks, ["label"], "max")
+    both = mean.join(most.withColumnRenamed("vector", "most"), "label")
+    return both.select("label", *[c for i in range(4) for c in (F.round(F.col("vector")[i], 5).alias(f"mean_{i}"), F.col("most")[i].alias(f"max_{i}"))])
+
+
+PREDS = DOTS + ", p AS (SELECT q_id AS g, vec_id AS pos, round(score, 6) AS score, CASE WHEN label = q_label THEN 1 + vec_id % 3 ELSE 0 END AS label FROM d)"
+
+
+def _preds(spark, sf_dir):
+    label = F.when(F.col("label") == F.col("q_label"), 1 + F.col("vec_id") % 3).otherwise(0)
+    rows = _dots(spark, sf_dir).select(F.col("q_id").alias("group_id"), F.round("score", 6).alias("score"), label.alias("label"), "pos")
+    return evaluation.resolve_predictions(rows)
+
+
+@query(
+    PREDS
+    + """, r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY score DESC, pos) AS r, row_number() OVER (PARTITION BY g ORDER BY label DESC) AS ir FROM p),
+    ks AS (SELECT unnest([1, 10, 32, 64]) AS k),
+    per AS (SELECT k, g, max(CASE WHEN r <= k AND label > 0 THEN 1.0 ELSE 0.0 END) AS hit,
+      coalesce(sum(CASE WHEN r <= k AND label > 0 THEN 1 END) / nullif(sum(CASE WHEN label > 0 THEN 1 ELSE 0 END), 0), 0) AS recall,
+      coalesce(sum(CASE WHEN r <= k THEN (pow(2, label) - 1) / log2(r + 1) END) / nullif(sum(CASE WHEN ir <= k THEN (pow(2, label) - 1) / log2(ir + 1) END), 0), 0) AS ndcg,
+      coalesce(1.0 / min(CASE WHEN r <= k AND label > 0 THEN r END), 0) AS mrr FROM r, ks GROUP BY k, g)
+    SELECT k, round(avg(hit), 6) AS hit, round(avg(recall), 6) AS recall, round(avg(ndcg), 6) AS ndcg, round(avg(mrr), 6) AS mrr FROM per GROUP BY k"""
+)
+def ranking_metrics(spark, sf_dir):
+    return evaluation.ranking_metrics(_preds(spark, sf_dir), [1, 10, 32, 64]).select("k", *[F.round(m, 6).alias(m) for m in ("hit", "recall", "ndcg", "mrr")])
+
+
+@query(
+    PREDS
+    + """, s AS (SELECT score, sum(CASE WHEN label > 0 THEN 1 ELSE 0 END) AS p, count(*) AS n FROM p GROUP BY score),
+    c AS (SELECT *, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS seen, sum(p) OVER () AS ap_, sum(n) OVER () AS an FROM s)
+    SELECT round(sum((n - p) * (tp - p) + 0.5 * (n - p) * p) / max(ap_ * (an - ap_)), 6) AS auc, round(sum(p * tp / seen) / max(ap_), 6) AS ap FROM c"""
+)
+def auc_ap(spark, sf_dir):
+    return evaluation.auc_ap(_preds(spark, sf_dir)).select(F.round("auc", 6).alias("auc"), F.round("ap", 6).alias("ap"))
+
+
+@query(
+    PREDS
+    + """, r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY score DESC, pos) AS r FROM p)
+    SELECT count(DISTINCT g) AS groups, count(*) AS candidates, sum((label > 0)::INT)::BIGINT AS positives, sum(CASE WHEN r = 1 AND label > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS hit_at_1,
+      sum(CASE WHEN r = 1 AND label > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS hit_at_1_pos, count(*) / count(DISTINCT g) AS avg_candidates, sum((label > 0)::INT) / count(DISTINCT g) AS avg_positives FROM r"""
+)
+def rank_diagnostics(spark, sf_dir):
+    return evaluation.rank_diagnostics(_preds(spark, sf_dir), [1, 10, 32, 64])
+
+
+@query(
+    CL
+    + RAW
+    + """, req AS (SELECT problem AS request_id, unnest([problem * 60, problem * 60 + 7, problem * 60 + 3, 999999999]) AS clause_id, unnest([0, 1, 2, 3]) AS pos FROM (SELECT DISTINCT problem FROM clause_log))
+    SELECT request_id, array_to_string(list(round(coalesce(s, 0), 6)::DECIMAL(10, 6)::VARCHAR ORDER BY pos), ',') AS scores, count(*) FILTER (s IS NULL) AS n_missing
+    FROM req LEFT JOIN raw ON raw.clause_id = req.clause_id GROUP BY request_id"""
+)
+def score_request_join(spark, sf_dir):
+    rows = _raw(spark, sf_dir)
+    p = F.col("problem") * 60
+    asked = rows.select("problem").distinct().select(F.col("problem").alias("request_id"), F.array(p, p + 7, p + 3, F.lit(999999999).cast("long")).alias("clause_ids"))
+    answered = scoring.answer_requests(asked, rows.select("clause_id", F.col("s").alias("score")))
+    written = F.array_join(F.transform("scores", lambda s: F.round(s, 6).cast("decimal(10,6)").cast("string")), ",")
+    return answered.select("request_id", written.alias("scores"), "n_missing")
+
+
+@query(
+    CL
+    + RAW
+    + """ SELECT clause_id, round(CASE WHEN k % 3 = 0 THEN s ELSE 0.02 END, 6) AS score FROM raw"""
+)
+def floor_scores(spark, sf_dir):
+    rows = _raw(spark, sf_dir)
+    chosen = rows.where("k % 3 = 0").select("clause_id", F.col("s").alias("score"))
+    return scoring.floor_overlay(rows.select("clause_id"), chosen).select("clause_id", F.round("score", 6).alias("score"))
+
+
+#: Each order as a solver's log.
+LOG_SQL = """'% SZS status ' || CASE o_orderstatus WHEN 'O' THEN 'Theorem' WHEN 'F' THEN 'Unsatisfiable' ELSE 'Timeout' END || chr(10) || '--interactive_mode ' || CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'false' END"""
+
+
+def solver_logs(spark, sf_dir):
+    o, key = _read(spark, sf_dir, "orders"), F.col("o_orderkey")
+    status = F.when(F.col("o_orderstatus") == "O", "Theorem").when(F.col("o_orderstatus") == "F", "Unsatisfiable").otherwise("Timeout")
+    log = F.concat(
+        F.lit("% SZS status "), status, F.lit("\n--interactive_mode "), F.when(key % 2 == 0, "true").otherwise("false"),
+        F.lit("\ntotal_time: "), F.expr("o_orderkey div 7"), F.lit(".25\ninst_num_in_passive: "), key % 100, F.lit("\nsup_num_in_passive: "), key % 10,
+        F.lit("\nres_num_of_loops: "), key % 13, F.lit("\n% SZS output start CNFRefutation\n"), F.repeat(F.lit("tcf(c_1,plain,x).\n"), (key % 4).cast("int")), F.lit("% SZS output end CNFRefutation\n"),
+    )
+    return o.select("o_orderkey", log.alias("text"))
+
+
+@query(
+    """WITH r AS (SELECT o_orderkey AS k, o_orderstatus IN ('O', 'F') AS solved FROM orders WHERE o_orderkey % 2 <> 0)
+    SELECT count(*) AS count, count(*) FILTER (solved) AS solved, round_even(avg(k % 4) FILTER (solved AND k % 4 > 0), 3) AS mean_proof_steps,
+      round_even(avg((k // 7) + 0.25::DOUBLE) FILTER (solved), 3) AS mean_total_time, round_even(avg(k % 100) FILTER (solved), 3) AS mean_inst_passive,
+      round_even(avg(k % 10) FILTER (solved), 3) AS mean_sup_passive, NULL::DOUBLE AS mean_res_passive, 0::BIGINT AS sum_inst_loops, 0::BIGINT AS sum_sup_loops, sum(k % 13)::BIGINT AS sum_res_loops FROM r"""
+)
+def run_report(spark, sf_dir):
+    runs = solver_logs(spark, sf_dir).select(*text.run_record(F.col("text"))).where("NOT (interactive_mode <=> true)")
+    return evaluation.run_report(runs)
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'timeout' WHEN o_orderkey % 3 <> 0 AND o_orderstatus NOT IN ('O', 'F') THEN 'iprover_error'
+      WHEN o_orderkey % 3 = 0 AND o_orderstatus NOT IN ('O', 'F') AND o_orderkey % 5 <> 0 THEN 'no_proof' END AS reason FROM orders"""
+)
+def failure_log(spark, sf_dir):
+    status = F.regexp_extract("text", r"SZS status\s+(\w+)", 1)
+    key = F.col("o_orderkey")
+    runs = solver_logs(spark, sf_dir).select(
+        "o_orderkey", (key % 11 == 0).alias("timed_out"), F.when(key % 3 != 0, 1).otherwise(0).alias("exit_code"),
+        status.isin("Theorem", "Unsatisfiable").alias("has_szs"), (key % 5 == 0).alias("has_proof"),
+    )
+    return labeling.classify_failure(runs).select("o_orderkey", "reason")
+
+
+@query()
+def event_replay(spark, sf_dir):
+    return streaming.run_to_end(spark, streaming.replay(streaming.event_messages(spark, sf_dir)))
