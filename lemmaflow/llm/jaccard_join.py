@@ -115,12 +115,6 @@ def _prefixes(counters):
     return rows
 
 
-def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [shingle_set(t) for t in batch["text"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([_mark(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["fp", "tokens"])
-
-
 def _apart(left: pd.Series, right: pd.Series) -> pd.Series:
     """The symmetric difference is at least this."""
     if left.empty:
@@ -129,9 +123,28 @@ def _apart(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(np.abs(a - b).sum(axis=1).astype(np.int32))
 
 
-def _shared(left: pd.Series, right: pd.Series) -> pd.Series:
-    a, b = ([np.frombuffer(x, np.uint64) for x in s] for s in (left, right))
-    return pd.Series([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int32")
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The verified pairs; a text whose mark isn't the class's is another row of a repeated id."""
+    sets: dict[int, np.ndarray] = {}
+    for batch in batches:
+        out = []
+        for a, b, text_a, text_b in zip(*(batch[x].to_pylist() for x in ("a", "b", "text_a", "text_b")), strict=True):
+            two = []
+            for fp, text in ((a, text_a), (b, text_b)):
+                tokens = sets.get(fp)
+                if tokens is None:
+                    tokens = shingle_set(text)
+                    if _mark(tokens) != fp:
+                        break
+                    if len(sets) >= 256:
+                        sets.clear()
+                    sets[fp] = tokens
+                two.append(tokens)
+            if len(two) == 2:
+                shared = len(np.intersect1d(*two, assume_unique=True))
+                if 9 * shared >= 4 * (len(two[0]) + len(two[1])):
+                    out.append((a, b))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def _passes(n1: str, pos1: str, n2: str, pos2: str) -> Column:
@@ -162,9 +175,10 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFra
     flag = F.pmod(F.xxhash64("rid"), F.lit(FLAGS)).cast("int")
     flags = needed.select(flag.alias("flag")).distinct()  # FLAGS rows at most
     fetched = texts.withColumn("flag", flag).join(F.broadcast(flags), "flag", "left_semi").join(needed, "rid", "left_semi")
-    sets = fetched.select("text").mapInArrow(_whole_sets, "fp long, tokens binary").groupBy("fp").agg(F.first("tokens").alias("tokens"))
-    both = near.select("a", "b", "na", "nb").join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b")
-    return both.withColumn("shared", F.pandas_udf(_shared, "int")("ta", "tb")).where("9 * shared >= 4 * (na + nb)").select("a", "b")
+    near = near.select("a", "b", "rid_a", "rid_b")
+    for x in "ab":
+        near = near.join(fetched.select(F.col("rid").alias(f"rid_{x}"), F.col("text").alias(f"text_{x}")), f"rid_{x}")
+    return near.select("a", "b", "text_a", "text_b").mapInArrow(_links, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
