@@ -20,8 +20,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: So many states and pieces are kept at most; then the tables start anew.
-KEPT = 300_000
+from lemmaflow.llm.common import bounded_batches
+
+#: So many pieces, and so many states, are kept at most; then the tables start anew.
+KEPT, STATES = 65_536, 16_384
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -90,7 +92,7 @@ class Transducer:
         return to, emitted
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.states) > KEPT:
+        if len(self.states) > STATES:
             self._reset()
         out: list[int] = []
         state = 0
@@ -145,6 +147,7 @@ def _replaced(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBa
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with ids: array<int>. ``ranks_path`` is read by the driver, and the vocabulary is broadcast."""
+    bounded_batches(docs.sparkSession)
     content = docs.sparkSession.sparkContext.broadcast(_load(ranks_path))
     out = _with(docs.schema, ids_col, T.ArrayType(T.IntegerType()))
 
@@ -162,6 +165,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
 
 def decode(docs: DataFrame, ranks_path: str, ids_col: str = "ids", text_col: str = "decoded", step: int = 8192) -> DataFrame:
     """``docs`` with the text of its ids, ``step`` of them at a time; the UTF-8 machine carries split characters over."""
+    bounded_batches(docs.sparkSession)
     content = docs.sparkSession.sparkContext.broadcast(_load(ranks_path))
     out = _with(docs.schema, text_col, T.StringType())
 

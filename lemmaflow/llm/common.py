@@ -35,5 +35,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
+    """From now on, Arrow batches of the session hold at most so many rows; whole texts make larger ones costly."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, str(min(rows, int(spark.conf.get(key)))))
+
+
 def text_of(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))

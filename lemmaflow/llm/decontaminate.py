@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lemmaflow.llm.common import materialize
+from lemmaflow.llm.common import bounded_batches, materialize
 
 #: The places that each mask looks at.
 MASKS = ["11011000111", "11101001101", "10110011011"]
@@ -35,7 +35,7 @@ _words = re.compile(r"\w+").findall
 
 class _WordHashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 65_536:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -89,6 +89,7 @@ def _seed_rows(batches: Iterator[pa.RecordBatch], numbers: list[int] | None, bit
                     out.append((np.full(len(pos), key, np.int64), np.full(len(pos), number, np.int32), hashes[pos].view(np.int64), pos.astype(np.int32)))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["id", "number", "hash", "pos"])
+    _hash_of.clear()
 
 
 def _best(doc: np.ndarray, item: np.ndarray, diagonals: list[int], stretch: int) -> float:
@@ -106,6 +107,7 @@ def _best(doc: np.ndarray, item: np.ndarray, diagonals: list[int], stretch: int)
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", stretch: int = 20, share: float = 0.75) -> DataFrame:
     """id, item, overlap (the largest share of equal words in a stretch): one row per document and item that match."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     kind = "id long, number int, hash long, pos int"
     read = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), "text")
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("id"), "text")

@@ -21,13 +21,12 @@ null; other columns are ignored; an empty table gives no rows. Shingles and sets
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lemmaflow.llm.common import materialize
+from lemmaflow.llm.common import bounded_batches, materialize
 from lemmaflow.llm.graph import connected_components
 
 WORDS = 5
@@ -41,7 +40,7 @@ MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 65_536:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -94,6 +93,7 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     used = np.flatnonzero(counts)
     none = pa.nulls(len(used))
     columns = [none.cast(schema.types[k]) for k in range(5)] + [pa.array(used.astype(np.int32)), pa.array(counts[used])]
+    _hash_of.clear()
     yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
@@ -111,16 +111,18 @@ def _prefixes(counters):
                 out.append((tokens[order].view(np.int64), np.full(first, _mark(tokens)), np.full(first, n, np.int32), np.arange(first, dtype=np.int32)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["token", "fp", "n", "pos"])
+        _hash_of.clear()
 
     return rows
 
 
-def _apart(left: pd.Series, right: pd.Series) -> pd.Series:
-    """The symmetric difference is at least this."""
-    if left.empty:
-        return pd.Series([], dtype="int32")
-    a, b = (np.frombuffer(b"".join(x), np.uint8).reshape(-1, 64).astype(np.int32) for x in (left, right))
-    return pd.Series(np.abs(a - b).sum(axis=1).astype(np.int32))
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose signatures leave a similarity of 0.8 possible: their difference bounds the sets' from below."""
+    for batch in batches:
+        if batch.num_rows:
+            a, b = (np.frombuffer(b"".join(batch[x].to_pylist()), np.uint8).reshape(-1, 64).astype(np.int32) for x in ("sig_a", "sig_b"))
+            passed = 9 * np.abs(a - b).sum(axis=1) <= batch["na"].to_numpy() + batch["nb"].to_numpy()
+            yield batch.select(["a", "b", "rid_a", "rid_b"]).filter(pa.array(passed))
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +138,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     tokens = shingle_set(text)
                     if _mark(tokens) != fp:
                         break
-                    if len(sets) >= 256:
+                    if len(sets) > 64:
                         sets.clear()
                     sets[fp] = tokens
                 two.append(tokens)
@@ -170,12 +172,11 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFra
     side = classes.select("fp", "rid", "sig")
     for x in "ab":
         pairs = pairs.join(side.toDF(x, f"rid_{x}", f"sig_{x}"), x)
-    near = materialize(pairs.where(9 * F.pandas_udf(_apart, "int")("sig_a", "sig_b") <= F.col("na") + F.col("nb")).drop("sig_a", "sig_b"))
+    near = materialize(pairs.mapInArrow(_near, "a long, b long, rid_a long, rid_b long"))
     needed = near.select(F.col("rid_a").alias("rid")).union(near.select("rid_b")).distinct()
     flag = F.pmod(F.xxhash64("rid"), F.lit(FLAGS)).cast("int")
     flags = needed.select(flag.alias("flag")).distinct()  # FLAGS rows at most
     fetched = texts.withColumn("flag", flag).join(F.broadcast(flags), "flag", "left_semi").join(needed, "rid", "left_semi")
-    near = near.select("a", "b", "rid_a", "rid_b")
     for x in "ab":
         near = near.join(fetched.select(F.col("rid").alias(f"rid_{x}"), F.col("text").alias(f"text_{x}")), f"rid_{x}")
     return near.select("a", "b", "text_a", "text_b").mapInArrow(_links, "a long, b long")
@@ -184,6 +185,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFra
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id of every row."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     texts = _read(docs, id_col, text_col)
     found = materialize(texts.mapInArrow(_profiles, "id long, rid long, n int, fp long, sig binary, counter int, times long"))
     per_doc = found.where("counter is null").select("id", "rid", "n", "fp", "sig")

@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lemmaflow.llm.common import bounded_batches
+
 SIZE = 1 << 16
 UNKNOWN = "und"
 _other = regex.compile(r"\P{L}+")
@@ -95,6 +97,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, classes:
 def identify(docs: DataFrame, learn_from, id_col: str = "doc_id", max_rows: int = 5_000) -> DataFrame:
     """id, lang_pred, score. ``learn_from``: a condition; of its rows, text and lang are learned from."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     eligible = docs.where(learn_from & F.col("lang").isNotNull() & F.col(id_col).isNotNull() & F.col("text").isNotNull())
     summed = eligible.select("text").mapInArrow(_frequencies, "feature long, docs long").groupBy("feature").agg(F.sum("docs").alias("docs")).toPandas()  # SIZE + 1 rows
     df = np.zeros(SIZE)

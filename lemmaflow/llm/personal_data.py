@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lemmaflow.llm.common import materialize
+from lemmaflow.llm.common import bounded_batches, materialize
 
 #: Kinds in the order of ties, their patterns and words.
 KINDS = ["email", "ip", "card", "phone", "masked_email", "iban", "local_phone"]
@@ -152,6 +152,7 @@ def fit(x: np.ndarray, p: np.ndarray, steps: int = 300, l2: float = 1e-3) -> np.
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", max_spans: int = 20_000) -> DataFrame:
     """id, spans: array of (start, rank, kind, end, score) in order."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     found = materialize(docs.select(F.col(id_col).alias("id"), "text").mapInArrow(_rows, f"id {dict(docs.dtypes)[id_col]}, spans array<struct<{SPAN.replace(' ', ':').replace(',:', ',')}>>"))
     one = found.select("id", F.inline("spans"))
     voters = ["structure", "gazetteer", "context"]

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lemmaflow.llm.common import bounded_batches
+
 SIZE = 1 << 18
 _letters = regex.compile(r"\p{Lu}+")
 _small = regex.compile(r"[\p{Ll}\p{Lo}]+")
@@ -31,7 +33,7 @@ class _Words(dict):
     """Word to its feature and its shape."""
 
     def __missing__(self, word: str) -> tuple[int, str]:
-        if len(self) > 300_000:
+        if len(self) > 65_536:
             self.clear()
         feature = xxhash.xxh3_64_intdigest("w" + word.lower().strip(".,;:!?")) % SIZE
         value = self[word] = feature, _small.sub("a", _letters.sub("A", word))[:12]
@@ -99,6 +101,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, levels: np.ndarray, steps: i
 def classify(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 20_000, keep_at: float = 0.5) -> DataFrame:
     """``docs`` with expected_grade, tail_probability (of the highest grade) and kept. ratings: id, grade (long)."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     rated = ratings.where(F.col(id_col).isNotNull() & F.col("grade").isNotNull()).groupBy(id_col).agg(F.min("grade").cast("long").alias("grade"))
     sample = rated.orderBy(F.xxhash64(id_col), id_col).limit(max_rows)
     learned = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(sample), id_col).select("grade", "text")  # max_rows rows at most
@@ -125,6 +128,7 @@ def classify(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_c
                 expected = levels[0] + (p * np.diff(levels)).sum(axis=1)
                 new = [pa.array(expected), pa.array(p[:, -1]), pa.array(p[:, -1] >= keep_at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *names])
+        _known.clear()
 
     return docs.mapInArrow(score, out)
 

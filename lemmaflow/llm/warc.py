@@ -26,6 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lemmaflow.llm.common import bounded_batches
+
 BINS = 4096
 DATE = "2024-01-01T00:00:00Z"
 MANIFEST = "shard int, seq int, file string, records long, bytes long, sha256 string"
@@ -78,6 +80,7 @@ def _shards(sized: DataFrame, target: int) -> tuple[DataFrame, int]:
 
 def write_archives(pages: DataFrame, out: str, min_revisit: int = 100, shard_bytes: int = 64 << 20, roll_bytes: int = 8 << 20) -> DataFrame:
     """Writes ``out``/*.warc.gz and ``out``/manifest; gives the manifest. pages: page_id, url, html."""
+    bounded_batches(pages.sparkSession)
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     read = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"))
     read = read.withColumn("payload_bytes", F.length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
