@@ -2,9 +2,9 @@
 
 The nondeterministic machine reads a piece byte by byte. A thread holds the bytes read since the last token
 and that token; where those bytes are a token that can follow it (the merges of both together give the two
-again), the thread may end it. Of all threads that end at a byte just one is right. Sets of threads with the
-tokens they still owe are the deterministic states, made when first reached and kept; tokens that all threads
-of a state agree on are emitted at once, so that the lookahead is bounded by the longest token.
+again), the thread may end it. Of all threads that end at a byte just one is right, so each byte has one token that
+ends there. Sets of threads are the deterministic states, made when first reached and kept. A token is emitted once
+all threads of a state come from it; none is longer than the longest token, so the lookahead is bounded.
 
 Defined cases: a null text is empty and gives no ids; a null id list decodes to an empty text; every row gives a
 row; other columns pass through; an empty table gives no rows. Ids that are in no vocabulary fail the job.
@@ -23,7 +23,9 @@ from pyspark.sql import types as T
 from lemmaflow.llm.common import bounded_batches
 
 #: So many pieces, and so many states, are kept at most; then the tables start anew.
-KEPT, STATES = 65_536, 16_384
+KEPT, STATES = 200_000, 131_072
+#: After so many bytes of a piece, tokens are emitted before its end.
+LOOKAHEAD = 1024
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -37,13 +39,15 @@ class Transducer:
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.starts = {t[:k] for t in ranks for k in range(1, len(t))}
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.follows: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
-        start = ((b"", -1, ()),)
-        self.states, self.number = [start], {start: 0}
-        self.moves: list[dict[int, tuple[int, tuple]]] = [{}]
+        #: A thread is (bytes read since its last token, that token); a state is a tuple of thread numbers, oldest first.
+        self.threads, self.thread_number = [(b"", -1)], {(b"", -1): 0}
+        self.states, self.state_number = [(0,)], {(0,): 0}
+        #: (state, byte) to the next state and the token that ends there.
+        self.moves: dict[int, tuple[int, int]] = {}
 
     def merged(self, data: bytes) -> list[bytes]:
         """The merges by rank, for the bytes of two tokens at most."""
@@ -57,49 +61,70 @@ class Transducer:
         return parts
 
     def can_follow(self, last: int, token: int) -> bool:
-        key = last, token
+        key = (last + 1) << 32 | token
         if (known := self.follows.get(key)) is None:
-            if len(self.follows) > KEPT:
+            if len(self.follows) > STATES:
                 self.follows.clear()
-            two = [self.bytes_of[x] for x in key if x >= 0]
+            two = [self.bytes_of[x] for x in (last, token) if x >= 0]
             known = self.follows[key] = self.merged(b"".join(two)) == two
         return known
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple]:
-        threads, ended = [], None
-        for read, last, owed in self.states[state]:
-            read += bytes((byte,))
-            token = self.ranks.get(read)
-            if ended is None and token is not None and self.can_follow(last, token):
-                ended = b"", token, (*owed, token)
+    def _move(self, state: int, byte: int) -> tuple[int, int]:
+        after, ended, more = [], -1, bytes((byte,))
+        for number in self.states[state]:
+            read, last = self.threads[number]
+            read += more
+            if ended < 0:
+                token = self.ranks.get(read)
+                if token is not None and self.can_follow(last, token):
+                    ended = token
             if read in self.starts:
-                threads.append((read, last, owed))
-        if ended is None:
+                after.append((read, last))
+        if ended < 0:
             raise ValueError("the vocabulary lacks a byte")
-        threads.append(ended)
-        shortest = min(len(x[2]) for x in threads)
-        agreed = 0
-        while agreed < shortest and len({x[2][agreed] for x in threads}) == 1:
-            agreed += 1
-        emitted = ended[2][:agreed]
-        after = tuple((read, last, owed[agreed:]) for read, last, owed in threads)
-        to = self.number.get(after)
+        after.append((b"", ended))
+        numbers = []
+        for thread in after:
+            number = self.thread_number.get(thread)
+            if number is None:
+                number = self.thread_number[thread] = len(self.threads)
+                self.threads.append(thread)
+            numbers.append(number)
+        key = tuple(numbers)
+        to = self.state_number.get(key)
         if to is None:
-            to = self.number[after] = len(self.states)
-            self.states.append(after)
-            self.moves.append({})
-        self.moves[state][byte] = to, emitted
-        return to, emitted
+            to = self.state_number[key] = len(self.states)
+            self.states.append(key)
+        move = self.moves[state << 8 | byte] = to, ended
+        return move
+
+    def _chain(self, ends: list[int], at: int) -> list[int]:
+        """Places where tokens end, from ``at`` back to 0."""
+        places = [at]
+        while at > 0:
+            at -= len(self.bytes_of[ends[at - 1]])
+            places.append(at)
+        return places
+
+    def _emit(self, ends: list[int], at: int) -> list[int]:
+        return [ends[place - 1] for place in reversed(self._chain(ends, at)[:-1])]
 
     def encode(self, piece: bytes) -> list[int]:
+        """Ids of a piece. Of long ones, what all threads agree on is emitted on the way."""
         if len(self.states) > STATES:
             self._reset()
         out: list[int] = []
-        state = 0
+        ends: list[int] = []
+        state, moves = 0, self.moves
         for byte in piece:
-            state, emitted = self.moves[state].get(byte) or self._move(state, byte)
-            out += emitted
-        return out + list(self.states[state][-1][2])
+            state, ended = moves.get(state << 8 | byte) or self._move(state, byte)
+            ends.append(ended)
+            if len(ends) >= LOOKAHEAD:
+                open_at = [len(ends) - len(self.threads[n][0]) for n in self.states[state]]
+                agreed = max(set.intersection(*[set(self._chain(ends, at)) for at in open_at]))
+                out += self._emit(ends, agreed)
+                ends = ends[agreed:]
+        return out + self._emit(ends, len(ends))
 
 
 class _Pieces(dict):
