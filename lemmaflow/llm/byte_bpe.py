@@ -32,6 +32,17 @@ def read_ranks(content: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in content.splitlines() if line)}
 
 
+class _Moves(dict):
+    """256 * state + byte to 256 * the next state, and the token that ends there; made when first asked for."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key: int) -> tuple[int, int]:
+        move = self[key] = self.make(key >> 8, key & 255)
+        return move
+
+
 class Transducer:
     """Bytes of one piece to token ids."""
 
@@ -46,18 +57,21 @@ class Transducer:
         #: A thread is (bytes read since its last token, that token); a state is a tuple of thread numbers, oldest first.
         self.threads, self.thread_number = [(b"", -1)], {(b"", -1): 0}
         self.states, self.state_number = [(0,)], {(0,): 0}
-        #: (state, byte) to the next state and the token that ends there.
-        self.moves: dict[int, tuple[int, int]] = {}
+        self.moves = _Moves(self._move)
 
     def merged(self, data: bytes) -> list[bytes]:
         """The merges by rank, for the bytes of two tokens at most."""
+        rank_of, none = self.ranks.get, 1 << 60
         parts = [data[k : k + 1] for k in range(len(data))]
-        while len(parts) > 1:
-            ranked = [(self.ranks.get(parts[k] + parts[k + 1], 1 << 60), k) for k in range(len(parts) - 1)]
-            rank, k = min(ranked)
-            if rank == 1 << 60:
-                break
+        ranks = [rank_of(data[k : k + 2], none) for k in range(len(data) - 1)]
+        while ranks and (rank := min(ranks)) < none:
+            k = ranks.index(rank)
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del ranks[k]
+            if k < len(ranks):
+                ranks[k] = rank_of(parts[k] + parts[k + 1], none)
+            if k:
+                ranks[k - 1] = rank_of(parts[k - 1] + parts[k], none)
         return parts
 
     def can_follow(self, last: int, token: int) -> bool:
@@ -95,8 +109,7 @@ class Transducer:
         if to is None:
             to = self.state_number[key] = len(self.states)
             self.states.append(key)
-        move = self.moves[state << 8 | byte] = to, ended
-        return move
+        return to << 8, ended
 
     def _chain(self, ends: list[int], at: int) -> list[int]:
         """Places where tokens end, from ``at`` back to 0."""
@@ -116,14 +129,15 @@ class Transducer:
         out: list[int] = []
         ends: list[int] = []
         state, moves = 0, self.moves
-        for byte in piece:
-            state, ended = moves.get(state << 8 | byte) or self._move(state, byte)
-            ends.append(ended)
-            if len(ends) >= LOOKAHEAD:
-                open_at = [len(ends) - len(self.threads[n][0]) for n in self.states[state]]
+        for k in range(0, len(piece), LOOKAHEAD):
+            if k:
+                open_at = [len(ends) - len(self.threads[n][0]) for n in self.states[state >> 8]]
                 agreed = max(set.intersection(*[set(self._chain(ends, at)) for at in open_at]))
                 out += self._emit(ends, agreed)
                 ends = ends[agreed:]
+            for byte in piece[k : k + LOOKAHEAD]:
+                state, ended = moves[state | byte]
+                ends.append(ended)
         return out + self._emit(ends, len(ends))
 
 
