@@ -56,7 +56,7 @@ def holds(kind: str, value: str) -> bool:
     """The form that a base kind asks for, and check sums of wider ones."""
     digits = re.sub("[^0-9]", "", value)
     if kind == "ip":
-        return all(int(x) <= 255 for x in value.split("."))
+        return all(len(x.lstrip("0")) <= 3 and int(x[-3:]) <= 255 for x in value.split("."))
     if kind == "card":
         return 14 <= len(digits) <= 19 and passes_luhn(digits)
     if kind == "phone":

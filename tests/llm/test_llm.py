@@ -159,6 +159,11 @@ def test_wider_personal_data(spark):
     assert all("masked_email" in [s["kind"] for s in r["spans"]] for r in got)
 
 
+def test_long_runs_of_digits():
+    found = personal_data.candidates("1.2.3." + "9" * 5000 + " " + "0" * 5000 + "9.2.3.255 +" + "1" * 5000)
+    assert [(s[2], s[3] - s[0]) for s in found] == [("ip", 5000 + len("9.2.3.255"))]
+
+
 def test_languages(spark, odd):
     got = queries.op7_language_id(spark, str(DATA))
     truth = spark.read.parquet(str(DATA / "documents.parquet")).select("doc_id", "lang")
