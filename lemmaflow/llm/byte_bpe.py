@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 
 from lemmaflow.llm.common import bounded_batches
 
-#: So many pieces, and so many states, are kept at most; then the tables start anew.
-KEPT, STATES = 200_000, 131_072
+#: So many pieces, states and pairs of tokens are kept at most; then the tables start anew.
+KEPT, STATES, FOLLOWS = 200_000, 131_072, 262_144
 #: After so many bytes of a piece, tokens are emitted before its end.
 LOOKAHEAD = 1024
 
@@ -33,12 +33,15 @@ def read_ranks(content: bytes) -> dict[bytes, int]:
 
 
 class _Moves(dict):
-    """256 * state + byte to 256 * the next state, and the token that ends there; made when first asked for."""
+    """256 * a state (or thread) + byte to what follows; made when first asked for.
+
+    Of a state, that is 256 * the next state and the token that ends there; of a thread, what ``_step`` gives.
+    """
 
     def __init__(self, make):
         self.make = make
 
-    def __missing__(self, key: int) -> tuple[int, int]:
+    def __missing__(self, key: int) -> tuple:
         move = self[key] = self.make(key >> 8, key & 255)
         return move
 
@@ -57,53 +60,60 @@ class Transducer:
         #: A thread is (bytes read since its last token, that token); a state is a tuple of thread numbers, oldest first.
         self.threads, self.thread_number = [(b"", -1)], {(b"", -1): 0}
         self.states, self.state_number = [(0,)], {(0,): 0}
-        self.moves = _Moves(self._move)
+        self.moves, self.steps = _Moves(self._move), _Moves(self._step)
 
-    def merged(self, data: bytes) -> list[bytes]:
-        """The merges by rank, for the bytes of two tokens at most."""
+    def stay_apart(self, left: bytes, right: bytes) -> bool:
+        """Whether the merges by rank make just these two tokens of their bytes; ends at a merge across their border."""
         rank_of, none = self.ranks.get, 1 << 60
+        data, border = left + right, len(left)
         parts = [data[k : k + 1] for k in range(len(data))]
         ranks = [rank_of(data[k : k + 2], none) for k in range(len(data) - 1)]
         while ranks and (rank := min(ranks)) < none:
             k = ranks.index(rank)
+            if k < border:
+                border -= 1
+                if k == border:
+                    return False
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
             del ranks[k]
             if k < len(ranks):
                 ranks[k] = rank_of(parts[k] + parts[k + 1], none)
             if k:
                 ranks[k - 1] = rank_of(parts[k - 1] + parts[k], none)
-        return parts
+        return parts == [left, right] if left else parts == [right]
 
     def can_follow(self, last: int, token: int) -> bool:
         key = (last + 1) << 32 | token
         if (known := self.follows.get(key)) is None:
-            if len(self.follows) > STATES:
+            if len(self.follows) > FOLLOWS:
                 self.follows.clear()
-            two = [self.bytes_of[x] for x in (last, token) if x >= 0]
-            known = self.follows[key] = self.merged(b"".join(two)) == two
+            known = self.follows[key] = self.stay_apart(self.bytes_of.get(last, b""), self.bytes_of[token])
         return known
 
+    def _number(self, thread: tuple[bytes, int]) -> int:
+        number = self.thread_number.get(thread)
+        if number is None:
+            number = self.thread_number[thread] = len(self.threads)
+            self.threads.append(thread)
+        return number
+
+    def _step(self, thread: int, byte: int) -> tuple[int, int, int]:
+        """The number of the thread that reads on (or -1), the token that its bytes are (or -1), and the token before."""
+        read, last = self.threads[thread]
+        read += bytes((byte,))
+        return self._number((read, last)) if read in self.starts else -1, self.ranks.get(read, -1), last
+
     def _move(self, state: int, byte: int) -> tuple[int, int]:
-        after, ended, more = [], -1, bytes((byte,))
+        numbers, ended, steps = [], -1, self.steps
         for number in self.states[state]:
-            read, last = self.threads[number]
-            read += more
-            if ended < 0:
-                token = self.ranks.get(read)
-                if token is not None and self.can_follow(last, token):
-                    ended = token
-            if read in self.starts:
-                after.append((read, last))
+            reads_on, token, last = steps[number << 8 | byte]
+            if ended < 0 <= token and self.can_follow(last, token):
+                ended = token
+            if reads_on >= 0:
+                numbers.append(reads_on)
         if ended < 0:
             raise ValueError("the vocabulary lacks a byte")
-        after.append((b"", ended))
-        numbers = []
-        for thread in after:
-            number = self.thread_number.get(thread)
-            if number is None:
-                number = self.thread_number[thread] = len(self.threads)
-                self.threads.append(thread)
-            numbers.append(number)
+        numbers.append(self._number((b"", ended)))
         key = tuple(numbers)
         to = self.state_number.get(key)
         if to is None:
@@ -142,14 +152,19 @@ class Transducer:
 
 
 class _Pieces(dict):
-    """Piece to its ids as bytes of int32."""
+    """Piece to its ids as bytes of int32. Once full, it starts anew, and takes pieces from the full one as they come."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.machine = Transducer(ranks)
+        self.full: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) > KEPT:
+            self.full = dict(self)
             self.clear()
+        if (value := self.full.pop(piece, None)) is not None:
+            self[piece] = value
+            return value
         data = piece.encode()
         whole = self.machine.ranks.get(data)
         ids = [whole] if whole is not None else self.machine.encode(data)
