@@ -109,3 +109,14 @@ def pii(text):
     found.sort()
     n = Counter(x[2] for x in found)
     return n["email"], n["ip"], n["card"], n["phone"], sha(",".join(f"{k}:{s}:{e}" for s, _, k, e in found))
+
+
+def aligned(doc, item, stretch):
+    """The largest share of equal words in a stretch of the item, over all alignments with the document."""
+    width, best = min(stretch, len(item)), 0
+    if len(item) < 5:
+        return 0.0
+    for d in range(-len(item), len(doc) + 1):
+        same = [0 <= i + d < len(doc) and doc[i + d] == w for i, w in enumerate(item)]
+        best = max(best, *(sum(same[i : i + width]) for i in range(len(item) - width + 1)))
+    return best / width

@@ -1,6 +1,7 @@
 """The operators against plain Python, exact round trips and held-out accuracy, on small tables and odd rows."""
 
 import base64
+import itertools
 import random
 import sys
 from pathlib import Path
@@ -202,6 +203,36 @@ def test_decontamination(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(1, 10), (1, 11), (2, 10), (6, 11)}
 
 
+def allowed(width: int) -> int:
+    return width - -(-3 * width // 4)
+
+
+@pytest.mark.parametrize("words", [*range(5, 24), 60])
+def test_masks_are_lossless(words):
+    width = min(words, 20)
+    spots = [sum(1 << o + i for i, c in enumerate(m) if c == "1") for m in decontaminate.family(words, 20, 0.75) for o in range(width - len(m) + 1)]
+    missed = [p for p in itertools.combinations(range(width), allowed(width)) if all(s & sum(1 << i for i in p) for s in spots)]
+    assert spots and not missed
+
+
+def test_decontamination_against_all_alignments(spark):
+    r = random.Random(6)
+    items = {k: [f"w{r.randrange(50)}" for _ in range(n)] for k, n in enumerate([*range(4, 24), 40, 60])}
+    docs = {}
+    for k, item in items.items():
+        for spare in (0, 1):
+            part = item[:20] if k % 2 else item[-20:]
+            edited = list(part)
+            spots = range(0, len(part), 4) if spare == 0 and len(part) == 20 else r.sample(range(len(part)), min(len(part), allowed(len(part)) + spare))
+            for i in spots:
+                edited[i] = "other"
+            docs[10 * k + spare] = [f"n{r.randrange(10**6)}" for _ in range(r.choice([0, 7]))] + edited + ["end"] * r.choice([0, 3])
+    want = {(d, k) for d, words in docs.items() for k, item in items.items() if brute.aligned(words, item, 20) >= 0.75}
+    assert len(want) > 15
+    frames = [spark.createDataFrame([(k, " ".join(w)) for k, w in x.items()], f"{c} long, text string") for x, c in ((docs, "doc_id"), (items, "item_id"))]
+    assert {(x["doc_id"], x["item_id"]) for x in decontaminate.contaminated(*frames, short_share=0.75).collect()} == want
+
+
 def test_warc(spark, tmp_path):
     same = "<p>" + "x" * 200
     rows = [(3, "u", same), (1, "u\r\n%41", same), (2, None, None), (4, "u", "short"), (5, "u", "short"), (None, "u", same)] + [(100 + i, "u", f"{i}" * 400) for i in range(60)]
