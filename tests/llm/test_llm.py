@@ -101,6 +101,15 @@ def test_redaction(spark):
     assert got == {1: "x <secret> y", 2: "secret: shared99 z", 3: "secret: shared99 z", 4: None}
 
 
+def test_copies_of_one_owner_stay_live(spark):
+    text, kinds = "x password=abcdef12 y ghp_" + "a1B" * 12 + " z", ["assign", "issued"]
+    rows = spark.createDataFrame([(i, text, "a") for i in range(40)], "doc_id long, text string, source string")
+    for r in secret_scan.scan_secrets(rows).collect():
+        live = [s["kind"] for s in r["spans"] if s["verdict"] == "live"]
+        assert set(kinds) <= set(live) and len(live) == len(r["spans"])
+    assert {r["text"] for r in secret_scan.redact_secrets(rows).collect()} == {"x <secret> y <secret> z"}
+
+
 def test_quality_statistics(docs, odd):
     for df in (docs, odd):
         got = sorted((r["doc_id"] or -1, *r[1:6]) for r in quality_rules.text_statistics(df, ["doc_id"]).collect())
