@@ -16,23 +16,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that the cluster shares; a local one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/lemmaflow-scratch"
-    return f"{root.rstrip('/')}/lemmaflow/{uuid.uuid4().hex}"
+    """A new path in the folder that the cluster shares; what is there goes when the application ends.
 
+    Where no such folder is set, the path is a local one, if Spark runs in one process.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = root or f"file://{tempfile.gettempdir()}/lemmaflow-scratch"
+    own = f"{root.rstrip('/')}/lemmaflow/{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(target)
+    store.deleteOnExit(target)
+    return f"{own}/data"
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: writes ``df`` to the shared folder and reads it back.
 
-    The files go when the application ends.
-    """
-    spark = df.sparkSession
-    path = scratch(spark)
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+def materialize(df: DataFrame) -> DataFrame:
+    """Cuts the lineage: writes ``df`` to the shared folder, in row groups that take little memory, and reads it back."""
+    path = scratch(df.sparkSession)
+    df.write.option("parquet.block.size", 16 << 20).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
@@ -43,3 +47,11 @@ def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
 
 def text_of(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """``name``, or with underscores what no column of ``df`` is called (case ignored)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
