@@ -41,8 +41,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = byte_bpe.encode(docs, path, public_tokenizers.PATTERN)
-    both = byte_bpe.decode(ids, path)
+    both = byte_bpe.round_trip(docs, path, public_tokenizers.PATTERN)
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return both.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("decodes_to_text"))
 
