@@ -1,14 +1,15 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
 P(grade >= k) = sigmoid(w . x - t_k): hashed text features share the weights w, ordered thresholds t_1 < t_2 < ...
-part the grades. x has a 1 for each distinct word, and for each word shape (letters folded) with the power of two
+part the grades. x has a 1 for each distinct word, and for each word shape (runs of letters and digits folded) with the power of two
 of its share in the text. Trained on at most ``max_rows`` rated rows, those with the smallest hash of the id;
 the fit runs on the driver over that bounded sample, everything else over all documents on the executors.
 
 Defined cases: a null text is empty and has no features, so its grade is what the thresholds say; rows with a null
 grade or id are not learned from; of several ratings of a document the lowest counts;
 without any rated rows or with one grade only, expected_grade is that grade (or null) and every row is kept; every
-row gives a row; other columns pass through; an empty table gives no rows.
+row gives a row, repeated ones too; other columns pass through, and those that have an output's name are replaced;
+an empty table gives no rows. Only texts go to Python and only the verdicts come back.
 """
 
 from collections import Counter
@@ -20,23 +21,25 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lemmaflow.llm.common import bounded_batches
+from lemmaflow.llm.common import bounded_batches, unused
 
 SIZE = 1 << 18
 _letters = regex.compile(r"\p{Lu}+")
 _small = regex.compile(r"[\p{Ll}\p{Lo}]+")
+_digits = regex.compile(r"\p{Nd}+")
 
 
 class _Words(dict):
-    """Word to its feature and its shape."""
-
-    def __missing__(self, word: str) -> tuple[int, str]:
-        if len(self) > 65_536:
-            self.clear()
-        feature = xxhash.xxh3_64_intdigest("w" + word.lower().strip(".,;:!?")) % SIZE
-        value = self[word] = feature, _small.sub("a", _letters.sub("A", word))[:12]
+    """Word to the numbers of its feature and its shape. Long ones aren't kept."""
+
+    def __missing__(self, word: str) -> tuple[int, int]:
+        shape = _digits.sub("0", _small.sub("a", _letters.sub("A", word)))
+        value = xxhash.xxh3_64_intdigest("w" + word.lower().strip(".,;:!?")) % SIZE, xxhash.xxh3_64_intdigest(shape)
+        if len(word) <= 64:
+            if len(self) > 32_768:
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -112,25 +115,27 @@ def classify(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_c
     if len(levels) > 1:
         rows = [x.values.to_numpy() for x in got["x"]]
         model = spark.sparkContext.broadcast(fit(rows, grades, levels))
-    out = T.StructType([*docs.schema.fields, T.StructField("expected_grade", T.DoubleType()), T.StructField("tail_probability", T.DoubleType()), T.StructField("kept", T.BooleanType())])
-    names = ["expected_grade", "tail_probability", "kept"]
     only = float(levels[0]) if len(levels) == 1 else None
+    names = ["expected_grade", "tail_probability", "kept"]
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
+    @F.arrow_udf("expected_grade double, tail_probability double, kept boolean")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            n = len(texts)
             if model is None:
                 new = [pa.array([only] * n, pa.float64()), pa.array([1.0] * n), pa.array([True] * n)]
             else:
                 w, cuts = model.value
-                z = np.array([w[features(t)].sum(dtype=np.float64) for t in batch[text_col].to_pylist()])
+                z = np.array([w[features(t)].sum(dtype=np.float64) for t in texts.to_pylist()])
                 p = _sigmoid(z[:, None] - cuts)
                 expected = levels[0] + (p * np.diff(levels)).sum(axis=1)
                 new = [pa.array(expected), pa.array(p[:, -1]), pa.array(p[:, -1] >= keep_at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *names])
+            yield pa.StructArray.from_arrays(new, names=names)
         _known.clear()
 
-    return docs.mapInArrow(score, out)
+    verdict = unused("verdict", docs)
+    passed = [c for c in docs.columns if c not in names]
+    return docs.withColumn(verdict, score(text_col)).select(*passed, *[F.col(verdict)[n].alias(n) for n in names])
 
 
 def grades_of(labels: DataFrame) -> DataFrame:
