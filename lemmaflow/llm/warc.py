@@ -1,7 +1,10 @@
 """Deterministic sharded WARC writer, and the reader of its archives.
 
-Records are cut into shards of consecutive ids by a histogram of payload bytes over the id range, so the same
-table always gives the same shards. A shard's records are sorted by id and compressed one by one; a file ends
+Records are range-sorted: shards are stretches of (id, digest) of about ``shard_bytes`` of payload each. Their cuts
+are quantiles, weighted by bytes, of the rows with the smallest hashes, a bounded sample that any layout of the same
+table gives; so dense, far-off and repeated ids do no harm, and the same table always gives the same shards. Which
+records are revisits is decided on ids and digests alone. These decisions and the payloads go to their shard in one
+shuffle, where the writer meets a decision just before its records. Records are compressed one by one; a file ends
 once it passes ``roll_bytes``. Record ids, dates, digests and headers are made from the row alone. A file is
 written under a temporary name of the task attempt and then renamed, so that a repeated attempt replaces it by
 the same bytes; the manifest, written last and committed as a whole, names the files that count.
@@ -11,12 +14,14 @@ revisits of it without the payload; smaller ones are responses.
 
 Defined cases: a null payload or url is empty; a null id is written as an empty id field, sorts first and is a
 response; of repeated ids with equal payloads one row of the smallest id is the response (ties among wholly equal
-rows: all of that id are responses); other columns are ignored; an empty table gives a manifest without files.
+rows: all of that id are responses); rows of one id and payload stay in one shard; other columns are ignored; an
+empty table gives a manifest without files.
 """
 
 import gzip
 import hashlib
 import uuid
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +33,8 @@ from pyspark.sql import functions as F
 
 from lemmaflow.llm.common import bounded_batches
 
-BINS = 4096
+#: At most so many shards are made (beyond, they grow), from so many sampled rows each.
+MOST_SHARDS, SAMPLED = 1 << 14, 20
 DATE = "2024-01-01T00:00:00Z"
 MANIFEST = "shard int, seq int, file string, records long, bytes long, sha256 string"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
@@ -63,34 +69,41 @@ def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def _shards(sized: DataFrame, target: int) -> tuple[DataFrame, int]:
-    """``sized`` (page_id, payload_bytes, ...) with shard, and their number. BINS rows come to the driver."""
-    low, high = sized.agg(F.min("page_id"), F.max("page_id")).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // BINS))
-    at = F.coalesce(((F.col("page_id") - F.lit(low or 0)) / width).cast("int"), F.lit(0))
-    per = sized.groupBy(at.alias("bin")).agg(F.sum(F.col("payload_bytes") + 500).alias("b")).toPandas()
-    bins = np.zeros(BINS + 1, np.int64)
-    bins[per["bin"].to_numpy(np.int64)] = per["b"].to_numpy(np.int64)
-    before = np.concatenate([[0], np.cumsum(bins)[:-1]])
-    shard = before // target
-    _, shard = np.unique(shard, return_inverse=True)
-    cuts = F.array(*[F.lit(int(x)) for x in np.flatnonzero(np.diff(shard)) + 1]).cast("array<int>")
-    return sized.withColumn("shard", F.size(F.filter(cuts, lambda c: c <= at))), int(shard.max()) + 1
+def _shards(sized: DataFrame, target: int):
+    """The number of shards, and a row's shard as a column. MOST_SHARDS * SAMPLED rows come to the driver at most."""
+    weight, id_ = F.col("payload_bytes") + 500, F.coalesce("page_id", F.lit(-(1 << 63)))
+    total = sized.agg(F.sum(weight)).first()[0]
+    n = min(MOST_SHARDS, max(1, -(-(total or 0) // target)))
+    by_hash = sized.select(id_.alias("id"), "digest", weight.alias("w")).orderBy(F.xxhash64("digest", "id"), "digest", "id")
+    rows = sorted(map(tuple, by_hash.limit(n * SAMPLED).collect())) if n > 1 else []
+    before = np.cumsum([w for _, _, w in rows])
+    at = np.searchsorted(before, np.arange(1, n) * (before[-1] / n)) if rows else []
+    cuts = sorted({rows[k][:2] for k in at})
+    if not cuts:
+        return 1, F.lit(0)
+    known = sized.sparkSession.sparkContext.broadcast(cuts)  # MOST_SHARDS at most
 
+    @F.arrow_udf("int")
+    def shard(ids: pa.Array, digests: pa.Array) -> pa.Array:
+        return pa.array([bisect_right(known.value, key) for key in zip(ids.to_pylist(), digests.to_pylist(), strict=True)], pa.int32())
 
-def write_archives(pages: DataFrame, out: str, min_revisit: int = 100, shard_bytes: int = 64 << 20, roll_bytes: int = 8 << 20) -> DataFrame:
+    return len(cuts) + 1, shard(id_, "digest")
+
+
+def write_archives(pages: DataFrame, out: str, min_revisit: int = 100, shard_bytes: int = 32 << 20, roll_bytes: int = 8 << 20) -> DataFrame:
     """Writes ``out``/*.warc.gz and ``out``/manifest; gives the manifest. pages: page_id, url, html."""
     bounded_batches(pages.sparkSession)
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     read = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"))
     read = read.withColumn("payload_bytes", F.length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
-    small = read.select("page_id", "payload_bytes", "digest")
-    first = small.where(F.col("payload_bytes") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    first = first.where("n > 1 and first is not null").drop("n")
-    sized, n = _shards(read, shard_bytes)
-    refers = F.when(F.col("page_id") != F.col("first"), F.col("first"))
-    rows = sized.join(first, "digest", "left").withColumn("refers_to", refers).drop("first")
-    rows = rows.repartition(n, "shard").sortWithinPartitions("shard", "page_id", "digest", "url")
+    n, shard = _shards(read, shard_bytes)
+    small = read.where((F.col("payload_bytes") >= min_revisit) & F.col("page_id").isNotNull()).select("page_id", "digest")
+    first = small.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to <> last").drop("last")
+    decided = small.join(first, "digest").where("page_id <> refers_to").distinct()
+    none = F.lit(None)
+    rows = decided.select("page_id", "digest", "refers_to", none.cast("string").alias("url"), none.cast("binary").alias("payload"))
+    rows = rows.unionByName(read.select("page_id", "digest", none.cast("long").alias("refers_to"), "url", "payload")).withColumn("shard", shard)
+    rows = rows.repartitionById(n, F.col("shard")).sortWithinPartitions("page_id", "digest", F.col("refers_to").isNull(), "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(out)
@@ -98,7 +111,7 @@ def write_archives(pages: DataFrame, out: str, min_revisit: int = 100, shard_byt
         attempt = TaskContext.get().taskAttemptId()
         stream = name = now = None
         seq = records = size = 0
-        done, digest = [], None
+        done, digest, revisit = [], None, (None, None, None)
         kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string()]
 
         def close():
@@ -111,6 +124,10 @@ def write_archives(pages: DataFrame, out: str, min_revisit: int = 100, shard_byt
         for batch in batches:
             columns = [batch[c].to_pylist() for c in ("shard", "page_id", "url", "payload", "digest", "refers_to")]
             for shard, page_id, url, content, sha, refers_to in zip(*columns, strict=True):
+                if refers_to is not None:
+                    revisit = page_id, sha, refers_to
+                    continue
+                refers_to = revisit[2] if revisit[:2] == (page_id, sha) else None
                 if stream is not None and (shard != now or size >= roll_bytes):
                     close()
                     seq = seq + 1 if shard == now else 0
@@ -156,7 +173,7 @@ def _records(stream) -> Iterator[tuple]:
 
 def read_archives(spark: SparkSession, out: str) -> DataFrame:
     """The records of the files that the manifest of ``out`` names, with digests and lengths checked."""
-    manifest = spark.read.schema(MANIFEST).parquet(f"{out}/manifest")
+    manifest = spark.read.schema(MANIFEST).parquet(f"{out}/manifest").select("file")
     names = [x.split()[0] for x in RECORD.split(", ")]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
 
@@ -168,4 +185,4 @@ def read_archives(spark: SparkSession, out: str) -> DataFrame:
                     rows = list(_records(stream))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return manifest.select("file").repartition(spark.sparkContext.defaultParallelism).mapInArrow(read, RECORD)
+    return manifest.repartition(min(max(1, manifest.count()), MOST_SHARDS)).mapInArrow(read, RECORD)
