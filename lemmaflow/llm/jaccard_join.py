@@ -5,13 +5,15 @@
    (ties by hash). Any order that all documents share keeps the prefix filter exact; counters that collide
    only cost candidates.
 3. Two sets of similarity 0.8 share a shingle of their prefixes, the first n - ceil(0.8 n) + 1 in that order.
-   Prefix shingles that one class holds alone go; each other one is a group.
+   Prefixes are made once and written. Prefix shingles that one class holds alone go; each other one is a group.
 4. In a group, every member meets only the hub, the member in whose prefix the shingle comes first. Pairs
    pass the length and positional filters, then a suffix filter: counts of a set's hashes in 64 ranges, whose
    differences bound the symmetric difference from below. Each pair left is verified once, on whole sets.
-5. Members that the hub's links already connect need no link between them. Where a group still spans several
-   components, its pairs across components are tried the same way. So no link between components is lost,
+5. Members that the hub's links already connect need no link to find their component. Where a group still spans
+   several components, its pairs across components are tried the same way. So no link between components is lost,
    and large groups of copies do not make all their pairs.
+6. Links within components of three and more classes are counted in blocks of bounded size: every two blocks of a
+   component meet in one task, which counts what their sets share and gives each class its number of links.
 
 Defined cases: a text without words (or null) has n_shingles 0 and is a component of its own; every row gives a
 row, repeated ids too; a row with a null id takes part, and its component's id is the smallest one that is not
@@ -33,6 +35,8 @@ WORDS = 5
 COUNTERS = 1 << 18
 #: A set of this many flags (1 byte of key each) says which documents may be fetched; it is broadcast.
 FLAGS = 1 << 20
+#: Components are cut into blocks of about so many shingles.
+BLOCK = 1 << 17
 #: Odd multipliers of the five places of a shingle, and of the last mix.
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -73,12 +77,13 @@ def _mark(tokens: np.ndarray) -> int:
 
 def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)).alias("rid"), text.cast("binary").alias("text"))
+    id_, own = F.col(id_col).cast("long"), F.xxhash64(text)
+    return docs.select(id_.alias("id"), own.alias("text_hash"), F.coalesce(id_, own).alias("rid"), text.cast("binary").alias("text"))
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each text its size, mark and signature; of each partition its counters."""
-    schema = pa.schema([("id", pa.int64()), ("rid", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("sig", pa.binary()), ("counter", pa.int32()), ("times", pa.int64())])
+    schema = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("rid", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("sig", pa.binary()), ("counter", pa.int32()), ("times", pa.int64())])
     counts = np.zeros(COUNTERS, np.int64)
     for batch in batches:
         sets = [shingle_set(t) for t in batch["text"].to_pylist()]
@@ -88,21 +93,24 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if short:
             counts += np.bincount((np.concatenate(short) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
         none = pa.nulls(len(sets))
-        columns = [batch["id"], batch["rid"], pa.array([len(s) for s in sets], pa.int32()), pa.array([_mark(s) for s in sets], pa.int64()), pa.array([_signature(s) for s in sets], pa.binary()), none.cast(pa.int32()), none.cast(pa.int64())]
+        columns = [batch["id"], batch["text_hash"], batch["rid"], pa.array([len(s) for s in sets], pa.int32()), pa.array([_mark(s) for s in sets], pa.int64()), pa.array([_signature(s) for s in sets], pa.binary()), none.cast(pa.int32()), none.cast(pa.int64())]
         yield pa.RecordBatch.from_arrays(columns, schema=schema)
     used = np.flatnonzero(counts)
     none = pa.nulls(len(used))
-    columns = [none.cast(schema.types[k]) for k in range(5)] + [pa.array(used.astype(np.int32)), pa.array(counts[used])]
+    columns = [none.cast(schema.types[k]) for k in range(6)] + [pa.array(used.astype(np.int32)), pa.array(counts[used])]
     _hash_of.clear()
     yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
 def _prefixes(counters):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.frombuffer(counters.value, np.uint32)
+        counts, seen = np.frombuffer(counters.value, np.uint32), set()
         for batch in batches:
             out = []
-            for text in batch["text"].to_pylist():
+            for own, text in zip(batch["text_hash"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                if own in seen:  # a copy in this task
+                    continue
+                seen.add(own)
                 tokens = shingle_set(text)
                 if not (n := len(tokens)):
                     continue
@@ -167,6 +175,13 @@ def _pairs(joined: DataFrame) -> DataFrame:
     ).distinct()
 
 
+def _fetched(texts: DataFrame, needed: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose rid is among ``needed``; most others go before they move."""
+    flag = F.pmod(F.xxhash64("rid"), F.lit(FLAGS)).cast("int")
+    flags = needed.select(flag.alias("flag")).distinct()  # FLAGS rows at most
+    return texts.withColumn("flag", flag).join(F.broadcast(flags), "flag", "left_semi").drop("flag").join(needed, "rid")
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """The links (a, b) among candidate pairs."""
     side = classes.select("fp", "rid", "sig")
@@ -174,30 +189,103 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFra
         pairs = pairs.join(side.toDF(x, f"rid_{x}", f"sig_{x}"), x)
     near = materialize(pairs.mapInArrow(_near, "a long, b long, rid_a long, rid_b long"))
     needed = near.select(F.col("rid_a").alias("rid")).union(near.select("rid_b")).distinct()
-    flag = F.pmod(F.xxhash64("rid"), F.lit(FLAGS)).cast("int")
-    flags = needed.select(flag.alias("flag")).distinct()  # FLAGS rows at most
-    fetched = texts.withColumn("flag", flag).join(F.broadcast(flags), "flag", "left_semi").join(needed, "rid", "left_semi")
+    fetched = _fetched(texts.select("rid", "text"), needed)
     for x in "ab":
         near = near.join(fetched.select(F.col("rid").alias(f"rid_{x}"), F.col("text").alias(f"text_{x}")), f"rid_{x}")
     return near.select("a", "b", "text_a", "text_b").mapInArrow(_links, "a long, b long")
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles of a class's text; another row of a repeated id has another mark, and gives none."""
+    for batch in batches:
+        sets = [shingle_set(t) for t in batch["text"].to_pylist()]
+        same = pa.array([_mark(s) == fp for s, fp in zip(sets, batch["fp"].to_pylist(), strict=True)], pa.bool_())
+        columns = [batch[c] for c in ("root", "fp", "times", "blocks")] + [pa.array([s.tobytes() for s in sets], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["root", "fp", "times", "blocks", "tokens"]).filter(same)
+
+
+def _shared(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """How many elements each of the sets shares with each of the others."""
+    joined = np.concatenate(sets)
+    order = np.argsort(joined, kind="stable")
+    tokens, owner = joined[order], np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order]
+    out = np.empty((len(others), len(sets)), np.int64)
+    for k, other in enumerate(others):
+        low, high = np.searchsorted(tokens, other, "left"), np.searchsorted(tokens, other, "right")
+        times = high - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
+        out[k] = np.bincount(owner[at], minlength=len(sets))
+    return out.T
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in the order of root, lo, hi: how many rows each class of two blocks links to in the other one."""
+
+    def count(members: list[tuple]) -> pa.RecordBatch:
+        of = {}
+        for _, _, _, own, fp, times, tokens in members:
+            of.setdefault(own, {})[fp] = times, np.frombuffer(tokens, np.uint64)
+        first, second = of.get(True, {}), of.get(False, {})
+        pairs = [(first, second), (second, first)] if second else [(first, first)]
+        fps, links = [], []
+        for a, b in pairs if first else []:
+            sizes = [np.array([len(t) for _, t in x.values()]) for x in (a, b)]
+            linked = 9 * _shared([t for _, t in a.values()], [t for _, t in b.values()]) >= 4 * (sizes[0][:, None] + sizes[1])
+            fps += a
+            links += (linked @ np.array([times for times, _ in b.values()])).tolist()
+            if a is b:
+                links[-len(a) :] = [n - times for n, (times, _) in zip(links[-len(a) :], a.values(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(links, pa.int64())], names=["fp", "links"])
+
+    group: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(batch[c].to_pylist() for c in ("root", "lo", "hi", "own", "fp", "times", "tokens")), strict=True):
+            if group and group[0][:3] != row[:3]:
+                yield count(group)
+                group = []
+            group.append(row)
+    if group:
+        yield count(group)
+
+
+def _links_of(rooted: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
+    """fp, links: with how many rows of other classes a class links. rooted: fp, n, rid, times (its rows), root."""
+    size = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"))
+    two = rooted.join(size.where("members = 2").select("root"), "root").select("fp", "times")
+    ends = links.union(links.select("b", "a")).toDF("fp", "other")
+    single = ends.join(two.select("fp"), "fp").join(two.toDF("other", "links"), "other").select("fp", "links")
+
+    blocks = F.ceil(F.col("total") / BLOCK).cast("int")
+    more = rooted.join(size.where("members > 2").select("root", blocks.alias("blocks")), "root").select("root", "fp", "times", "blocks", "rid")
+    sets = _fetched(texts.select("rid", "text"), more.select("rid", "root", "fp", "times", "blocks")).mapInArrow(_sets, "root long, fp long, times long, blocks int, tokens binary")
+    sets = sets.dropDuplicates(["fp"]).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    met = sets.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("root", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), (F.col("block") <= F.col("with")).alias("own"), "fp", "times", "tokens")
+    met = met.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
+    counted = met.mapInArrow(_counted, "fp long, links long").groupBy("fp").agg(F.sum("links").alias("links"))
+    return single.union(counted)
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id of every row."""
+    """id, n_shingles, component_id, n_links (rows that the row links to), text_hash, component of every row.
+
+    component is the number of the row's group, null without words; text_hash (xxhash64 of the text) and the id name a
+    row up to its copies.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
     texts = _read(docs, id_col, text_col)
-    found = materialize(texts.mapInArrow(_profiles, "id long, rid long, n int, fp long, sig binary, counter int, times long"))
-    per_doc = found.where("counter is null").select("id", "rid", "n", "fp", "sig")
+    found = materialize(texts.mapInArrow(_profiles, "id long, text_hash long, rid long, n int, fp long, sig binary, counter int, times long"))
+    per_doc = found.where("counter is null").select("id", "text_hash", "rid", "n", "fp", "sig")
     summed = found.where("counter is not null").groupBy("counter").agg(F.sum("times").alias("times")).toPandas()  # COUNTERS rows at most
     counts = np.zeros(COUNTERS, np.uint32)
     counts[summed["counter"].to_numpy(np.int64)] = np.minimum(summed["times"].to_numpy(np.int64), 2**32 - 1)
-    rows = texts.select("text").mapInArrow(_prefixes(spark.sparkContext.broadcast(counts.tobytes())), "token long, fp long, n int, pos int")
+    rows = materialize(texts.select("text_hash", "text").mapInArrow(_prefixes(spark.sparkContext.broadcast(counts.tobytes())), "token long, fp long, n int, pos int"))
     key = F.shiftleft(F.least("pos", F.lit(32767)).cast("long"), 48).bitwiseOR(F.col("fp").bitwiseAND(F.lit((1 << 48) - 1)))
     shared = rows.groupBy("token").agg(F.min(key).alias("first"), F.max(key).alias("last")).where("first <> last").drop("last")
     members = materialize(rows.join(shared, "token").withColumn("hub", F.col("first") == key).drop("first").distinct())
 
-    classes = materialize(per_doc.where("n > 0").groupBy("fp").agg(F.min("id").alias("id"), F.min("rid").alias("rid"), F.first("sig").alias("sig")))
+    classes = materialize(per_doc.where("n > 0").groupBy("fp").agg(F.min("id").alias("id"), F.min("rid").alias("rid"), F.first("sig").alias("sig"), F.first("n").alias("n"), F.count(F.lit(1)).alias("times")))
     hubs = members.where("hub").select("token", F.col("fp").alias("fp2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))
     met = members.where("not hub").join(hubs, "token").where(_passes("n", "pos", "n2", "pos2"))
     links = materialize(_verified(_pairs(met), classes, texts))
@@ -212,9 +300,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if not more.isEmpty():
         roots = materialize(connected_components(roots.toDF("a", "b").union(more)))
 
-    rooted = classes.select("fp", "id").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = materialize(classes.select("fp", "id", "n", "rid", "times").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    out = per_doc.where("n > 0").join(named, "fp", "left").select("id", "n", "component_id")
-    out = out.union(per_doc.where("n = 0").select("id", "n", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
+    linked = materialize(_links_of(rooted, links.union(more), texts))
+    named = rooted.join(least, "root").join(linked, "fp", "left")
+    named = named.select("fp", "component_id", F.col("root").alias("component"), (F.col("times") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    out = per_doc.where("n > 0").join(named, "fp", "left").select("id", "n", "component_id", "n_links", "text_hash", "component")
+    out = out.union(per_doc.where("n = 0").select("id", "n", "id", F.lit(0).cast("long"), "text_hash", F.lit(None).cast("long")))
+    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id", "n_links", "text_hash", "component")

@@ -20,7 +20,7 @@ from lemmaflow.llm.common import scratch, table
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).drop("text_hash", "component")
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,7 +55,7 @@ def shingles(text):
 
 
 def components(docs):
-    """doc_id -> (set size, smallest id reachable by links of similarity 0.8), by trying all pairs that share a shingle."""
+    """doc_id -> (set size, smallest id reachable by links of similarity 0.8, number of links), by trying all pairs that share a shingle."""
     sets = {i: shingles(t) for i, t in docs}
     holders = defaultdict(list)
     for i, s in sets.items():
@@ -69,7 +69,7 @@ def components(docs):
             i = parent[i]
         return i
 
-    tried = set()
+    tried, links = set(), Counter()
     for group in holders.values():
         for k, a in enumerate(group):
             for b in group[k + 1 :]:
@@ -78,9 +78,10 @@ def components(docs):
                 tried.add((a, b))
                 both = len(sets[a] & sets[b])
                 if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                    links.update((a, b))
                     a2, b2 = find(a), find(b)
                     parent[max(a2, b2)] = min(a2, b2)
-    return {i: (len(sets[i]), find(i)) for i in sets}
+    return {i: (len(sets[i]), find(i), links[i]) for i in sets}
 
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")

@@ -13,6 +13,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 import brute  # noqa: E402
 import public_tokenizers  # noqa: E402
 import tiktoken  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 
 from lemmaflow.llm import (  # noqa: E402
     byte_bpe,
@@ -70,10 +71,12 @@ def near_copies(seed: int = 3, n: int = 240) -> list[tuple[int, str]]:
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize("seed", [3, 4])
-def test_jaccard_components(spark, seed):
+@pytest.mark.parametrize(("seed", "block"), [(3, 1 << 17), (4, 400)])
+def test_jaccard_components(spark, monkeypatch, seed, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
     rows = near_copies(seed)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    rows += [(1000 + i, t) for i, t in rows[::7]]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute.components(rows)
 
 
@@ -82,6 +85,7 @@ def test_jaccard_odd_rows(odd):
     assert len(got) == len(ODD)
     by = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got}
     assert by[1] == (0, 1) and by[4] == by[5] == (1, 4) and by[6] == (1, 6)
+    assert {r["n_links"] for r in got if r["doc_id"] in (4, 5)} == {2} and {r["n_links"] for r in got if r["doc_id"] not in (4, 5)} == {0}
 
 
 def test_secrets(docs, odd):
@@ -284,5 +288,22 @@ def test_pipeline(spark):
         sets[name] = {r[0] for r in docs.select("doc_id").collect()}
         assert sets[name] <= {r[0] for r in before.select("doc_id").collect()}
     graded = [(r["doc_id"], r["text"]) for r in spark.read.parquet(str(DATA / "documents.parquet")).collect() if r["doc_id"] in sets["quality_classifier"]]
-    assert sets["ngram_jaccard_join"] == {c for _, c in brute.components(graded).values()}
+    assert sets["ngram_jaccard_join"] == {c for _, c, _ in brute.components(graded).values()}
     assert docs.where("not decodes_to_text").count() == 0
+
+
+def test_warc_shards_with_a_far_id_and_a_much_copied_payload(spark, tmp_path):
+    far = [(k if k else 10**15, "u", f"{k}" * 400) for k in range(400)]
+    copied = [(10**6 + k, "u", "<p>" + "same" * 50) for k in range(10_000)]
+    pages = spark.createDataFrame(far + copied, "page_id long, url string, html string").repartition(4)
+    manifest = warc.write_archives(pages, f"file://{tmp_path}/a", shard_bytes=100_000, roll_bytes=50_000)
+    sizes = [r["records"] for r in manifest.groupBy("shard").agg(F.sum("records").alias("records")).collect()]
+    assert len(sizes) > 30 and max(sizes) < 10_400 / 10
+    got = warc.read_archives(spark, f"file://{tmp_path}/a").groupBy("record_type", "refers_to").count().collect()
+    assert sorted(map(tuple, got), key=str) == [("response", None, 401), ("revisit", 10**6, 9999)]
+
+
+def test_warc_of_no_pages(spark, tmp_path):
+    none = spark.createDataFrame([], "page_id long, url string, html string, shard int")
+    assert warc.write_archives(none, f"file://{tmp_path}/a").count() == 0
+    assert warc.read_archives(spark, f"file://{tmp_path}/a").count() == 0
