@@ -12,7 +12,9 @@ exclusive; other columns are ignored; an empty table gives no rows.
 """
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -21,15 +23,16 @@ from pyspark.sql import functions as F
 
 from lemmaflow.llm.common import bounded_batches, materialize
 
-#: Kinds in the order of ties, their patterns and words.
+#: Kinds in the order of ties, their patterns and words. Those of mail begin after the LOCAL part, and the
+#: address begins where the run of its characters before them does; so long runs are read once.
 KINDS = ["email", "ip", "card", "phone", "masked_email", "iban", "local_phone"]
 BASE = KINDS[:4]
 PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "email": re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    "ip": re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)"),
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
-    "masked_email": re.compile(r"[A-Za-z0-9._%+-]+ ?[\[(]at[\])] ?[A-Za-z0-9-]+(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]+)+"),
+    "masked_email": re.compile(r" ?[\[(]at[\])] ?[A-Za-z0-9-]+(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]+)+"),
     "iban": re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
     "local_phone": re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])"),
 }
@@ -43,6 +46,7 @@ CONTEXT = {
     "phone": re.compile(r"call|phone|tel|mobile|fax|contact|number", re.I),
     "iban": re.compile(r"iban|account|bank|transfer", re.I),
 }
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 YES, NO, ABSTAIN = 1, 0, -1
 SPAN = "start int, rank int, kind string, end int, structure int, gazetteer int, context int, digits int, length int"
 
@@ -88,6 +92,22 @@ def _context(kind: str, text: str, start: int) -> int:
     return YES if words.search(text, max(0, start - 40), start) else ABSTAIN
 
 
+def _matches(kind: str, text: str) -> Iterator[tuple[int, int]]:
+    """start, end of all leftmost matches, none overlapping."""
+    if "email" not in kind:
+        yield from (m.span() for m in PATTERNS[kind].finditer(text))
+        return
+    done = seen = 0
+    for m in PATTERNS[kind].finditer(text):
+        if kind == "email":  # a run doesn't go on beyond another mark
+            seen = text.rfind("@", seen, m.start()) + 1 or seen
+        run = text[max(done, seen) : m.start()]
+        if size := len(run) - len(run.rstrip(LOCAL)):
+            yield m.start() - size, m.end()
+            done = m.end()
+        seen = m.start() + 1
+
+
 def candidates(text: str | None) -> list[tuple]:
     """Spans in order: base ones that hold, and wider ones that no base span overlaps."""
     if not text:
@@ -95,19 +115,24 @@ def candidates(text: str | None) -> list[tuple]:
     at, digit = "@" in text, re.search("[0-9]", text) is not None
     wanted = {"email": at, "ip": digit, "card": digit, "phone": digit and "+" in text, "masked_email": "at]" in text or "at)" in text, "iban": digit, "local_phone": digit}
     found: list[tuple] = []
+    starts: list[int] = []
+    ends: list[int] = []
     for rank, kind in enumerate(KINDS):
+        if rank == len(BASE):
+            base = sorted((s[0], s[3]) for s in found)
+            starts, ends = [s for s, _ in base], list(accumulate((e for _, e in base), max))
         if not wanted[kind]:
             continue
-        base = [(s[0], s[3]) for s in found if s[2] in BASE] if kind not in BASE else []
-        for m in PATTERNS[kind].finditer(text):
-            value, start, end = m[0], m.start(), m.end()
+        for start, end in _matches(kind, text):
+            value = text[start:end]
             if kind == "card" and len(value) < 14:
                 continue
             fits = holds(kind, value)
-            if kind in BASE and not fits or any(s < end and start < e for s, e in base):
+            before = bisect_left(starts, end)
+            if kind in BASE and not fits or before and ends[before - 1] > start:
                 continue
             votes = YES if fits else NO, _gazetteer(kind, value), _context(kind, text, start)
-            found.append((start, rank, kind, end, *votes, sum(c.isdigit() for c in value), len(value)))
+            found.append((start, rank, kind, end, *votes, len(re.findall("[0-9]", value)), len(value)))
     return sorted(found)
 
 
