@@ -9,10 +9,10 @@ pigeonhole principle. Seeds of the items set bits of a map of fixed size, which
 the documents that it passes are joined with the items' seeds, by their whole hashes. A hit fixes an alignment,
 which is verified around it.
 
-Items of fewer than ``SHORT`` words ask for ``short_share`` in place of ``share``; by default they must be there as
+An item of n words allows so many substitutions as leave ``share`` of n, so one of up to three words must be there as
 a whole.
 
-Defined cases: null or empty texts and items of fewer than ``MIN_WORDS`` words match nothing; repeated rows of a
+Defined cases: texts and items without words match nothing; repeated rows of a
 document or an item give one match; rows with a null id are compared but not reported; other columns are
 ignored; empty tables give no rows. Word order matters: inserted words start another alignment.
 """
@@ -41,11 +41,9 @@ FAMILIES = {
     (6, 1): ["11111", "111011", "110111", "101111", "111101"],
     (5, 1): ["1111", "10111", "11011", "11101"],
 }
-SHORT = 11
 #: Longest run of words in one seed, and about how many words are hashed at once.
 RUN = 32
 CHUNK = 1 << 16
-MIN_WORDS = 5
 BITS = 1 << 24
 FLAGS = 1 << 20
 MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -133,7 +131,7 @@ def _seed_rows(batches: Iterator[pa.RecordBatch], masks_of, bits) -> Iterator[pa
         for key, text in zip(batch["id"].to_pylist(), batch["text"].to_pylist(), strict=True):
             found = word_hashes(text)
             if held is None:
-                if len(found) >= MIN_WORDS:
+                if len(found):
                     yield from rows([key], [found], masks_of(len(found)))
                 continue
             keys.append(key)
@@ -159,15 +157,14 @@ def _best(doc: np.ndarray, item: np.ndarray, diagonals: list[int], stretch: int)
     return best
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", stretch: int = 20, share: float = 0.75, short_share: float = 1.0) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", stretch: int = 20, share: float = 0.75) -> DataFrame:
     """id, item, overlap (the largest share of equal words in a stretch): one row per document and item that match."""
     spark = docs.sparkSession
     bounded_batches(spark)
     kind = "id long, mask string, hash long, pos int"
-    asked = lambda n: short_share if n < SHORT else share
     read = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), "text")
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("id"), "text")
-    item_seeds = materialize(items.mapInArrow(lambda b: _seed_rows(b, lambda n: family(n, stretch, asked(n)), None), kind))
+    item_seeds = materialize(items.mapInArrow(lambda b: _seed_rows(b, lambda n: family(n, stretch, share), None), kind))
     masks = sorted(r[0] for r in item_seeds.select("mask").distinct().collect())  # as many as FAMILIES' masks and a run per length at most
     probe = F.explode(F.array(*[F.shiftrightunsigned("hash", s).bitwiseAND(F.lit(BITS - 1)) for s in (0, 24)]))
     bytes_set = item_seeds.select(probe.alias("at")).select(F.shiftright("at", 3).alias("byte"), F.expr("shiftleft(1, cast(at as int) & 7)").alias("bit"))
@@ -188,9 +185,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         for batch in batches:
             out = []
             for key, item, text, item_text, d in zip(*(batch[x].to_pylist() for x in ("id", "item", "text", "item_text", "diagonals")), strict=True):
-                words = word_hashes(item_text)
-                best = _best(word_hashes(text), words, d, stretch)
-                if best >= asked(len(words)):
+                best = _best(word_hashes(text), word_hashes(item_text), d, stretch)
+                if best >= share:
                     out.append((key, item, best))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["id", "item", "overlap"])
 
