@@ -36,7 +36,7 @@ COUNTERS = 1 << 18
 #: A set of this many flags (1 byte of key each) says which documents may be fetched; it is broadcast.
 FLAGS = 1 << 20
 #: Components are cut into blocks of about so many shingles.
-BLOCK = 1 << 17
+BLOCK = 1 << 15
 #: Odd multipliers of the five places of a shingle, and of the last mix.
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 MIX = np.uint64(0xFF51AFD7ED558CCD)

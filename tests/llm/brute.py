@@ -22,6 +22,15 @@ def secrets(text):
     return n["assign"], n["access"], n["hex"], sha(",".join(f"{k}:{s}:{e}" for s, _, k, e in found))
 
 
+def redacted(text, spans):
+    out, at = [], 0
+    for start, end in sorted(spans):
+        if start >= at:
+            out += [text[at:start], "<secret>"]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
 def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
@@ -115,8 +124,6 @@ def pii(text):
 def aligned(doc, item, stretch):
     """The largest share of equal words in a stretch of the item, over all alignments with the document."""
     width, best = min(stretch, len(item)), 0
-    if len(item) < 5:
-        return 0.0
     for d in range(-len(item), len(doc) + 1):
         same = [0 <= i + d < len(doc) and doc[i + d] == w for i, w in enumerate(item)]
         best = max(best, *(sum(same[i : i + width]) for i in range(len(item) - width + 1)))
