@@ -2,8 +2,9 @@
 
 Quality classifier (rejected documents go), n-gram Jaccard join (the smallest id of each group stays), benchmark
 decontamination (documents that hold an item go), secret scan (live secrets are replaced in the text), byte-level
-BPE (ids of the text, and whether they decode to it). Documents with a null id can't be named as copies or as
-contaminated, and stay; rows that repeat an id with the same group count as copies.
+BPE (ids of the text, and whether they decode to it). Decisions are on rows, by id and text: where an id repeats with
+other texts, each of its rows has its own verdict; rows alike in both are copies. A null id counts as the largest.
+Texts without words are no copies of each other; an empty table gives no rows.
 """
 
 import public_tokenizers
@@ -20,18 +21,29 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard_join.jaccard_components(docs)
-    copies = groups.groupBy("doc_id").agg(F.min("component_id").alias("of"), F.count(F.lit(1)).alias("n"))
-    known = copies.where("doc_id <> of or n > 1")
-    known = materialize(known)
-    kept = docs.join(known.select("doc_id"), "doc_id", "left_anti")
-    again = docs.join(known.where("doc_id = of").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).union(again.select(docs.columns))
+    id_, text_hash = F.col("doc_id"), F.xxhash64("text")
+    grouped = jaccard_join.jaccard_components(docs).where("component is not null").select("component", "doc_id", "text_hash")
+    grouped = materialize(grouped)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash"))
+    groups = grouped.groupBy("component").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    named = grouped.join(groups, "component").withColumn("stays", own == F.col("first"))
+    named = materialize(named.groupBy("doc_id", "text_hash", "stays").agg(F.count(F.lit(1)).alias("same")))
+
+    def row_of(keys: DataFrame):
+        return id_.eqNullSafe(keys["_id"]) & (text_hash == keys["_hash"])
+
+    keys = named.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "stays", "same")
+    gone, repeated = keys.where("not stays or same > 1"), keys.where("stays and same > 1")
+    again = docs.join(repeated, row_of(repeated), "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.join(gone, row_of(gone), "left_anti").select(docs.columns).union(again.select(docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), short_share=0.75)
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    row = F.xxhash64("doc_id", "text").alias("row")
+    found = decontaminate.contaminated(docs.select(row, "text"), table(spark, sf_dir, "benchmark"), id_col="row")
+    found = found.select(F.col("row").alias("_row")).distinct()
+    return docs.join(found, F.xxhash64("doc_id", "text") == F.col("_row"), "left_anti").select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
