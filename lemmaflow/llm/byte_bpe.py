@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from lemmaflow.llm.common import bounded_batches, unused
 
 #: So many chunks (about), states and pairs of tokens are kept at most; then the tables start anew.
-KEPT, STATES, FOLLOWS = 200_000, 131_072, 262_144
+KEPT, STATES, FOLLOWS = 100_000, 65_536, 131_072
 #: After so many bytes of a piece, tokens are emitted before its end.
 LOOKAHEAD = 1024
 #: Bits of a token's number, and a mask of them.

@@ -3,11 +3,13 @@
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but these ASCII spaces.
 SPACES = " \t\n\x0b\x0c\r"
+#: Flags of a broadcast set that says which rows may have a key.
+FLAGS = 1 << 20
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
@@ -39,12 +41,24 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
+def bounded_batches(spark: SparkSession, rows: int = 200) -> None:
     """From now on, Arrow batches of the session hold at most so many rows; whole texts make larger ones costly."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     spark.conf.set(key, str(min(rows, int(spark.conf.get(key)))))
 
 
+def set_apart(rows: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` that may have one of ``keys`` (one column, distinct or not), and the rest, which surely haven't.
+
+    Told by a set of FLAGS flags at most, which is broadcast; so the rest needs no shuffle.
+    """
+    name = unused("flag", rows)
+    of = lambda c: F.pmod(F.xxhash64(c), F.lit(FLAGS)).cast("int").alias(name)
+    flags = F.broadcast(keys.select(of(F.col(keys.columns[0]))).distinct())  # FLAGS rows at most
+    marked = rows.select("*", of(key))
+    return tuple(marked.join(flags, name, how).select(rows.columns) for how in ("left_semi", "left_anti"))
+
+
 def text_of(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -28,13 +28,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lemmaflow.llm.common import bounded_batches, materialize
+from lemmaflow.llm.common import bounded_batches, materialize, set_apart
 from lemmaflow.llm.graph import connected_components
 
 WORDS = 5
 COUNTERS = 1 << 18
-#: A set of this many flags (1 byte of key each) says which documents may be fetched; it is broadcast.
-FLAGS = 1 << 20
 #: Components are cut into blocks of about so many shingles.
 BLOCK = 1 << 15
 #: Odd multipliers of the five places of a shingle, and of the last mix.
@@ -177,9 +175,7 @@ def _pairs(joined: DataFrame) -> DataFrame:
 
 def _fetched(texts: DataFrame, needed: DataFrame) -> DataFrame:
     """The rows of ``texts`` whose rid is among ``needed``; most others go before they move."""
-    flag = F.pmod(F.xxhash64("rid"), F.lit(FLAGS)).cast("int")
-    flags = needed.select(flag.alias("flag")).distinct()  # FLAGS rows at most
-    return texts.withColumn("flag", flag).join(F.broadcast(flags), "flag", "left_semi").drop("flag").join(needed, "rid")
+    return set_apart(texts, F.col("rid"), needed.select("rid"))[0].join(needed, "rid")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -282,8 +278,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     counts[summed["counter"].to_numpy(np.int64)] = np.minimum(summed["times"].to_numpy(np.int64), 2**32 - 1)
     rows = materialize(texts.select("text_hash", "text").mapInArrow(_prefixes(spark.sparkContext.broadcast(counts.tobytes())), "token long, fp long, n int, pos int"))
     key = F.shiftleft(F.least("pos", F.lit(32767)).cast("long"), 48).bitwiseOR(F.col("fp").bitwiseAND(F.lit((1 << 48) - 1)))
-    shared = rows.groupBy("token").agg(F.min(key).alias("first"), F.max(key).alias("last")).where("first <> last").drop("last")
-    members = materialize(rows.join(shared, "token").withColumn("hub", F.col("first") == key).drop("first").distinct())
+    # Counting and joining need the same columns, so both read one shuffle.
+    dealt = rows.repartition("token")
+    shared = dealt.groupBy("token").agg(F.min(key).alias("first"), F.max(key).alias("last"), F.max("n").alias("longest")).where("first <> last and longest > 0")
+    members = materialize(dealt.join(shared.select("token", "first"), "token").withColumn("hub", F.col("first") == key).drop("first").distinct())
 
     classes = materialize(per_doc.where("n > 0").groupBy("fp").agg(F.min("id").alias("id"), F.min("rid").alias("rid"), F.first("sig").alias("sig"), F.first("n").alias("n"), F.count(F.lit(1)).alias("times")))
     hubs = members.where("hub").select("token", F.col("fp").alias("fp2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))
