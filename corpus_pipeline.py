@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lemmaflow.llm import byte_bpe, decontaminate, jaccard_join, quality_classifier, secret_scan
-from lemmaflow.llm.common import materialize, table
+from lemmaflow.llm.common import materialize, set_apart, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,15 +35,17 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     keys = named.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "stays", "same")
     gone, repeated = keys.where("not stays or same > 1"), keys.where("stays and same > 1")
-    again = docs.join(repeated, row_of(repeated), "left_semi").dropDuplicates(["doc_id", "text"])
-    return docs.join(gone, row_of(gone), "left_anti").select(docs.columns).union(again.select(docs.columns))
+    maybe, rest = set_apart(docs, text_hash, gone.select("_hash"))
+    again = maybe.join(repeated, row_of(repeated), "left_semi").dropDuplicates(["doc_id", "text"])
+    return rest.union(maybe.join(gone, row_of(gone), "left_anti").select(docs.columns)).union(again.select(docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    row = F.xxhash64("doc_id", "text").alias("row")
-    found = decontaminate.contaminated(docs.select(row, "text"), table(spark, sf_dir, "benchmark"), id_col="row")
-    found = found.select(F.col("row").alias("_row")).distinct()
-    return docs.join(found, F.xxhash64("doc_id", "text") == F.col("_row"), "left_anti").select(docs.columns)
+    row = F.xxhash64("doc_id", "text")
+    found = decontaminate.contaminated(docs.select(row.alias("row"), "text"), table(spark, sf_dir, "benchmark"), id_col="row")
+    found = materialize(found.select(F.col("row").alias("_row")).distinct())
+    maybe, rest = set_apart(docs, row, found)
+    return rest.union(maybe.join(found, row == F.col("_row"), "left_anti").select(docs.columns))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
