@@ -24,9 +24,9 @@ def annotated_formula(text: Column) -> Column:
 
 
 def normalize_text(text: Column) -> Column:
-    """Words of over 40 characters and capitalised words are masked, operators padded, spaces folded."""
-    masked = F.regexp_replace(text, r"\b\w{41,}\b", "<SYM_LONG>")
-    masked = F.regexp_replace(masked, r"\b[A-Z]\w*\b", "VAR")
+    """Words (letters, digits and _ of all scripts) of over 40 characters and capitalised words are masked, operators padded, spaces folded."""
+    masked = F.regexp_replace(text, r"[\p{L}\p{N}_]{41,}", "<SYM_LONG>")
+    masked = F.regexp_replace(masked, r"(?<![\p{L}\p{N}_])[A-Z][\p{L}\p{N}_]*", "VAR")
     padded = F.regexp_replace(masked, r"([()=,~&|])", " $1 ")
     return F.trim(F.regexp_replace(padded, r"(?U)\s+", " "))
 

@@ -1,14 +1,17 @@
 """Canonical names of symbols and variables, from token tables."""
 
 import re
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lemmaflow.functions.formula import token_table
+
 _token = re.compile(r"[A-Za-z0-9_][A-Za-z0-9_$:]*")
-TOKENS = "key string, tok int, start int, end int, name string, kind string, arity int"
+_pieces = re.compile(r"[A-Za-z0-9_][A-Za-z0-9_$:]*|[(),\[\]]|!?=")
+_equated, _called = re.compile(r"\s*!?=").match, re.compile(r"\s*\(").match
+TOKENS = {"tok": pa.int32(), "start": pa.int32(), "end": pa.int32(), "name": pa.string(), "kind": pa.string(), "arity": pa.int32()}
 
 
 def scan_tokens(formula: str) -> list[tuple]:
@@ -19,9 +22,11 @@ def scan_tokens(formula: str) -> list[tuple]:
     calls: list[bool] = []
     out: list[list] = []
     open_at: list[int | None] = []
-    last, pending = 0, None
-    for m in re.finditer(r"[A-Za-z0-9_][A-Za-z0-9_$:]*|[(),\[\]]|!?=", formula):
+    last, pending, done, sign = 0, None, 0, False
+    for m in _pieces.finditer(formula):
         s = m[0]
+        after_sign = sign and not formula[done : m.start()].strip()
+        done, sign = m.end(), s[-1] == "="
         if s in "([":
             is_call = s == "(" and pending is not None and not formula[last : m.start()].strip()
             calls.append(is_call)
@@ -32,15 +37,15 @@ def scan_tokens(formula: str) -> list[tuple]:
             if calls:
                 calls.pop()
                 owner = open_at.pop()
-                if owner is not None and re.match(r"\s*!?=", formula[m.end() :]):
+                if owner is not None and _equated(formula, m.end()):
                     out[owner][4] = "function"
         elif s == ",":
             if open_at and open_at[-1] is not None:
                 out[open_at[-1]][5] += 1
         elif _token.match(s):
             name = s.split(":")[0]
-            beside = re.search(r"=\s*$", formula[: m.start()]) or re.match(r"\s*!?=", formula[m.end() :])
-            call = re.match(r"\s*\(", formula[m.end() :])
+            beside = after_sign or _equated(formula, m.end())
+            call = _called(formula, m.end())
             if name[:1].isupper():
                 kind = "variable"
             elif call:
@@ -55,17 +60,8 @@ def scan_tokens(formula: str) -> list[tuple]:
 
 
 def formula_tokens(rows: DataFrame) -> DataFrame:
-    """rows: key (string), formula. One row per token; offsets are in code points."""
-    names = [x.split()[0] for x in TOKENS.split(", ")]
-    types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32()]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(k, *t) for k, f in zip(batch["key"].to_pylist(), batch["formula"].to_pylist(), strict=True) for t in scan_tokens(f or "")]
-            columns = list(zip(*found, strict=True)) if found else [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
-
-    return rows.select("key", "formula").mapInArrow(run, TOKENS)
+    """rows: formula and what else names it. One row per token; offsets are in code points."""
+    return token_table(rows, "formula", TOKENS, scan_tokens)
 
 
 def number_symbols(tokens: DataFrame) -> DataFrame:
@@ -84,7 +80,7 @@ def number_variables(tokens: DataFrame) -> DataFrame:
 
 
 def rewrite(rows: DataFrame, tokens: DataFrame, symbols: DataFrame, variables: DataFrame) -> DataFrame:
-    """rows: key, batch, formula. key, canonical: each token by its canonical name, all else as it was."""
+    """rows: key, batch, formula. key, canonical: each token by its canonical name, all else as it was, formulas without tokens and null ones too."""
     named = tokens.join(symbols, ["batch", "name", "arity", "kind"], "left").join(variables.withColumnRenamed("canon", "v"), ["key", "name"], "left")
     per = named.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.coalesce("v", "canon", "name").alias("to")))).alias("parts"))
 
@@ -94,4 +90,4 @@ def rewrite(rows: DataFrame, tokens: DataFrame, symbols: DataFrame, variables: D
 
     start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
     done = F.aggregate("parts", start, step, lambda s: F.concat(s["text"], F.substr("formula", s["at"] + 1, F.length("formula"))))
-    return rows.join(per, "key").select("key", done.alias("canonical"))
+    return rows.join(per, "key", "left").select("key", F.when(F.col("parts").isNull(), F.col("formula")).otherwise(done).alias("canonical"))

@@ -71,6 +71,7 @@ def scored_negatives(labelled: DataFrame, frontier: DataFrame) -> DataFrame:
 def sample_negatives(labelled: DataFrame, frontier: DataFrame, mult: int = 8, cap: int = 1000, fallback: int = 300) -> DataFrame:
     """Deduplicated positives and quota-sampled negatives: problem, clause_id, label, neg_bucket, part.
 
+    Among negatives a null bucket counts as never seen, an unknown one as passive only.
     part 0 is positives; 1 to 9 are frontier, early, mid, late, given leftovers, simplified, passive, never seen and
     the top-up.
     """
@@ -80,8 +81,10 @@ def sample_negatives(labelled: DataFrame, frontier: DataFrame, mult: int = 8, ca
     neg = scored_negatives(labelled, frontier).join(n_pos, "problem", "left").withColumn("t", wanted).where("t > 0")
     neg = neg.withColumns({"qg": F.expr("t div 2"), "qs": F.expr("t div 5"), "qp": F.expr("t div 4")})
     neg = neg.withColumn("qn", F.col("t") - F.col("qg") - F.col("qs") - F.col("qp"))
-    given = F.col("neg_bucket") == GIVEN
-    neg = neg.withColumn("kind", F.when(given & F.col("frontier"), "frontier").when(given, "open").otherwise(F.col("neg_bucket")))
+    known = F.coalesce("neg_bucket", F.lit(NEVER))
+    bucket = F.when(known.isin(GIVEN, SIMPLIFIED, PASSIVE, NEVER), known).otherwise(PASSIVE)
+    given = bucket == GIVEN
+    neg = neg.withColumn("kind", F.when(given & F.col("frontier"), "frontier").when(given, "open").otherwise(bucket))
     neg = neg.withColumn("kind", F.when(F.col("kind") == "open", born_section(["problem", "kind"])).otherwise(F.col("kind")))
     by_kind, whole = Window.partitionBy("problem", "kind"), Window.partitionBy("problem")
     best = [F.desc("score"), F.when(F.col("kind").isin("early", "mid", "late"), F.col("born")), F.asc("ord")]

@@ -79,6 +79,15 @@ def shortlist(scored: DataFrame, k: int, by: list[str]) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def in_blocks(queries: DataFrame, rows: DataFrame, query_id: str, row_id: str, block: int = 4096, part: int = 65_536) -> DataFrame:
+    """Every query with every row: a task meets about ``block`` queries with ``part`` rows, so no side is held whole."""
+    blocks, parts = (max(1, -(-df.count() // n)) for df, n in ((queries, block), (rows, part)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.withColumn("_block", F.pmod(F.xxhash64(query_id), F.lit(blocks)).cast("int")).withColumn("_part", every(parts))
+    right = rows.withColumn("_part", F.pmod(F.xxhash64(row_id), F.lit(parts)).cast("int")).withColumn("_block", every(blocks))
+    return right.join(left, ["_block", "_part"]).drop("_block", "_part")
+
+
 def rerank(scored: DataFrame, second: Column, k: int, by: list[str]) -> DataFrame:
     """Scores of the best ``k`` are replaced by ``second``; the others keep theirs."""
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "pos"))

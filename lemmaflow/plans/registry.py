@@ -196,13 +196,11 @@ def clean_clause_text(spark, sf_dir):
 
 
 @query(
-    r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\b\w{41,}\b', '<SYM_LONG>', 'g'), '\b[A-Z]\w*\b', 'VAR', 'g'),
-      '([()=,~&|])', ' \1 ', 'g'), '\s+', ' ', 'g')) AS normalized FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]')"""
+    r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\p{L}\p{N}_]{41,}', '<SYM_LONG>', 'g'), '(^|[^\p{L}\p{N}_])[A-Z][\p{L}\p{N}_]*', '\1VAR', 'g'),
+      '([()=,~&|])', ' \1 ', 'g'), '[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')) AS normalized FROM documents"""
 )
 def clause_normalize(spark, sf_dir):
-    """ASCII texts only: word boundaries of the two engines differ beyond."""
-    docs = _read(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return docs.select("doc_id", text.normalize_text(F.col("text")).alias("normalized"))
+    return _read(spark, sf_dir, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("normalized"))
 
 
 PREFIX = """'<H' || horn::INT || '><U' || unit::INT || '><E0><C' || CASE WHEN conj_dist <= 0 THEN 0 WHEN conj_dist <= 2 THEN 1 WHEN conj_dist <= 5 THEN 2 ELSE 3 END
@@ -258,8 +256,7 @@ def dynamic_vocab(spark, sf_dir):
 
 def _tokens(spark, sf_dir):
     rows = clause_log(spark, sf_dir).select(F.col("clause_id").cast("string").alias("key"), F.col("problem").alias("batch"), "ord", text.annotated_formula(text.clean_clause(F.col("text"))).alias("formula"))
-    tokens = canonical.formula_tokens(rows).join(rows.select("key", "batch", "ord"), "key")
-    return rows, tokens
+    return rows, canonical.formula_tokens(rows)
 
 
 SYMBOLS = """, s AS (SELECT problem AS batch, 'p_' || (k % 9) AS name, 1 AS arity, 'predicate' AS kind, ord * 10 AS place FROM clause_log
@@ -380,15 +377,16 @@ def score_normalize(spark, sf_dir):
     return rows.select("clause_id", *[F.round(scores.normalized(F.col("s"), ["problem"], how), 6).alias(how) for how in ("softmax", "zscore")])
 
 
-DOTS = """WITH q AS (SELECT vec_id AS q_id, label AS q_label, embedding AS q FROM embeddings WHERE vec_id < 10),
+DOTS = """WITH q AS (SELECT vec_id AS q_id, label AS q_label, embedding AS q FROM embeddings WHERE vec_id % 50 = 0),
     d AS (SELECT q_id, q_label, vec_id, label, list_dot_product(q::DOUBLE[], embedding::DOUBLE[]) AS score FROM embeddings, q)"""
 
 
 def _dots(spark, sf_dir):
-    """Ten conjectures against every vector; ten rows are broadcast."""
+    """Every vector whose id is divisible by 50 as a conjecture, against all vectors."""
     e = _read(spark, sf_dir, "embeddings")
-    q = e.where("vec_id < 10").select(F.col("vec_id").alias("q_id"), F.col("label").alias("q_label"), F.col("embedding").alias("q"))
-    return e.crossJoin(F.broadcast(q)).select("q_id", "q_label", "vec_id", "label", scores.dot(F.col("q"), F.col("embedding")).alias("score"), F.col("vec_id").alias("pos"))
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), F.col("label").alias("q_label"), F.col("embedding").alias("q"))
+    met = scoring.in_blocks(q, e, "q_id", "vec_id")
+    return met.select("q_id", "q_label", "vec_id", "label", scores.dot(F.col("q"), F.col("embedding")).alias("score"), F.col("vec_id").alias("pos"))
 
 
 @query(DOTS + " SELECT q_id, vec_id, round(score, 9) + 0.0 AS score FROM d")
@@ -421,14 +419,14 @@ def score_fusion(spark, sf_dir):
 
 @query(
     "SELECT label, "
-    + ", ".join(f"round(avg(embedding[{i + 1}]::DOUBLE), 5) AS mean_{i}, max(embedding[{i + 1}]::DOUBLE) AS max_{i}" for i in range(4))
+    + ", ".join(f"round(avg(embedding[{i + 1}]::DOUBLE), 5) AS mean_{i}, max(embedding[{i + 1}]::DOUBLE) AS max_{i}" for i in range(64))
     + " FROM embeddings GROUP BY label"
 )
 def chunk_pool(spark, sf_dir):
     chunks = _read(spark, sf_dir, "embeddings").select("label", F.col("embedding").alias("vector"))
     mean, most = scoring.pool_chunks(chunks, ["label"]), scoring.pool_chunks(chunks, ["label"], "max")
     both = mean.join(most.withColumnRenamed("vector", "most"), "label")
-    return both.select("label", *[c for i in range(4) for c in (F.round(F.col("vector")[i], 5).alias(f"mean_{i}"), F.col("most")[i].alias(f"max_{i}"))])
+    return both.select("label", *[c for i in range(64) for c in (F.round(F.col("vector")[i], 5).alias(f"mean_{i}"), F.col("most")[i].alias(f"max_{i}"))])
 
 
 PREDS = DOTS + ", p AS (SELECT q_id AS g, vec_id AS pos, round(score, 6) AS score, CASE WHEN label = q_label THEN 1 + vec_id % 3 ELSE 0 END AS label FROM d)"
