@@ -1,4 +1,4 @@
 """The registered queries."""
 
 from lemmaflow.plans import registry  # noqa: F401, I001
-from lemmaflow.plans import datasets, encodings, formulas  # noqa: F401
+from lemmaflow.plans import datasets, encodings, formulas, sessions  # noqa: F401

@@ -43,10 +43,18 @@ def replay(messages: DataFrame) -> DataFrame:
     return messages.groupBy("problem").applyInPandasWithState(answer, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the folder that the cluster shares; a local one only if Spark runs in one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = root or f"file://{tempfile.gettempdir()}/lemmaflow-scratch"
+    return f"{root.rstrip('/')}/lemmaflow/{uuid.uuid4().hex}"
+
+
 def run_to_end(spark: SparkSession, stream: DataFrame) -> DataFrame:
     """Runs over all that is there, into files of the folder that the cluster shares."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/lemmaflow-scratch"
-    path = f"{root.rstrip('/')}/lemmaflow/{uuid.uuid4().hex}"
+    path = shared_path(spark)
     query = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
