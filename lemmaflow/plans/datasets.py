@@ -4,7 +4,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lemmaflow.operators import dataset
-from lemmaflow.plans.registry import CL, DEDUP, FRONTIER, clause_log, query
+from lemmaflow.plans.formulas import written_once
+from lemmaflow.plans.registry import CL, clause_log, query
 from lemmaflow.sources import messages as logs
 
 
@@ -46,7 +47,7 @@ def solver_outputs(spark, sf_dir: str) -> DataFrame:
 
 
 def _parts(spark, sf_dir: str):
-    lines, outputs = log_lines(spark, sf_dir), solver_outputs(spark, sf_dir)
+    lines, outputs = written_once(log_lines(spark, sf_dir)), solver_outputs(spark, sf_dir)
     messages = logs.parse_messages(lines)
     runs = lines.select("source").distinct().select("source", (F.col("source") % 7 == 0).alias("timed_out"), F.when(F.col("source") % 5 == 0, 1).otherwise(0).alias("exit_code"))
     return lines, messages, outputs, dataset.run_outcomes(runs, messages, lines, outputs)

@@ -7,6 +7,7 @@ from lemmaflow.functions import formula as trees
 from lemmaflow.functions import text
 from lemmaflow.operators import scoring, symbols
 from lemmaflow.plans.registry import CL, REQUESTED, clause_log, query
+from lemmaflow.streaming.replay import shared_path
 
 #: The shapes: %A, %B and %C stand for numbers of the clause. The fourth has a symbol of both kinds.
 SHAPES = [
@@ -29,6 +30,13 @@ def formula_log(spark, sf_dir: str) -> DataFrame:
     return log.withColumn("formula", trees.wrapped_formula(text.clean_clause(F.col("text"))))
 
 
+def written_once(df: DataFrame) -> DataFrame:
+    """Cuts the lineage of what several branches of a plan read."""
+    path = shared_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _filled(column: str) -> str:
     return f"replace(replace(replace({column}, '%A', (k % 3)::VARCHAR), '%B', (problem % 4)::VARCHAR), '%C', (k % 5)::VARCHAR)"
 
@@ -170,7 +178,7 @@ def literal_counts(spark, sf_dir):
 
 def _batch(spark, sf_dir: str):
     """Scope: all clauses of a problem in order of registration. Used: conjecture, context and candidates."""
-    log = formula_log(spark, sf_dir)
+    log = written_once(formula_log(spark, sf_dir))
     requested = log.where("k % 4 = 0").select("problem", "clause_id", F.col("born").alias("pos"))
     picked = scoring.select_batch(log, requested, 16, 8)
     role = F.when(F.col("role") == "conjecture", 0).when(F.col("role") == "context", 1).otherwise(2)
@@ -248,7 +256,7 @@ TARGETS = """, cjc AS (SELECT c.batch, c.canonical, u.k % 6 AS t FROM canonical
 
 def _targets(spark, sf_dir: str):
     scope, used = _batch(spark, sf_dir)
-    clauses, _, _ = symbols.canonical_batch(scope, used)
+    clauses = written_once(symbols.canonical_batch(scope, used)[0].select("batch", "key", "ord", "canonical"))
     return clauses, symbols.conjecture_targets(clauses.where("ord < 1000").select("batch", "canonical"))
 
 
