@@ -17,7 +17,7 @@ SUCCESS = r"SZS\s+status\s+(Theorem|Unsatisfiable)\b"
 def read_outputs(spark: SparkSession, runs: DataFrame, path: str) -> DataFrame:
     """source, text of each run's solver output by file_name; bytes that aren't UTF-8 are left out, missing files are empty."""
     files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), "content")
-    text = F.regexp_replace(F.try_validate_utf8(F.decode("content", "UTF-8")), "�", "")
+    text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "\ufffd", "")
     return runs.select("source", "file_name").join(files, "file_name", "left").select("source", F.coalesce(text, F.lit("")).alias("text"))
 
 

@@ -142,3 +142,40 @@ def tree_tags(clauses: DataFrame, targets: DataFrame) -> DataFrame:
         )
     )
     return met.withColumns({"n_shared": F.size("shared").cast("long"), "tags": tags})
+
+
+def batch_documents(clauses: DataFrame, numbers: DataFrame, conflicts: DataFrame, targets: DataFrame, tags: DataFrame, scope: str = "batch") -> DataFrame:
+    """batch, metadata, symbol_map, conjecture, conjecture_targets, context_clauses, candidate_clauses: a nested row per batch.
+
+    clauses: of ``canonical_batch``, with role; the JSON of a document is ``to_json`` of its columns. A batch is bounded
+    by its limits of context and candidates, so a document is small.
+    """
+    told = clauses.join(tags.select("batch", "key", "tags", F.struct("touches", "equation", "first_arg", "n_shared", "shared").alias("tag_info")), ["batch", "key"], "left")
+    record = F.struct("ord", F.col("key").alias("id"), F.col("canonical").alias("canonical_formula"), "lit_count", F.col("variables").alias("variable_mapping"), F.col("symbols").alias("local_symbols"), "tags", "tag_info")
+    of = lambda role: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, record)), lambda a, b: (a["ord"] - b["ord"]).cast("int")), lambda r: r.dropFields("ord"))
+    per = told.groupBy("batch").agg(F.get(of("conjecture"), 0).alias("conjecture"), of("context").alias("context_clauses"), of("candidate").alias("candidate_clauses"))
+    symbols = symbol_map(numbers).groupBy("batch").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("symbol", F.struct("original", "kind", "arity"))))).alias("symbol_map"))
+    counted = per.join(symbols, "batch", "left").join(batch_counters(numbers), "batch", "left").join(conflicts, "batch", "left").join(targets, "batch", "left")
+    metadata = F.struct(
+        F.lit("1.0").alias("schema_version"),
+        F.lit(scope).alias("mapping_scope"),
+        F.col("batch").cast("string").alias("batch_id"),
+        F.coalesce("conflicts", F.array().cast("array<string>")).alias("kind_conflicts"),
+        "symbols_total_parsed",
+        "symbol_map_size_used",
+    )
+    found = F.struct("functors", "first_arg_consts", "goal_consts").alias("conjecture_targets")
+    return counted.select("batch", metadata.alias("metadata"), "symbol_map", "conjecture", found, "context_clauses", "candidate_clauses")
+
+
+def readable(documents: DataFrame) -> DataFrame:
+    """batch, text: symbols in order, the conjecture, and the first five clauses of each list."""
+    symbol = lambda e: F.concat(F.lit("  "), e["key"], F.lit(" (kind="), e["value"]["kind"], F.lit(", arity="), e["value"]["arity"], F.lit("): "), F.array_join(e["value"]["original"], ", "))
+    clause = lambda c: F.concat(F.lit("  ID "), c["id"], F.lit(": "), c["canonical_formula"])
+    lines = F.concat(
+        F.array(F.lit("Symbol mapping:")),
+        F.transform(F.array_sort(F.map_entries("symbol_map")), symbol),
+        F.when(F.col("conjecture").isNotNull(), F.array(F.lit("\nConjecture:"), clause(F.col("conjecture")))).otherwise(F.array().cast("array<string>")),
+        *[x for title, c in (("Context", "context_clauses"), ("Candidate", "candidate_clauses")) for x in (F.array(F.lit(f"\n{title} clauses:")), F.transform(F.slice(c, 1, 5), clause))],
+    )
+    return documents.select("batch", F.array_join(lines, "\n").alias("text"))

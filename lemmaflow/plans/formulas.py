@@ -281,3 +281,27 @@ def tree_tags(spark, sf_dir):
     clauses, targets = _targets(spark, sf_dir)
     tagged = symbols.tree_tags(clauses.where("ord >= 1000"), targets)
     return tagged.select("batch", F.col("key").alias("clause_id"), "touches", "equation", "first_arg", "n_shared", F.array_join("shared", ",").alias("shared"))
+
+
+@query(
+    WHOLE
+    + """, d AS (SELECT n.batch, count(*) FILTER (is_used) AS n_symbols, count(*) AS n_parsed FROM numbers n GROUP BY n.batch),
+      l AS (SELECT batch, string_agg(canonical, ' ; ' ORDER BY use) FILTER (use BETWEEN 1000 AND 1999) AS context, string_agg(canonical, ' ; ' ORDER BY use) FILTER (use >= 2000) AS candidates,
+        max(canonical) FILTER (use < 1000) AS conjecture FROM canonical GROUP BY batch)
+      SELECT d.batch, n_symbols, n_parsed, conjecture, context, candidates FROM d JOIN l ON l.batch = d.batch"""
+)
+def batch_documents(spark, sf_dir):
+    """Read back from the documents' JSON."""
+    scope, used = _batch(spark, sf_dir)
+    clauses, numbers, conflicts = symbols.canonical_batch(scope, used)
+    clauses = written_once(clauses.join(used.select("batch", "key", "role"), ["batch", "key"]))
+    targets = symbols.conjecture_targets(clauses.where("role = 'conjecture'").select("batch", "canonical"))
+    tags = symbols.tree_tags(clauses.where("role <> 'conjecture'").select("batch", "key", "canonical"), targets)
+    documents = symbols.batch_documents(clauses, written_once(numbers), conflicts, targets, tags)
+    written = documents.select("batch", F.to_json(F.struct(*documents.columns)).alias("json"))
+    clause = "array<struct<canonical_formula:string>>"
+    schema = f"metadata struct<symbols_total_parsed:bigint,symbol_map_size_used:bigint>, conjecture struct<canonical_formula:string>, context_clauses {clause}, candidate_clauses {clause}"
+    read = written.select("batch", F.from_json("json", schema).alias("d"))
+    texts = lambda c: F.nullif(F.array_join(F.transform(f"d.{c}", lambda x: x["canonical_formula"]), " ; "), F.lit("")).alias(c.split("_")[0])
+    named = read.select("batch", F.col("d.metadata.symbol_map_size_used").alias("n_symbols"), F.col("d.metadata.symbols_total_parsed").alias("n_parsed"), F.col("d.conjecture.canonical_formula").alias("conjecture"), texts("context_clauses"), texts("candidate_clauses"))
+    return named.withColumnRenamed("candidate", "candidates")

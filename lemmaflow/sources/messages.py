@@ -22,9 +22,11 @@ def parse_messages(lines: DataFrame) -> DataFrame:
 def read_event_logs(spark: SparkSession, path: str) -> DataFrame:
     """Messages of NUL- or newline-delimited JSON logs; order within a file is (segment, line).
 
-    Files are split at NUL bytes by the scan, so that a large log is read by many tasks.
+    Files are split at NUL bytes by the scan, so that a large log is read by many tasks; a segment's place is the offset
+    of its split and its place therein.
     """
-    segments = spark.read.option("lineSep", "\u0000").text(path).select(F.col("_metadata.file_path").alias("source"), F.monotonically_increasing_id().alias("segment"), "value")
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    segments = spark.read.option("lineSep", "\u0000").text(path).select(F.col("_metadata.file_path").alias("source"), place.alias("segment"), "value")
     lines = segments.select("source", "segment", F.posexplode(F.split("value", r"\r\n|[\r\n]")).alias("line", "raw")).where(F.trim("raw") != "")
     return parse_messages(lines.select("source", F.struct("segment", "line").alias("msg_pos"), "raw"))
 

@@ -19,3 +19,13 @@ def report_json(rows: DataFrame, aggregate: DataFrame) -> DataFrame:
     """One row: {"rows": [...], "aggregate": {...}}. Meant for reports of run records, a row per log file."""
     listed = rows.agg(F.sort_array(F.collect_list(F.struct(*rows.columns))).alias("rows"))
     return listed.crossJoin(aggregate.select(F.struct(*aggregate.columns).alias("aggregate"))).select(F.to_json(F.struct("rows", "aggregate")).alias("report"))
+
+
+def metrics_json(metrics: DataFrame) -> DataFrame:
+    """One row for each of a few metric rows: the row as readable JSON, nulls included."""
+    return metrics.select(F.to_json(F.struct(*metrics.columns), {"pretty": "true", "ignoreNullFields": "false"}).alias("json"))
+
+
+def write_artifacts(rows: DataFrame, path: str, by: str = "request_id") -> None:
+    """JSON lines in a folder for each value of ``by``; later calls add to them."""
+    rows.write.partitionBy(by).mode("append").json(path)
