@@ -10,6 +10,7 @@ from lemmaflow.session import build_session
 HEADLINE = [
     "negative_sampling", "label_buckets", "last_given_frontier", "ranking_metrics", "auc_ap", "static_tokens", "clause_normalize",
     "canonical_formula", "prefilter_topk", "score_request_join", "two_stage_rerank", "score_fusion", "run_report", "failure_log",
+    "formula_nodes", "truncation_plan", "rerank_scored",
 ]
 
 
