@@ -374,3 +374,39 @@ def test_moderate_outliers_go_and_small_groups_lean_on_others(spark):
     got = {x["doc_id"]: x["kept"] for x in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert not any(got[i] for i in (*range(6), 2000, 2001)) and all(got[1000 + i] for i in range(5))
     assert sum(not got[i] for i in range(6, 300)) <= 6
+
+
+def test_pipeline_decides_on_rows(spark):
+    import corpus_pipeline
+
+    words = lambda seed: " ".join(random.Random(seed).choice("abcdefghij") * 3 + str(k % 17) for k in range(60))
+    rows = [(1, words(1)), (1, words(2)), (2, words(1) + " more"), (3, words(3)), (3, words(3)), (None, words(3)), (None, words(4)), (4, None), (5, ""), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 7, 8) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, flag int, row int")
+    got = corpus_pipeline.drop_copies(spark, docs, str(DATA))
+    assert got.columns == docs.columns
+    kept = [(r["doc_id"], r["text"]) for r in got.collect()]
+    assert sorted(kept, key=str) == sorted([(1, words(1)), (1, words(2)), (3, words(3)), (None, words(4)), (4, None), (5, ""), (5, "")], key=str)
+    item = spark.read.parquet(str(DATA / "benchmark.parquet")).first()["text"]
+    held = spark.createDataFrame([(1, "x " + item), (1, words(1)), (None, item), (None, None)], "doc_id long, text string")
+    assert sorted(corpus_pipeline.drop_contaminated(spark, held, str(DATA)).collect(), key=str) == sorted([(1, words(1)), (None, None)], key=str)
+
+
+def test_pipeline_of_no_documents(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(str(DATA / "documents.parquet")).limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(DATA))
+    assert docs.count() == 0
+
+
+def test_classifier_on_held_out_ratings_and_odd_rows(spark, odd):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    ratings = quality_classifier.grades_of(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(4))
+    got = quality_classifier.classify(docs, ratings.where(part != 0)).join(ratings.where(part == 0), "doc_id")
+    right = got.where("(grade = 2) = kept").count() / got.count()
+    assert right > 0.9
+    clashing = odd.withColumn("kept", F.lit("x")).withColumn("verdict", F.lit(1))
+    rated = quality_classifier.classify(clashing, ratings)
+    assert rated.count() == len(ODD) and rated.select("verdict").distinct().collect() == [(1,)] and dict(rated.dtypes)["kept"] == "boolean"
