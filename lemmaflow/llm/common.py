@@ -1,8 +1,11 @@
 """What the operators of this subpackage share."""
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +66,13 @@ def text_of(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def release() -> None:
+    """Gives a Python worker's freed memory back to the system, as workers are kept for later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError):  # another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def unused(name: str, df: DataFrame) -> str:
     """``name``, or with underscores what no column of ``df`` is called (case ignored)."""
     taken = {c.lower() for c in df.columns}

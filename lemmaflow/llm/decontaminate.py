@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lemmaflow.llm.common import bounded_batches, materialize
+from lemmaflow.llm.common import bounded_batches, materialize, release
 
 #: Fixed values: (words, substitutions) to masks, of which one lies on equal words alone wherever the substitutions are.
 FAMILIES = {
@@ -143,6 +143,7 @@ def _seed_rows(batches: Iterator[pa.RecordBatch], masks_of, bits) -> Iterator[pa
         if keys:
             yield from rows(keys, words, masks_of)
     _hash_of.clear()
+    release()
 
 
 def _best(doc: np.ndarray, item: np.ndarray, diagonals: list[int], stretch: int) -> float:

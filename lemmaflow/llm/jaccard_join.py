@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lemmaflow.llm.common import bounded_batches, materialize, set_apart
+from lemmaflow.llm.common import bounded_batches, materialize, release, set_apart
 from lemmaflow.llm.graph import connected_components
 
 WORDS = 5
@@ -98,6 +98,7 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     columns = [none.cast(schema.types[k]) for k in range(6)] + [pa.array(used.astype(np.int32)), pa.array(counts[used])]
     _hash_of.clear()
     yield pa.RecordBatch.from_arrays(columns, schema=schema)
+    release()
 
 
 def _prefixes(counters):
@@ -118,6 +119,7 @@ def _prefixes(counters):
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["token", "fp", "n", "pos"])
         _hash_of.clear()
+        release()
 
     return rows
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lemmaflow.llm.common import bounded_batches, unused
+from lemmaflow.llm.common import bounded_batches, release, unused
 
 SIZE = 1 << 18
 _letters = regex.compile(r"\p{Lu}+")
@@ -132,6 +132,7 @@ def classify(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_c
                 new = [pa.array(expected), pa.array(p[:, -1]), pa.array(p[:, -1] >= keep_at)]
             yield pa.StructArray.from_arrays(new, names=names)
         _known.clear()
+        release()
 
     verdict = unused("verdict", docs)
     passed = [c for c in docs.columns if c not in names]

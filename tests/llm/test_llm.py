@@ -401,8 +401,8 @@ def test_pipeline_of_no_documents(spark):
 
 
 def test_classifier_on_held_out_ratings_and_odd_rows(spark, odd):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    ratings = quality_classifier.grades_of(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    ratings = quality_classifier.grades_of(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"))
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(ratings.select("doc_id"), "doc_id", "left_semi")
     part = F.pmod(F.xxhash64("doc_id"), F.lit(4))
     got = quality_classifier.classify(docs, ratings.where(part != 0)).join(ratings.where(part == 0), "doc_id")
     right = got.where("(grade = 2) = kept").count() / got.count()
