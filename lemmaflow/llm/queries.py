@@ -8,12 +8,16 @@ from lemmaflow.llm import (
     byte_bpe,
     chat_format,
     decontaminate,
+    hard_negatives,
     jaccard_join,
     language_id,
     personal_data,
     quality_classifier,
     quality_rules,
     secret_scan,
+    spelling,
+    topk_search,
+    vectors,
     warc,
 )
 from lemmaflow.llm.common import scratch, table
@@ -104,6 +108,22 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", shifted)
+    return hard_negatives.hard_negatives(rows, rows.where(vectors.is_every("vec_id", 100)))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.counted_words(table(spark, sf_dir, "documents")))
+
+
+def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return topk_search.top_k(rows, rows.where(vectors.is_every("vec_id", 100)))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_quality_classifier": op2_quality_classifier,
@@ -115,7 +135,14 @@ QUERIES = {
     "op7_language_id": op7_language_id,
     "op9_warc": op9_warc,
     "op8_quality_rules": op8_quality_rules,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_topk_search": op13_topk_search,
 }
+#: Vectors of finite components, as whole numbers of so many parts.
+_WHOLE = """SELECT vec_id, {label} AS label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+_DOT = "list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i]))::BIGINT"
 ORACLES: dict[str, str] = {
     "op5_chat_formatting": """
         WITH own AS (
@@ -142,4 +169,38 @@ ORACLES: dict[str, str] = {
         SELECT page_id, payload_bytes, payload_digest,
           CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
           CASE WHEN first_id <> page_id THEN first_id END AS refers_to FROM d""",
+    "op11_hard_negatives": f"""
+        WITH w AS ({_WHOLE.format(scale=256, label="CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")} AND label IS NOT NULL),
+        scored AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, {_DOT} AS score
+          FROM w a JOIN w b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+        pos AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT p.anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, n.vec_id AS negative_id, positive_score, n.score AS negative_score
+        FROM pos p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same AND 80 * positive_score <= 100 * n.score AND n.score <= positive_score
+        WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY n.score DESC, n.vec_id) QUALIFY row_number() OVER w <= 5""",
+    "op12_spelling_variants": """
+        WITH RECURSIVE tab AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i,
+            list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) AS v FROM range(256) r(i))),
+        r AS (SELECT coalesce(doc_id::VARCHAR, '') AS d, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+        g AS (SELECT d, run, count(*) AS c FROM r WHERE length(run) >= 7 GROUP BY ALL),
+        h AS (SELECT run, c, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(d || ':' || run, ''),
+            lambda ch: CASE WHEN unicode(ch) < 128 THEN [unicode(ch)::BIGINT] ELSE [195::BIGINT, (unicode(ch) - 64)::BIGINT] END))),
+            lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM g, tab),
+        w AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word,
+            sum(c)::BIGINT AS n FROM h GROUP BY 1 HAVING length(word) >= 7 AND sum(c) >= 2),
+        cut AS (SELECT word, n, i, left(word, (i - 1)::INT) || substr(word, (i + 1)::INT) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+        near AS (SELECT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+          UNION SELECT w.word, c.word, c.n FROM w JOIN cut c ON c.rest = w.word
+          UNION SELECT c.word, w.word, w.n FROM w JOIN cut c ON c.rest = w.word),
+        best AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+        f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * w.n THEN other END AS form, CASE WHEN other_n >= 10 * w.n THEN other_n END AS form_n
+          FROM w LEFT JOIN best ON best.word = w.word),
+        led AS (SELECT word, form AS root FROM f WHERE form IS NOT NULL
+          UNION SELECT led.word, f.form FROM led JOIN f ON f.word = led.root WHERE f.form IS NOT NULL)
+        SELECT f.word, form, coalesce((SELECT led.root FROM led JOIN f AS g ON g.word = led.root WHERE led.word = f.word AND g.form IS NULL), f.word) AS root, n, n_near, form_n FROM f""",
+    "op13_topk_search": f"""
+        WITH w AS ({_WHOLE.format(scale=1024, label="0")}),
+        scored AS (SELECT a.vec_id AS query_id, b.vec_id, {_DOT} AS score FROM w a JOIN w b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
+        SELECT query_id, (row_number() OVER o)::INTEGER AS rank, vec_id, score FROM scored
+        WINDOW o AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER o <= 10""",
 }
