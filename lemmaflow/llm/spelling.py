@@ -4,11 +4,12 @@
 2. Two words at one edit agree before and after it. With m the length of the shorter one, either its first m // 2 code
    points begin both, or its last ones, as many as remain, end both. So every word goes to at most four neighbourhoods
    (its own length and one less, as a beginning and as an end), and two words meet where both agree.
-3. A neighbourhood is dealt in blocks of at most BLOCK words, and every two of its blocks meet in one task. There the
-   words of one block are indexed by q-gram and position: postings, in order. The postings that a word of the other
-   block may share, by its q-grams, at the same place or moved by the difference of lengths, are merged with a heap,
-   which skips what can't be found often enough. One edit costs at most Q of a word's q-grams, so words that share fewer
-   than length - 2 Q + 1 of the longer one's go; the others are verified.
+3. A neighbourhood is dealt in blocks of about BLOCK words, and every two of its blocks meet in one task. There the
+   words of one block are indexed by length, q-gram and position: postings, in order. The postings that a word of the
+   other block may share, by its q-grams, at the same place or moved by the difference of lengths, are merged with a
+   heap, which skips what can't be found often enough. One edit costs at most Q of a word's q-grams, so words that share
+   fewer than length - 2 Q + 1 of the longer one's go; the others are verified. The q-grams within what all words of
+   the neighbourhood agree in are counted as shared, and not indexed.
 4. A pair whose beginnings and ends agree is kept by its beginning alone, so every pair comes once.
 5. Forms are followed by doubling: a form is ten times as common as its word, so the number of steps is bounded.
 
@@ -82,13 +83,10 @@ def counted_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return materialize(counts.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
 
 
-def _grams(word: str) -> list[str]:
-    return [word[k : k + Q] for k in range(len(word) - Q + 1)]
-
-
-def _bound(longer: int) -> int:
-    """Positional q-grams that a word of this length shares at least with a word at one edit that isn't longer."""
-    return max(longer - Q + 1 - Q, 0)
+def _bound(longer: int, agreed: int) -> int:
+    """Positional q-grams that two words at one edit share at least, besides those within ``agreed`` code points that
+    begin or end both."""
+    return max(longer - Q + 1 - Q - max(agreed - Q + 1, 0), 0)
 
 
 def one_edit(a: str, b: str) -> bool:
@@ -126,28 +124,33 @@ def often(lists: list[list[int]], times: int) -> Iterator[int]:
 
 
 class Index:
-    """Postings of words by length, q-gram and position."""
+    """Postings of a neighbourhood's words by length, q-gram and position: of the q-grams that aren't within its part."""
 
-    def __init__(self, words: list[str]):
-        self.words = words
+    def __init__(self, words: list[str], length: int, head: bool):
+        self.words, self.length, self.head = words, length, head
+        self.agreed = length // 2 if head else length - length // 2
         self.postings: dict[tuple, list[int]] = defaultdict(list)
         self.of_length: dict[int, list[int]] = defaultdict(list)
         for own, word in enumerate(words):
             self.of_length[len(word)].append(own)
-            for at, gram in enumerate(_grams(word)):
-                self.postings[len(word), gram, at].append(own)
-
-    def near(self, word: str) -> Iterator[int]:
-        """The indexed words at one edit, by length: those of a length are merged together."""
-        grams = _grams(word)
-        for length in range(len(word) - 1, len(word) + 2):
-            moves = (0, 1) if length > len(word) else (0, -1) if length < len(word) else (0,)
-            lists = [self.postings[length, gram, at + move] for at, gram in enumerate(grams) for move in moves if (length, gram, at + move) in self.postings]
-            least = _bound(max(length, len(word)))
-            # Words of three code points and less may share none.
-            for own in often(lists, least) if least else self.of_length.get(length, []):
-                if one_edit(word, self.words[own]):
-                    yield own
+            for gram in self.grams(word):
+                self.postings[len(word), *gram].append(own)
+
+    def grams(self, word: str) -> list[tuple[int, str]]:
+        first, last = (max(self.agreed - Q + 1, 0), len(word) - Q + 1) if self.head else (0, min(len(word) - self.agreed, len(word) - Q + 1))
+        return [(at, word[at : at + Q]) for at in range(first, last)]
+
+    def near(self, word: str, length: int) -> Iterator[int]:
+        """The indexed words of a length at one edit of a word of the neighbourhood's length."""
+        if length not in self.of_length:
+            return
+        moves, postings = range(length - len(word) + 1), self.postings
+        lists = [own for at, gram in self.grams(word) for move in moves if (own := postings.get((length, at + move, gram)))]
+        least = _bound(length, self.agreed)
+        # Where nothing more needs to be shared, all that agree in the part are verified.
+        for own in often(lists, least) if least else self.of_length[length]:
+            if one_edit(word, self.words[own]):
+                yield own
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,19 +158,21 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def pairs(key: tuple, rows: list[tuple]) -> pa.RecordBatch:
         length, head, _ = key[0]
-        half = length // 2
-        indexed = [r for r in rows if r[0] == key[1]]
-        index, out = Index([r[1] for r in indexed]), []
-        for block, word, n in rows:
-            if block != key[2]:
+        half, out = length // 2, []
+        for into, others in {(key[1], key[2]), (key[2], key[1])}:
+            indexed = [r for r in rows if r[0] == into]
+            probes = [r for r in rows if r[0] == others and len(r[1]) == length]
+            if not indexed or not probes:
                 continue
-            for other in index.near(word):
-                _, word2, n2 = indexed[other]
-                if key[1] == key[2] and word >= word2:
-                    continue
-                # The shorter of the two has the neighbourhood's length; both agree in beginning only in one of the two kinds.
-                if min(len(word), len(word2)) == length and (head or word[:half] != word2[:half]):
-                    out.append((word, word2, n, n2))
+            index = Index([r[1] for r in indexed], length, head)
+            for _, word, n in probes:
+                # Two words of the neighbourhood's length meet from both sides, and count once.
+                for size in (length, length + 1):
+                    for other in index.near(word, size):
+                        _, word2, n2 = indexed[other]
+                        # What agrees in its beginning is kept there, and not where it agrees in its end.
+                        if (size > length or word < word2) and (head or word[:half] != word2[:half]):
+                            out.append((word, word2, n, n2))
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate([pa.string(), pa.string(), pa.int64(), pa.int64()])], names=["a", "b", "na", "nb"])
 
     key, rows = None, []
