@@ -38,6 +38,21 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda t, x: t + x)
 
 
+def projected(vector: Column, size: Column, seed: int = 0) -> Column:
+    """A vector by a fixed matrix of ``size`` rows, whose entries follow from the seed and their place."""
+    entry = lambda i, j: F.sin(seed + 12.9898 * (i + 1) + 78.233 * (j + 1))
+    scale = F.sqrt(F.size(vector).cast("double"))
+    row = lambda j: F.aggregate(F.transform(vector, lambda x, i: x.cast("double") * entry(i, j)), F.lit(0.0), lambda t, x: t + x) / scale
+    return F.transform(F.sequence(F.lit(0), size - 1), row)
+
+
+def dot_of_any(a: Column, b: Column, seed: int = 0) -> Column:
+    """The dot product; where one vector is longer, it is projected to the other's length first."""
+    least = F.least(F.size(a), F.size(b))
+    fit = lambda v: F.when(F.size(v) > least, projected(v, least, seed)).otherwise(F.transform(v, lambda x: x.cast("double")))
+    return dot(fit(a), fit(b))
+
+
 def pmi(conditional: Column, unconditional: Column, weight: float = 0.7) -> Column:
     return conditional - weight * unconditional
 

@@ -54,9 +54,11 @@ def wrap_document(prefix: Column, text: Column) -> Column:
     return F.concat(prefix, F.lit("<D> "), text, F.lit(" </D>"))
 
 
-def static_tokens(text: Column) -> Column:
-    """All tokens; the whole text where there is none."""
+def static_tokens(text: Column, whole: bool = True) -> Column:
+    """All tokens; where there is none, the ``whole`` text."""
     found = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    if not whole:
+        return found
     return F.when(F.size(found) > 0, found).otherwise(F.array(text))
 
 

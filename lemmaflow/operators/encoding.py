@@ -4,6 +4,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lemmaflow.functions import text
+from lemmaflow.operators import ordering
+from lemmaflow.session import written_once
 
 PAD, UNKNOWN = "<pad>", "<unk>"
 
@@ -16,11 +18,44 @@ def vocabulary(lines: DataFrame) -> DataFrame:
     line = F.regexp_replace("value", r"(?U)^\s+|\s+$", "")
     token = F.when(F.contains(line, F.lit("\t")), F.substring_index(line, "\t", 1)).otherwise(F.regexp_extract(line, r"(?U)^(\S+)", 1))
     first = lines.where(line != "").select(token.alias("token"), "pos").groupBy("token").agg(F.min("pos").alias("pos"))
-    # A vocabulary is one small file; its order is made on the driver's side of one array.
-    listed = first.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("tokens"))
-    padded = F.when(F.array_contains("tokens", PAD), F.col("tokens")).otherwise(F.concat(F.array(F.lit(PAD)), "tokens"))
-    whole = F.when(F.array_contains(padded, UNKNOWN), padded).otherwise(F.concat(padded, F.array(F.lit(UNKNOWN))))
-    return listed.select(F.posexplode(whole).alias("id", "token")).select("token", "id")
+    put = ordering.positions(first, [F.col("pos")], "id")
+    held = put.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("token") == t).alias(n) for t, n in ((PAD, "pads"), (UNKNOWN, "unknowns"))])
+    shift = F.when(F.col("pads") == 0, 1).otherwise(0)
+    own = put.crossJoin(F.broadcast(held)).select("token", (F.col("id") + shift).cast("int").alias("id"))  # one row of counts
+    pad = held.where("pads = 0").select(F.lit(PAD).alias("token"), F.lit(0).alias("id"))
+    unknown = held.where("unknowns = 0").select(F.lit(UNKNOWN).alias("token"), (F.col("n") + shift).cast("int").alias("id"))
+    return own.union(pad).union(unknown)
+
+
+def spaced_tokens(rows: DataFrame, key: str, column: str = "text") -> DataFrame:
+    """key, i, token of what stands between ASCII spaces."""
+    words = F.split(F.btrim(column, F.lit(" \t\n\x0b\x0c\r")), r"[ \t\n\x0b\f\r]+")
+    return rows.select(key, F.posexplode(words).alias("i", "token"))
+
+
+def dynamic_vocabulary(tokens: DataFrame) -> DataFrame:
+    """token, n, id: ids from 2 in order of arrival, by key (the first column) and i."""
+    first = tokens.groupBy("token").agg(F.min(F.struct(tokens.columns[0], "i")).alias("first"), F.count(F.lit(1)).alias("n"))
+    return ordering.positions(first, [F.col("first")], "id").select("token", "n", (F.col("id") + 2).alias("id"))
+
+
+def encode_dynamic(rows: DataFrame, key: str, column: str = "text", share: int = 1000) -> DataFrame:
+    """key, ids: of each text's tokens in order, with ids by arrival over all texts in order of key.
+
+    Tokens that make up more than one ``share``-th of all are split: each of their rows goes to one of several copies of
+    the token's id. There are at most ``share`` of them, so they are known to all tasks.
+    """
+    tokens = spaced_tokens(rows, key, column)
+    words = written_once(dynamic_vocabulary(tokens))
+    total = words.agg(F.sum("n").alias("total"))
+    least = F.greatest(F.lit(1), F.ceil(F.col("total") / share))
+    parts = F.ceil(F.col("n") / least).cast("int").alias("parts")
+    dealt = words.crossJoin(F.broadcast(total)).select("token", "id", parts)  # one row
+    frequent = F.broadcast(dealt.where("parts > 1").select("token", "parts"))  # share rows at most
+    copies = dealt.select("token", "id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("copy"))
+    own = tokens.join(frequent, "token", "left").select(key, "i", "token", F.coalesce(F.pmod(F.xxhash64(key, "i"), F.col("parts")), F.lit(0)).cast("int").alias("copy"))
+    met = own.join(copies, ["token", "copy"])
+    return met.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "id"))), lambda x: x["id"]).alias("ids"))
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:

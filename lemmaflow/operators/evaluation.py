@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lemmaflow.operators import ordering
+
 
 def resolve_predictions(rows: DataFrame) -> DataFrame:
     """group_id, score, label, pos of rows whose score and label are numbers; the first alias that isn't null counts."""
@@ -58,13 +60,12 @@ def auc_ap(preds: DataFrame) -> DataFrame:
     range's offset comes from a small table of range totals.
     """
     per = preds.groupBy("score").agg(F.sum(F.when(F.col("label") > 0, 1).otherwise(0)).alias("p"), F.count(F.lit(1)).alias("n"))
-    ranged = per.repartitionByRange(F.desc("score")).withColumn("part", F.spark_partition_id()).persist()
-    totals = ranged.groupBy("part").agg(F.sum("p").alias("sp"), F.sum("n").alias("sn"))
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("part", F.coalesce(F.sum("sp").over(earlier), F.lit(0)).alias("op"), F.coalesce(F.sum("sn").over(earlier), F.lit(0)).alias("on"))
+    ranged = ordering.in_ranges(per, [F.desc("score")])
+    totals = ranged.groupBy("_part").agg(F.sum("p").alias("sp"), F.sum("n").alias("sn"))
+    before = ordering.offsets(ranged, op=F.sum("p"), on=F.sum("n"))
     whole = totals.agg(F.sum("sp").alias("all_p"), F.sum("sn").alias("all_n"))
-    within = Window.partitionBy("part").orderBy(F.desc("score"))
-    rows = ranged.join(offsets, "part").withColumn("tp", F.col("op") + F.sum("p").over(within)).withColumn("seen", F.col("on") + F.sum("n").over(within))
+    within = Window.partitionBy("_part").orderBy(F.desc("score"))
+    rows = ranged.join(F.broadcast(before), "_part").withColumn("tp", F.col("op") + F.sum("p").over(within)).withColumn("seen", F.col("on") + F.sum("n").over(within))
     negatives = F.col("n") - F.col("p")
     pairs = F.sum(negatives * (F.col("tp") - F.col("p")) + 0.5 * negatives * F.col("p"))
     sums = rows.agg(pairs.alias("pairs"), F.sum(F.col("p") * F.col("tp") / F.col("seen")).alias("area"))

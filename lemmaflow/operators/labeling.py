@@ -69,11 +69,11 @@ def scored_negatives(labelled: DataFrame, frontier: DataFrame) -> DataFrame:
 
 
 def sample_negatives(labelled: DataFrame, frontier: DataFrame, mult: int = 8, cap: int = 1000, fallback: int = 300) -> DataFrame:
-    """Deduplicated positives and quota-sampled negatives: problem, clause_id, label, neg_bucket, part.
+    """Deduplicated positives and quota-sampled negatives: problem, clause_id, label, neg_bucket, part, place.
 
     Among negatives a null bucket counts as never seen, an unknown one as passive only.
     part 0 is positives; 1 to 9 are frontier, early, mid, late, given leftovers, simplified, passive, never seen and
-    the top-up.
+    the top-up. place is a row's rank in its part; by part and place, a problem's rows are in their order of output.
     """
     positives = dedup_positives(labelled.where("label = 1"))
     n_pos = positives.groupBy("problem").agg(F.count(F.lit(1)).alias("n_pos"))
@@ -107,12 +107,13 @@ def sample_negatives(labelled: DataFrame, frontier: DataFrame, mult: int = 8, ca
     open_left = F.col("part").isNull() & F.col("kind").isin("early", "mid", "late")
     in_open = F.row_number().over(Window.partitionBy("problem", open_left).orderBy(F.desc("score"), "ord"))
     left = F.col("rem") - F.col("e") - F.col("m") - F.col("l")
+    neg = neg.withColumn("place", F.when(open_left, in_open).otherwise(F.col("r")))
     neg = neg.withColumn("part", F.when(open_left & (in_open <= left), 5).otherwise(F.col("part")))
     taken = F.count("part").over(whole)
     top = F.row_number().over(Window.partitionBy("problem", F.col("part").isNull()).orderBy(F.desc("score"), "ord"))
-    neg = neg.withColumn("part", F.when(F.col("part").isNull() & (top <= F.col("t") - taken), 9).otherwise(F.col("part")))
-    chosen = neg.where("part is not null").select("problem", "clause_id", "label", "neg_bucket", "part")
-    return positives.select("problem", "clause_id", "label", "neg_bucket", F.lit(0).alias("part")).union(chosen)
+    neg = neg.withColumns({"place": F.when(F.col("part").isNull(), top).otherwise(F.col("place")), "part": F.when(F.col("part").isNull() & (top <= F.col("t") - taken), 9).otherwise(F.col("part"))})
+    chosen = neg.where("part is not null").select("problem", "clause_id", "label", "neg_bucket", "part", "place")
+    return positives.select("problem", "clause_id", "label", "neg_bucket", F.lit(0).alias("part"), F.col("pos_rank").alias("place")).union(chosen)
 
 
 def classify_failure(runs: DataFrame) -> DataFrame:

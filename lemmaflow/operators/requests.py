@@ -36,13 +36,14 @@ def raw_log_clauses(messages: DataFrame) -> DataFrame:
 def sat_values(messages: DataFrame) -> DataFrame:
     """source, values: a map of clause id to the ground values of the last answer; ids beyond its values have none.
 
-    An answer with an id that is no whole number counts as empty.
+    An answer with an id that is no whole number counts as empty; of an id that is there twice the last values count.
     """
     ids = F.transform(F.coalesce(F.when(F.size("clause_ids") > 0, F.col("clause_ids")), F.col("cause_ids"), F.array().cast("array<string>")), lambda x: x.try_cast("bigint"))
     whole = F.when(F.exists(ids, lambda x: x.isNull()), F.array().cast("array<bigint>")).otherwise(ids)
     none = F.array().cast("array<boolean>")
-    own = F.transform(whole, lambda x, i: F.struct(x.alias("k"), F.coalesce(F.get("sat_lit_gr_vals", i), none).alias("v")))
-    answers = messages.where("tag = 'cls_sat_eval_gr_res'").select("source", "msg_pos", own.alias("entries"))
+    last = lambda x: F.size("ids") - F.array_position(F.reverse("ids"), x).cast("int")
+    own = F.transform(F.array_distinct("ids"), lambda x: F.struct(x.alias("k"), F.coalesce(F.get("sat_lit_gr_vals", last(x)), none).alias("v")))
+    answers = messages.where("tag = 'cls_sat_eval_gr_res'").select("source", "msg_pos", "sat_lit_gr_vals", whole.alias("ids")).select("source", "msg_pos", own.alias("entries"))
     return answers.groupBy("source").agg(F.max_by("entries", "msg_pos").alias("entries")).select("source", F.map_from_entries("entries").alias("values"))
 
 
@@ -86,6 +87,17 @@ def asks_sat(query_round: Column) -> Column:
     return query_round % 3 == 0
 
 
+def stamps(ts: Column) -> Column:
+    """The forms in which logs write a time: seconds and milliseconds since 1970, a clock, and digits for file names."""
+    at = ts.cast("timestamp")
+    return F.struct(F.unix_seconds(at).alias("seconds"), F.unix_millis(at).alias("millis"), F.date_format(at, "HH:mm:ss").alias("clock"), F.date_format(at, "yyyyMMdd_HHmmss").alias("digits"))
+
+
+def merged(first: Column, second: Column) -> Column:
+    """Both maps as one; where both have a key, the second's value counts."""
+    return F.map_concat(F.map_filter(first, lambda k, v: ~F.map_contains_key(second, k)), second)
+
+
 def log_name(stamp: Column, problem: Column, tag: Column, mode: Column) -> Column:
     """``<stamp>_<problem's base name>[__tag].log``; without a tag some modes have their own, without a problem the base is session."""
     base = F.coalesce(F.nullif(F.regexp_extract(problem, r"([^/]*)\.p$", 1), F.lit("")), F.lit("session"))

@@ -98,3 +98,11 @@ def pool_chunks(chunks: DataFrame, by: list[str], how: str = "mean", size: int =
     """Element-wise mean or max of vectors; other names mean mean."""
     f = F.max if how == "max" else F.avg
     return chunks.groupBy(*by).agg(F.array(*[f(F.col("vector")[i].cast("double")) for i in range(size)]).alias("vector"))
+
+
+def attend_chunks(chunks: DataFrame, by: list[str], query: Column, size: int = 64) -> DataFrame:
+    """Means of vectors weighted by the softmax of their dot products with ``query``, an array or a column of chunks."""
+    weight = scores.dot(F.col("vector"), query)
+    most = chunks.withColumn("_w", weight).withColumn("_top", F.max("_w").over(Window.partitionBy(*by)))
+    e = F.exp(F.col("_w") - F.col("_top"))
+    return most.withColumn("_e", e).groupBy(*by).agg(F.array(*[F.sum(F.col("_e") * F.col("vector")[i].cast("double")) / F.sum("_e") for i in range(size)]).alias("vector"))

@@ -4,8 +4,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lemmaflow.operators import dataset
-from lemmaflow.plans.formulas import written_once
-from lemmaflow.plans.registry import CL, clause_log, query
+from lemmaflow.plans.registry import CL, SAMPLED, clause_log, query
+from lemmaflow.session import written_once
 from lemmaflow.sources import messages as logs
 
 
@@ -72,14 +72,13 @@ def run_outcomes(spark, sf_dir):
     return _parts(spark, sf_dir)[3].select(F.col("source").alias("problem"), "reason")
 
 
-def _sampling_sql() -> str:
-    from lemmaflow.plans.registry import ORACLES
-
-    tail = ORACLES["negative_sampling"][len(CL) :]
-    return NO_PROOF + TOLD + tail.replace(" SELECT problem, clause_id, label, neg_bucket, 0 AS part FROM pos", ", every AS (SELECT problem, clause_id, label, neg_bucket, 0 AS part FROM pos") + ") SELECT every.*, c.text FROM every JOIN outcome o ON o.problem = every.problem AND reason IS NULL JOIN clause_log c ON c.clause_id = every.clause_id"
-
-
-@query(_sampling_sql())
+@query(
+    NO_PROOF
+    + TOLD
+    + SAMPLED
+    + """ SELECT every.problem, every.clause_id, every.label, every.neg_bucket, part, c.text FROM every JOIN outcome o ON o.problem = every.problem AND reason IS NULL
+      JOIN clause_log c ON c.clause_id = every.clause_id"""
+)
 def sampled_dataset(spark, sf_dir):
     lines, messages, outputs, outcomes = _parts(spark, sf_dir)
     rows = dataset.labelled_rows(messages, lines, outputs)

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from lemmaflow.operators import encoding, scorers
+from lemmaflow.functions import text
+from lemmaflow.operators import encoding, ordering, scorers
 from lemmaflow.plans.registry import CL, _read, clause_log, query
 
 #: A vocabulary file with a repeated token, a line of words and an empty line.
@@ -15,9 +16,16 @@ def _words(spark):
     return encoding.vocabulary(spark.createDataFrame(list(enumerate(LINES)), "pos int, value string"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{w}', {i})" for i, w in enumerate(WORDS)) + ") AS v(token, id)")
+@query(
+    f"""WITH t AS (SELECT unnest({TOKEN_SQL}) AS token FROM documents), n AS (SELECT token, count(*) AS n FROM t GROUP BY token)
+    SELECT token, row_number() OVER (ORDER BY n DESC, token)::INTEGER AS id FROM n UNION ALL SELECT '<pad>', 0 UNION ALL SELECT '<unk>', (count(*) + 1)::INTEGER FROM n"""
+)
 def vocabulary(spark, sf_dir):
-    return _words(spark)
+    """Of lines with the documents' tokens, the most frequent first."""
+    tokens = _read(spark, sf_dir, "documents").select(F.explode(text.static_tokens(F.col("text"), whole=False)).alias("token"))
+    counted = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    lines = ordering.positions(counted, [F.desc("n"), F.col("token")], "pos")
+    return encoding.vocabulary(lines.select("pos", F.concat("token", F.lit("\t-"), "n").alias("value")))
 
 
 @query(

@@ -7,7 +7,7 @@ from lemmaflow.functions import formula as trees
 from lemmaflow.functions import text
 from lemmaflow.operators import scoring, symbols
 from lemmaflow.plans.registry import CL, REQUESTED, clause_log, query
-from lemmaflow.streaming.replay import shared_path
+from lemmaflow.session import written_once
 
 #: The shapes: %A, %B and %C stand for numbers of the clause. The fourth has a symbol of both kinds.
 SHAPES = [
@@ -30,13 +30,6 @@ def formula_log(spark, sf_dir: str) -> DataFrame:
     return log.withColumn("formula", trees.wrapped_formula(text.clean_clause(F.col("text"))))
 
 
-def written_once(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of what several branches of a plan read."""
-    path = shared_path(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _filled(column: str) -> str:
     return f"replace(replace(replace({column}, '%A', (k % 3)::VARCHAR), '%B', (problem % 4)::VARCHAR), '%C', (k % 5)::VARCHAR)"
 
@@ -154,18 +147,20 @@ def formula_tokens(spark, sf_dir):
     return trees.formula_tokens(formula_log(spark, sf_dir).select("clause_id", "formula"))
 
 
-KINDS = f""", found AS (SELECT problem AS batch, {_filled('symbol')} AS name, n.arity, in_term FROM clause_log JOIN shape_nodes n ON t = k % 6
+#: Clauses whose symbols a batch numbers, here all of a problem.
+SCOPED = ", scoped AS (SELECT problem AS batch, * FROM clause_log)"
+KINDS = f""", found AS (SELECT batch, {_filled('symbol')} AS name, n.arity, in_term FROM scoped JOIN shape_nodes n ON t = k % 6
       WHERE kind = 'atom' OR (kind = 'leaf' AND in_term AND symbol NOT LIKE 'X%')),
     kinds AS (SELECT batch, name, arity, bool_or(in_term) AS is_function, bool_or(NOT in_term) AS is_predicate FROM found GROUP BY ALL)"""
 
 
-@query(CL + NODES + KINDS + " SELECT * FROM kinds")
+@query(CL + SCOPED + NODES + KINDS + " SELECT * FROM kinds")
 def symbol_kinds(spark, sf_dir):
     rows = formula_log(spark, sf_dir).select(F.col("problem").alias("batch"), "formula")
     return symbols.occurrences(trees.formula_nodes(rows))
 
 
-@query(CL + NODES + KINDS + " SELECT batch, string_agg(name || '/' || arity, ',' ORDER BY name || '/' || arity) AS conflicts FROM kinds WHERE is_function AND is_predicate AND arity > 0 GROUP BY batch")
+@query(CL + SCOPED + NODES + KINDS + " SELECT batch, string_agg(name || '/' || arity, ',' ORDER BY name || '/' || arity) AS conflicts FROM kinds WHERE is_function AND is_predicate AND arity > 0 GROUP BY batch")
 def kind_conflicts(spark, sf_dir):
     rows = formula_log(spark, sf_dir).select(F.col("problem").alias("batch"), "formula")
     return symbols.kind_conflicts(symbols.occurrences(trees.formula_nodes(rows))).withColumn("conflicts", F.array_join("conflicts", ","))
@@ -188,13 +183,17 @@ def _batch(spark, sf_dir: str):
     return scope, used.select(F.col("problem").alias("batch"), F.col("clause_id").alias("key"), F.col("use").alias("ord"), "formula", "role")
 
 
-NUMBERED = (
+USED = (
     REQUESTED
-    + f""", used AS (SELECT c.*, CASE role WHEN 'conjecture' THEN 0 WHEN 'context' THEN 1 ELSE 2 END * 1000 + rank AS use FROM batch b JOIN clause_log c ON c.clause_id = b.clause_id),
-    tk AS (SELECT problem AS batch, clause_id, ord, k, tok, gap, {_filled('n.name')} AS name, class, n.arity, equated FROM clause_log JOIN shape_tokens n ON t = k % 6),
+    + """, used AS (SELECT b.problem AS batch, c.*, CASE role WHEN 'conjecture' THEN 0 WHEN 'context' THEN 1 ELSE 2 END * 1000 + rank AS use
+      FROM batch b JOIN clause_log c ON c.clause_id = b.clause_id)"""
+)
+#: From scoped (in order of ord) and used (in order of use).
+NUMBERED = (
+    f""", tk AS (SELECT batch, clause_id, ord, k, tok, gap, {_filled('n.name')} AS name, class, n.arity, equated FROM scoped JOIN shape_tokens n ON t = k % 6),
     kt AS (SELECT tk.*, CASE WHEN class = 'c' THEN 'constant' WHEN is_function AND NOT is_predicate THEN 'function' ELSE 'predicate' END AS seed,
       CASE WHEN class = 's' AND is_function AND (NOT is_predicate OR equated) THEN 'function' WHEN class = 'c' THEN 'constant' ELSE 'predicate' END AS use_kind, use
-      FROM tk LEFT JOIN kinds ON kinds.batch = tk.batch AND kinds.name = tk.name AND kinds.arity = tk.arity LEFT JOIN used ON used.clause_id = tk.clause_id),
+      FROM tk LEFT JOIN kinds ON kinds.batch = tk.batch AND kinds.name = tk.name AND kinds.arity = tk.arity LEFT JOIN used ON used.batch = tk.batch AND used.clause_id = tk.clause_id),
     occ AS (SELECT batch, name, arity, seed AS kind, 0 AS phase, ord AS o, tok FROM kt WHERE class IN ('c', 's')
       UNION ALL SELECT batch, name, arity, use_kind, 1, use, tok FROM kt WHERE class IN ('c', 's') AND use IS NOT NULL),
     first_at AS (SELECT batch, name, arity, kind, min((phase, o, tok)) AS f, max(phase) = 1 AS is_used FROM occ GROUP BY ALL),
@@ -205,7 +204,7 @@ NUMBERED = (
       LEFT JOIN numbers n ON n.batch = kt.batch AND n.name = kt.name AND n.arity = kt.arity AND n.kind = use_kind AND class IN ('c', 's') WHERE use IS NOT NULL),
     canonical AS (SELECT batch, clause_id, use, string_agg(part, '' ORDER BY tok) AS canonical FROM parts GROUP BY batch, clause_id, use)"""
 )
-WHOLE = CL + NODES + TOKENS + KINDS + NUMBERED
+WHOLE = CL + SCOPED + NODES + TOKENS + KINDS + USED + NUMBERED
 
 
 @query(WHOLE + " SELECT batch, clause_id, use, canonical, CASE WHEN canonical LIKE 'P%|%' OR canonical LIKE 'F%|%' THEN 2 ELSE 1 END AS lit_count FROM canonical")
@@ -246,7 +245,7 @@ def clause_mappings(spark, sf_dir):
 
 
 #: A conjecture of the second or fourth shape has targets.
-TARGETS = """, cjc AS (SELECT c.batch, c.canonical, u.k % 6 AS t FROM canonical c JOIN used u ON u.clause_id = c.clause_id WHERE u.use < 1000),
+TARGETS = """, cjc AS (SELECT c.batch, c.canonical, u.k % 6 AS t FROM canonical c JOIN used u ON u.batch = c.batch AND u.clause_id = c.clause_id WHERE u.use < 1000),
     heads AS (SELECT batch, regexp_extract_all(canonical, 'F[0-9]+\\(') AS f, regexp_extract_all(canonical, '(F[0-9]+)\\(([^,)]*)', 2) AS firsts,
       regexp_extract_all(regexp_replace(canonical, '!=C[0-9]+$', ''), '\\bC[0-9]+\\b') AS goals FROM cjc WHERE t IN (1, 3)),
     targets AS (SELECT cjc.batch, coalesce(list_sort(list_distinct([replace(x, '(', '/2') FOR x IN f])), []) AS functors,
@@ -254,6 +253,14 @@ TARGETS = """, cjc AS (SELECT c.batch, c.canonical, u.k % 6 AS t FROM canonical
       FROM cjc LEFT JOIN heads ON heads.batch = cjc.batch)"""
 
 
+TAGS = """, tg AS (SELECT c.batch, c.clause_id, u.k % 6 AS t, canonical, [split_part(x, '/', 1) FOR x IN functors] AS names, first_arg_consts AS fc, goal_consts AS gc
+        FROM canonical c JOIN used u ON u.batch = c.batch AND u.clause_id = c.clause_id JOIN targets g ON g.batch = c.batch WHERE u.use >= 1000),
+      done AS (SELECT batch, clause_id, len([n FOR n IN names IF contains(canonical, n || '(')]) > 0 AS touches,
+        t = 1 AND list_contains(names, split_part(canonical, '(', 1)) AND list_contains(names, split_part(split_part(canonical, '=', 2), '(', 1)) AS equation,
+        len([n FOR n IN names IF len([x FOR x IN fc IF contains(canonical, n || '(' || x || ',')]) > 0]) > 0 AS first_arg,
+        list_sort(list_distinct(list_intersect(regexp_extract_all(canonical, '\\bC[0-9]+\\b'), gc))) AS shared FROM tg)"""
+
+
 def _targets(spark, sf_dir: str):
     scope, used = _batch(spark, sf_dir)
     clauses = written_once(symbols.canonical_batch(scope, used)[0].select("batch", "key", "ord", "canonical"))
@@ -269,13 +276,8 @@ def conjecture_targets(spark, sf_dir):
 @query(
     WHOLE
     + TARGETS
-    + """, tg AS (SELECT c.batch, c.clause_id, u.k % 6 AS t, canonical, [split_part(x, '/', 1) FOR x IN functors] AS names, first_arg_consts AS fc, goal_consts AS gc
-        FROM canonical c JOIN used u ON u.clause_id = c.clause_id JOIN targets g ON g.batch = c.batch WHERE u.use >= 1000),
-      done AS (SELECT batch, clause_id, len([n FOR n IN names IF contains(canonical, n || '(')]) > 0 AS touches,
-        t = 1 AND list_contains(names, split_part(canonical, '(', 1)) AND list_contains(names, split_part(split_part(canonical, '=', 2), '(', 1)) AS equation,
-        len([n FOR n IN names IF len([x FOR x IN fc IF contains(canonical, n || '(' || x || ',')]) > 0]) > 0 AS first_arg,
-        list_sort(list_distinct(list_intersect(regexp_extract_all(canonical, '\\bC[0-9]+\\b'), gc))) AS shared FROM tg)
-      SELECT batch, clause_id, touches, equation, first_arg, len(shared) AS n_shared, array_to_string(shared, ',') AS shared FROM done"""
+    + TAGS
+    + """ SELECT batch, clause_id, touches, equation, first_arg, len(shared) AS n_shared, array_to_string(shared, ',') AS shared FROM done"""
 )
 def tree_tags(spark, sf_dir):
     clauses, targets = _targets(spark, sf_dir)

@@ -4,7 +4,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lemmaflow.functions import scores, text
-from lemmaflow.operators import canonical, evaluation, labeling, scoring
+from lemmaflow.operators import caching, encoding, evaluation, labeling, ordering, scoring, symbols
+from lemmaflow.session import shared_path, written_once
 from lemmaflow.streaming import replay as streaming
 
 QUERIES: dict = {}
@@ -155,9 +156,9 @@ def born_slices(spark, sf_dir):
     return rows.select("problem", "clause_id", labeling.born_section(["problem"]).alias("section"))
 
 
-@query(
-    CL
-    + FRONTIER
+#: From neg and pos: every row of the sample, with its part and its rank therein.
+SAMPLED = (
+    FRONTIER
     + DEDUP
     + """, np AS (SELECT problem, count(*) AS n_pos FROM pos GROUP BY 1),
     q AS (SELECT neg.*, least(CASE WHEN coalesce(n_pos, 0) > 0 THEN n_pos ELSE 300 END, 1000) AS t FROM neg LEFT JOIN np USING (problem)),
@@ -177,15 +178,29 @@ def born_slices(spark, sf_dir):
     q11 AS (SELECT *, CASE WHEN kind = 'frontier' AND r <= tf THEN 1 WHEN kind = 'early' AND r <= e_n THEN 2 WHEN kind = 'mid' AND r <= m_n THEN 3 WHEN kind = 'late' AND r <= l_n THEN 4
       WHEN kind = 'NEG_simplified' AND r <= qs THEN 6 WHEN kind = 'NEG_passive_only' AND r <= qp THEN 7 WHEN kind = 'NEG_never_seen' AND r <= qn THEN 8 END AS part0 FROM q10),
     q12 AS (SELECT *, part0 IS NULL AND kind IN ('early', 'mid', 'late') AS ol FROM q11),
-    q13 AS (SELECT *, CASE WHEN ol AND row_number() OVER (PARTITION BY problem, ol ORDER BY score DESC, ord) <= rem - e_n - m_n - l_n THEN 5 ELSE part0 END AS part1 FROM q12),
+    q13a AS (SELECT *, row_number() OVER (PARTITION BY problem, ol ORDER BY score DESC, ord) AS lr FROM q12),
+    q13 AS (SELECT *, CASE WHEN ol AND lr <= rem - e_n - m_n - l_n THEN 5 ELSE part0 END AS part1 FROM q13a),
     q14 AS (SELECT *, count(part1) OVER (PARTITION BY problem) AS taken, row_number() OVER (PARTITION BY problem, part1 IS NULL ORDER BY score DESC, ord) AS tr FROM q13),
-    q15 AS (SELECT problem, clause_id, label, neg_bucket, CASE WHEN part1 IS NULL AND tr <= t - taken THEN 9 ELSE part1 END AS part FROM q14)
-    SELECT problem, clause_id, label, neg_bucket, 0 AS part FROM pos UNION ALL SELECT * FROM q15 WHERE part IS NOT NULL"""
+    q15 AS (SELECT problem, clause_id, label, neg_bucket, CASE WHEN part1 IS NULL AND tr <= t - taken THEN 9 ELSE part1 END AS part, CASE WHEN part1 IS NULL THEN tr WHEN ol THEN lr ELSE r END AS place FROM q14),
+    every AS (SELECT problem, clause_id, label, neg_bucket, 0 AS part, pos_rank AS place FROM pos UNION ALL SELECT * FROM q15 WHERE part IS NOT NULL)"""
 )
-def negative_sampling(spark, sf_dir):
+
+
+def _sampled(spark, sf_dir):
     return labeling.sample_negatives(labelled(spark, sf_dir), _frontier(spark, sf_dir), mult=1)
 
 
+@query(CL + SAMPLED + " SELECT problem, clause_id, label, neg_bucket, part FROM every")
+def negative_sampling(spark, sf_dir):
+    return _sampled(spark, sf_dir).drop("place")
+
+
+@query(CL + SAMPLED + " SELECT problem, clause_id, part, row_number() OVER (ORDER BY problem, part, place) - 1 AS position FROM every")
+def dataset_order(spark, sf_dir):
+    """All rows of the sample in the order of output, over all problems."""
+    return ordering.positions(_sampled(spark, sf_dir).select("problem", "clause_id", "part", "place"), [F.col(c) for c in ("problem", "part", "place")]).drop("place")
+
+
 @query(
     CL
     + """ SELECT clause_id, regexp_replace(regexp_replace(regexp_replace(CASE WHEN contains(text, 'file(') THEN split_part(text, 'file(', 1)
@@ -235,28 +250,29 @@ def token_weight(spark, sf_dir):
     return clause_log(spark, sf_dir).select("clause_id", text.token_weight(F.col("text")).cast("long").alias("weight"))
 
 
-@query(
-    r"""WITH t AS (SELECT doc_id, unnest(regexp_split_to_array(trim(text, E' \t\n\x0b\f\r'), '[ \t\n\x0b\f\r]+')) AS token,
+ARRIVALS = r"""WITH t AS (SELECT doc_id, unnest(regexp_split_to_array(trim(text, E' \t\n\x0b\f\r'), '[ \t\n\x0b\f\r]+')) AS token,
       generate_subscripts(regexp_split_to_array(trim(text, E' \t\n\x0b\f\r'), '[ \t\n\x0b\f\r]+'), 1) AS i FROM documents),
-    f AS (SELECT token, min((doc_id, i)) AS first, count(*) AS n FROM t GROUP BY 1)
-    SELECT token, n, row_number() OVER (ORDER BY first) + 1 AS id FROM f"""
-)
+    f AS (SELECT token, min((doc_id, i)) AS first, count(*) AS n FROM t GROUP BY 1),
+    v AS (SELECT token, n, row_number() OVER (ORDER BY first) + 1 AS id FROM f)"""
+
+
+@query(ARRIVALS + " SELECT token, n, id FROM v")
 def dynamic_vocab(spark, sf_dir):
-    """Ids in order of arrival, from 2. Ranks are made within ranges of first places and offset by the ranges before."""
-    spaces = " \t\n\x0b\x0c\r"
-    words = F.split(F.btrim("text", F.lit(spaces)), r"[ \t\n\x0b\f\r]+")
-    one = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(words).alias("i", "token"))
-    first = one.groupBy("token").agg(F.min(F.struct("doc_id", "i")).alias("first"), F.count(F.lit(1)).alias("n"))
-    ranged = first.repartitionByRange("first").withColumn("part", F.spark_partition_id()).persist()
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offset = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("c")).select("part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset"))
-    rank = F.row_number().over(Window.partitionBy("part").orderBy("first"))
-    return ranged.join(offset, "part").select("token", "n", (F.col("offset") + rank + 1).alias("id"))
+    """Ids in order of arrival, from 2."""
+    return encoding.dynamic_vocabulary(encoding.spaced_tokens(_read(spark, sf_dir, "documents"), "doc_id"))
+
 
+@query(ARRIVALS + " SELECT doc_id, count(*) AS n_ids, md5(string_agg(id, ' ' ORDER BY i)) AS ids FROM t JOIN v ON v.token = t.token GROUP BY doc_id")
+def dynamic_ids(spark, sf_dir):
+    ids = encoding.encode_dynamic(_read(spark, sf_dir, "documents"), "doc_id")
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.md5(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids"))
 
-def _tokens(spark, sf_dir):
-    rows = clause_log(spark, sf_dir).select(F.col("clause_id").cast("string").alias("key"), F.col("problem").alias("batch"), "ord", text.annotated_formula(text.clean_clause(F.col("text"))).alias("formula"))
-    return rows, canonical.formula_tokens(rows)
+
+def _canonical(spark, sf_dir):
+    """Clauses and symbols of each problem as one batch, of all its clauses."""
+    formula = text.annotated_formula(text.clean_clause(F.col("text"))).alias("formula")
+    rows = written_once(clause_log(spark, sf_dir).select(F.col("problem").alias("batch"), F.col("clause_id").cast("string").alias("key"), "ord", formula))
+    return symbols.canonical_batch(rows, rows)
 
 
 SYMBOLS = """, s AS (SELECT problem AS batch, 'p_' || (k % 9) AS name, 1 AS arity, 'predicate' AS kind, ord * 10 AS place FROM clause_log
@@ -268,12 +284,12 @@ SYMBOLS = """, s AS (SELECT problem AS batch, 'p_' || (k % 9) AS name, 1 AS arit
 
 @query(CL + SYMBOLS + " SELECT * FROM sym")
 def symbol_map(spark, sf_dir):
-    return canonical.number_symbols(_tokens(spark, sf_dir)[1]).select("batch", "name", "arity", "kind", "canon")
+    return _canonical(spark, sf_dir)[1].drop("is_used")
 
 
 @query(CL + " SELECT clause_id::VARCHAR AS key, 'X0' AS name, 'V0' AS canon FROM clause_log")
 def variable_names(spark, sf_dir):
-    return canonical.number_variables(_tokens(spark, sf_dir)[1])
+    return _canonical(spark, sf_dir)[0].select("key", F.explode("variables").alias("name", "canon"))
 
 
 @query(
@@ -284,8 +300,7 @@ def variable_names(spark, sf_dir):
       JOIN sym d ON d.batch = c.problem AND d.name = 'c_' || (problem % 7)"""
 )
 def canonical_formula(spark, sf_dir):
-    rows, tokens = _tokens(spark, sf_dir)
-    return canonical.rewrite(rows, tokens, canonical.number_symbols(tokens), canonical.number_variables(tokens))
+    return _canonical(spark, sf_dir)[0].select("key", "canonical")
 
 
 REQUESTED = """, req AS (SELECT problem, clause_id, born AS pos FROM clause_log WHERE k % 4 = 0),
@@ -429,6 +444,69 @@ def chunk_pool(spark, sf_dir):
     return both.select("label", *[c for i in range(64) for c in (F.round(F.col("vector")[i], 5).alias(f"mean_{i}"), F.col("most")[i].alias(f"max_{i}"))])
 
 
+ATTEND = [round(1 / (i + 1), 6) for i in range(64)]
+
+
+@query(
+    f"""WITH w AS (SELECT label, embedding::DOUBLE[] AS v, list_dot_product(embedding::DOUBLE[], {ATTEND}::DOUBLE[]) AS w FROM embeddings),
+    e AS (SELECT label, v, exp(w - max(w) OVER (PARTITION BY label)) AS e FROM w)
+    SELECT label, i, round(sum(e * v[i + 1]) / sum(e), 6) + 0.0 AS x FROM e, range(64) AS r(i) GROUP BY label, i"""
+)
+def attention_pool(spark, sf_dir):
+    chunks = _read(spark, sf_dir, "embeddings").select("label", F.col("embedding").alias("vector"))
+    pooled = scoring.attend_chunks(chunks, ["label"], F.array(*map(F.lit, ATTEND)))
+    return pooled.select("label", F.posexplode("vector").alias("i", "x")).select("label", F.col("i").cast("long").alias("i"), (F.round("x", 6) + 0.0).alias("x"))
+
+
+@query(
+    """WITH q AS (SELECT vec_id AS q_id, embedding[1:16]::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0),
+    m AS (SELECT vec_id, list_transform(range(16), lambda j: list_sum(list_transform(range(64), lambda i: embedding[i + 1]::DOUBLE * sin(7 + 12.9898::DOUBLE * (i + 1) + 78.233::DOUBLE * (j + 1)))) / 8) AS v FROM embeddings)
+    SELECT q_id, vec_id, round(list_dot_product(q, v::DOUBLE[]), 6) + 0.0 AS score FROM q, m"""
+)
+def projected_scores(spark, sf_dir):
+    """Short queries against longer vectors."""
+    e = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), F.slice("embedding", 1, 16).alias("q"))
+    fitted = written_once(e.select("vec_id", scores.projected(F.col("embedding"), F.lit(16), 7).alias("v")))
+    met = scoring.in_blocks(q, fitted, "q_id", "vec_id")
+    return met.select("q_id", "vec_id", (F.round(scores.dot_of_any(F.col("q"), F.col("v")), 6) + 0.0).alias("score"))
+
+
+ROUNDS = DOTS + """, c AS (SELECT r, q_id, vec_id, label, round(score, 6) AS first, round(2.0 * score + label, 6) AS second FROM d, (VALUES (1), (2)) AS t(r) WHERE (r = 1 AND vec_id % 3 <> 0) OR (r = 2 AND vec_id % 2 = 0)),
+    k AS (SELECT *, row_number() OVER (PARTITION BY r, q_id ORDER BY first DESC, vec_id) <= 32 AS top FROM c),
+    s AS (SELECT *, r = 2 AND EXISTS (SELECT 1 FROM c o WHERE o.r = 1 AND o.q_id = k.q_id AND o.vec_id = k.vec_id) AS hit1,
+      r = 2 AND EXISTS (SELECT 1 FROM k o WHERE o.r = 1 AND o.top AND o.q_id = k.q_id AND o.vec_id = k.vec_id) AS hit2 FROM k)"""
+
+
+def _rounds(spark, sf_dir):
+    """Two rounds of requests whose candidates overlap: final scores, and counts by stage."""
+    e = written_once(_read(spark, sf_dir, "embeddings"))
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    path, first = shared_path(spark), F.round(scores.dot(F.col("q"), F.col("embedding")), 6)
+    second = F.round(2.0 * scores.dot(F.col("q"), F.col("embedding")) + F.col("label"), 6)
+    scored, counts = [], []
+    for number, part in ((1, "vec_id % 3 <> 0"), (2, "vec_id % 2 = 0")):
+        pairs = scoring.in_blocks(q, e.where(part), "query_id", "vec_id").withColumnRenamed("vec_id", "id")
+        rows, told = caching.two_stages(pairs, first, second, 32, path, number)
+        scored.append(rows.select(F.lit(number).cast("long").alias("round"), F.col("query_id").alias("q_id"), F.col("id").alias("vec_id"), "final"))
+        counts.append(told)
+    return scored[0].union(scored[1]), counts[0].union(counts[1])
+
+
+@query(ROUNDS + " SELECT r::BIGINT AS round, q_id, vec_id, CASE WHEN top THEN second ELSE first END + 0.0 AS final FROM s")
+def cached_rerank(spark, sf_dir):
+    return _rounds(spark, sf_dir)[0].withColumn("final", F.col("final") + 0.0)
+
+
+@query(
+    ROUNDS
+    + """ SELECT r::BIGINT AS round, 'first' AS stage, count(*) AS candidates, count(*) FILTER (hit1) AS hits, count(*) AS kept FROM s GROUP BY r
+      UNION ALL SELECT r, 'second', count(*), count(*) FILTER (hit2), count(*) FROM s WHERE top GROUP BY r"""
+)
+def stage_counts(spark, sf_dir):
+    return _rounds(spark, sf_dir)[1]
+
+
 PREDS = DOTS + ", p AS (SELECT q_id AS g, vec_id AS pos, round(score, 6) AS score, CASE WHEN label = q_label THEN 1 + vec_id % 3 ELSE 0 END AS label FROM d)"
 
 
@@ -539,6 +617,13 @@ def failure_log(spark, sf_dir):
     return labeling.classify_failure(runs).select("o_orderkey", "reason")
 
 
-@query()
+@query(
+    """WITH m AS (SELECT user_id AS problem, event_id AS pos, CASE event_type WHEN 'purchase' THEN 'request' WHEN 'signup' THEN 'start' ELSE 'register' END AS tag,
+      CAST(json_extract_string(props, '$.k') AS BIGINT) % 7 AS d FROM events),
+    asked AS (SELECT problem, pos, (SELECT min(s.pos) FROM m s WHERE s.problem = m.problem AND s.tag = 'start' AND s.pos > m.pos) AS start_pos FROM m WHERE tag = 'request'),
+    a AS (SELECT * FROM asked WHERE start_pos IS NOT NULL QUALIFY row_number() OVER (PARTITION BY problem, start_pos ORDER BY pos DESC) = 1)
+    SELECT a.problem, a.pos AS request_pos, 3 AS n_requested, count(m.pos) AS n_known, false AS cached, round(coalesce(sum(2.0::DOUBLE / (1 + m.d)), 0), 6) AS score_sum
+    FROM a LEFT JOIN m ON m.problem = a.problem AND m.tag = 'register' AND m.pos BETWEEN a.pos - 2 AND a.pos AND m.pos < start_pos GROUP BY a.problem, a.pos"""
+)
 def event_replay(spark, sf_dir):
-    return streaming.run_to_end(spark, streaming.replay(streaming.event_messages(spark, sf_dir)))
+    return streaming.run_to_end(spark, streaming.replay(streaming.event_messages(spark, sf_dir))).withColumn("score_sum", F.round("score_sum", 6))

@@ -1,5 +1,6 @@
 """Queries of requests, SAT values, fallbacks, finals and names."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lemmaflow.operators import requests
@@ -116,3 +117,44 @@ def raw_log_clauses(spark, sf_dir):
     raw = F.to_json(F.struct(F.lit("register_clauses").alias("tag"), F.array(clause).alias("clauses")))
     messages = logs.parse_messages(log.select(F.col("problem").alias("source"), F.col("born").alias("msg_pos"), raw.alias("raw")))
     return requests.raw_log_clauses(messages).select(F.col("source").alias("problem"), "clause_id", "formula")
+
+
+@query(
+    """SELECT event_id, epoch_us(ts) // 1000000 AS seconds, epoch_ms(ts) AS millis, strftime(ts, '%H:%M:%S') AS clock, strftime(ts, '%Y%m%d_%H%M%S') AS digits,
+      round((epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id))::DOUBLE / 1000000, 3) AS elapsed FROM events"""
+)
+def time_stamps(spark, sf_dir):
+    """The forms of each event's time, and the seconds since the user's last one."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    before = F.lag(micros).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return _read(spark, sf_dir, "events").select("event_id", requests.stamps(F.col("ts")).alias("s"), F.round((micros - before) / 1000000, 3).alias("elapsed")).select("event_id", "s.*", "elapsed")
+
+
+@query(
+    """SELECT event_id, CASE WHEN k % 10 = 0 THEN 'k=none' ELSE 'k=' || k END || ',source=' || event_type AS merged
+      FROM (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)"""
+)
+def merged_features(spark, sf_dir):
+    own = F.from_json("props", "map<string,string>")
+    k = F.get_json_object("props", "$.k").cast("long")
+    extra = F.when(k % 10 == 0, F.create_map(F.lit("source"), F.col("event_type"), F.lit("k"), F.lit("none"))).otherwise(F.create_map(F.lit("source"), F.col("event_type")))
+    entries = F.array_sort(F.transform(F.map_entries(requests.merged(own, extra)), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return _read(spark, sf_dir, "events").select("event_id", F.array_join(entries, ",").alias("merged"))
+
+
+@query(
+    CL
+    + """, m AS (SELECT problem, born, event_type AS tag, k % 3 AS asks, count(*) FILTER (event_type = 'click') OVER (PARTITION BY problem ORDER BY born ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stretch FROM clause_log)
+      SELECT problem, tag, count(*) AS n FROM (SELECT problem, tag, born FROM m WHERE tag <> 'purchase'
+        UNION ALL SELECT problem, tag, min(born) FROM m WHERE tag = 'purchase' GROUP BY problem, tag, stretch, asks) GROUP BY problem, tag"""
+)
+def single_requests(spark, sf_dir):
+    """Logs whose requests (three different ones) repeat until they are answered: how many messages of a kind are left."""
+    event, k = F.col("event_type"), F.col("k")
+    asked = F.to_json(F.struct(F.lit("scores_req").alias("tag"), F.array(k % 3).alias("clause_ids"), F.lit("c").alias("component")))
+    answer = F.lit('{"tag":"scores_res","scores":[1.0]}')
+    other = F.to_json(F.struct(event.alias("tag")))
+    messages = _messages(spark, sf_dir, F.array(F.when(event == "purchase", asked).when(event == "click", answer).otherwise(other)))
+    left = logs.without_doubled_requests(messages)
+    named = F.when(F.col("tag") == "scores_req", "purchase").when(F.col("tag") == "scores_res", "click").otherwise(F.col("tag"))
+    return left.groupBy(F.col("source").alias("problem"), named.alias("tag")).agg(F.count(F.lit(1)).alias("n"))

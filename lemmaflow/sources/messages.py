@@ -1,7 +1,9 @@
 """Readers of event logs, predictions, score maps, problem lists and solver logs."""
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MESSAGE = (
     "tag string, clauses array<struct<clause_id:string,clause:string,clause_features:string>>, clause_ids array<string>,"
@@ -19,6 +21,29 @@ def parse_messages(lines: DataFrame) -> DataFrame:
     return read.withColumn("m", F.from_json("raw", MESSAGE, {"allowNonNumericNumbers": "true"})).where("m is not null").select("source", "msg_pos", "raw", "m.*")
 
 
+@F.arrow_udf(T.StringType())
+def _without_bad_bytes(values: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else x.decode("utf-8", "ignore") for x in values.to_pylist()], pa.string())
+
+
+def decoded(value: Column) -> Column:
+    """A text as it was read, without bytes that are no UTF-8; only texts that have some are decoded anew."""
+    bad = F.when(~F.is_valid_utf8(value), value.cast("binary"))
+    return F.coalesce(_without_bad_bytes(bad), value)
+
+
+def without_doubled_requests(messages: DataFrame) -> DataFrame:
+    """``messages`` without repeated requests: a log has a request when it comes, and again when it is answered.
+
+    Between two answers of a log, requests that are alike in ids and component count once.
+    """
+    before = Window.partitionBy("source").orderBy("msg_pos").rowsBetween(Window.unboundedPreceding, -1)
+    stretch = messages.withColumn("_stretch", F.coalesce(F.sum(F.when(F.col("tag") == "scores_res", 1).otherwise(0)).over(before), F.lit(0)))
+    alike = Window.partitionBy("source", "_stretch", "tag", "clause_ids", "component", "component_id").orderBy("msg_pos")
+    again = F.coalesce(F.col("tag") == "scores_req", F.lit(False)) & (F.row_number().over(alike) > 1)
+    return stretch.withColumn("_again", again).where("not _again").drop("_stretch", "_again")
+
+
 def read_event_logs(spark: SparkSession, path: str) -> DataFrame:
     """Messages of NUL- or newline-delimited JSON logs; order within a file is (segment, line).
 
@@ -26,7 +51,7 @@ def read_event_logs(spark: SparkSession, path: str) -> DataFrame:
     of its split and its place therein.
     """
     place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    segments = spark.read.option("lineSep", "\u0000").text(path).select(F.col("_metadata.file_path").alias("source"), place.alias("segment"), "value")
+    segments = spark.read.option("lineSep", "\u0000").text(path).select(F.col("_metadata.file_path").alias("source"), place.alias("segment"), decoded(F.col("value")).alias("value"))
     lines = segments.select("source", "segment", F.posexplode(F.split("value", r"\r\n|[\r\n]")).alias("line", "raw")).where(F.trim("raw") != "")
     return parse_messages(lines.select("source", F.struct("segment", "line").alias("msg_pos"), "raw"))
 

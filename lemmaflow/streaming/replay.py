@@ -1,8 +1,6 @@
 """Score requests answered from a stream, with a registry of clauses for each problem as state."""
 
 import json
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lemmaflow.session import shared_path
+
 OUT = "problem long, request_pos long, n_requested long, n_known long, cached boolean, score_sum double"
 STATE = "registry string, pending string, cache string"
 
@@ -43,15 +43,6 @@ def replay(messages: DataFrame) -> DataFrame:
     return messages.groupBy("problem").applyInPandasWithState(answer, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def shared_path(spark: SparkSession) -> str:
-    """A new path in the folder that the cluster shares; a local one only if Spark runs in one process."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    root = root or f"file://{tempfile.gettempdir()}/lemmaflow-scratch"
-    return f"{root.rstrip('/')}/lemmaflow/{uuid.uuid4().hex}"
-
-
 def run_to_end(spark: SparkSession, stream: DataFrame) -> DataFrame:
     """Runs over all that is there, into files of the folder that the cluster shares."""
     path = shared_path(spark)

@@ -1,82 +1,185 @@
-"""Scoring sessions over a stream: a registry of clauses, waiting requests and a conjecture for each session as state.
+"""Scoring sessions over a stream: clauses, waiting requests, a conjecture and scored pairs of each session as state.
 
-Messages of a session, in order of pos: register (clause_id, conj_dist), request (ids), start. A start answers all
-waiting requests in their order, or in single-slot mode the newest one, which replaces those before it. The first
-registered clause of distance 0 is the conjecture, or else the one that was first without one; it stays.
+Messages of a session, in order of pos: ``register_clauses``, ``scores_req`` (ids), ``server_queries_start``, which
+answers all waiting requests in their order (in single-slot mode the newest one, which replaces those before it), and
+messages that end the session (``is_final``), whose state then goes. What comes after that begins anew.
+
+The conjecture is settled once a message is read whole: the first clause of distance 0 that is registered, or else,
+where none was found yet, one of the message's other clauses (the least id, or the shortest or longest text); clauses
+without any features count as neither. It stays. A request that finds no conjecture takes its first known clause as
+one, or is answered by zeros if a conjecture is required.
 """
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from lemmaflow.operators.requests import FINAL
+
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-OUT = "session long, request_pos long, start_pos long, conjecture long, n_missing long, cached boolean, scores array<double>"
-NAMES = [x.split()[0] for x in OUT.split(", ")]
+CLAUSES = "array<struct<clause_id:bigint,text:string,conj_dist:int,horn:boolean,bare:boolean>>"
+MESSAGE = f"session bigint, pos bigint, tag string, clauses {CLAUSES}, ids array<bigint>, component string, component_id bigint, values array<array<boolean>>, status string"
+OUT = "session long, request_pos long, start_pos long, conjecture long, n_missing long, n_hits long, scores array<double>"
+
+
+def ends_session(tag: str, status: str | None) -> bool:
+    """The row form of ``requests.is_final``, with the tags that end a connection."""
+    named = tag in ("szs_result_out", "szs_status_out") and any(word in (status or "").strip().lower() for word in FINAL)
+    return named or tag in ("proof_out", "timeout", "terminate")
+
 
+def missing(value) -> bool:
+    """Whether a cell of a batch is null."""
+    return value is None or value != value  # NaN
 
-class Session(StatefulProcessor):
-    """Map state for clauses and answers, so that a batch touches only what it names."""
 
-    def __init__(self, single_slot: bool = False):
-        self.single_slot = single_slot
+class Processor(StatefulProcessor):
+    """Messages in order of pos; all state of a session goes when it ends, or when nothing came for ``idle_ms``."""
+
+    def __init__(self, idle_ms: int | None = None):
+        self.idle_ms = idle_ms
+
+    def states(self, handle: StatefulProcessorHandle) -> list:
+        raise NotImplementedError
+
+    def message(self, session: int, row: dict) -> list[dict]:
+        raise NotImplementedError
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.clauses = handle.getMapState("clauses", "clause_id long", "conj_dist int")
-        self.answers = handle.getMapState("answers", "asked string", "scores array<double>, n_missing long")
-        self.waiting = handle.getListState("waiting", "pos long, ids array<long>")
-        self.conjecture = handle.getValueState("conjecture", "clause_id long")
+        self.handle = handle
+        self.held = self.states(handle)
+
+    def clear(self) -> None:
+        for state in self.held:
+            state.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out = []
+        out: list[dict] = []
         # Arrival order is the only clock: a session's rows of one batch are put in order of pos.
         batch = pd.concat(list(rows)).sort_values("pos", kind="stable")
-        for pos, tag, clause_id, conj_dist, ids in zip(*(batch[c] for c in ("pos", "tag", "clause_id", "conj_dist", "ids")), strict=True):
-            if tag == "register":
-                self.clauses.updateValue((int(clause_id),), (int(conj_dist),))
-                if not self.conjecture.exists():
-                    self.conjecture.update((int(clause_id),))
-            elif tag == "request":
-                row = (int(pos), [int(i) for i in ids])
-                self.waiting.put([row]) if self.single_slot else self.waiting.appendValue(row)
-            elif tag == "start" and self.waiting.exists():
-                out += [(int(key[0]), asked, int(pos), *self._answer(list(wanted))) for asked, wanted in list(self.waiting.get())]
-                self.waiting.clear()
-        yield pd.DataFrame(out, columns=NAMES)
-
-    def _answer(self, ids: list[int]) -> tuple:
-        """conjecture, n_missing, cached, scores: none if no id is known, else one for each id, 0 for unknown ones.
-
-        Answers are kept by the conjecture, the ids and which of them are known.
-        """
-        conjecture = int(self.conjecture.get()[0]) if self.conjecture.exists() else None
-        known = [self.clauses.containsKey((i,)) for i in ids]
-        asked = (f"{conjecture}|{','.join(map(str, ids))}|{''.join(str(int(k)) for k in known)}",)
-        if cached := self.answers.containsKey(asked):
-            scores, missing = self.answers.getValue(asked)
-        else:
-            scores = [2.0 / (1 + int(self.clauses.getValue((i,))[0])) if k else 0.0 for i, k in zip(ids, known, strict=True)] if any(known) else []
-            missing = known.count(False)
-            self.answers.updateValue(asked, (scores, missing))
-        return conjecture, int(missing), cached, [float(s) for s in scores]
-
-
-def answer_sessions(messages: DataFrame, single_slot: bool = False) -> DataFrame:
-    """messages (streaming): session, pos, tag, clause_id, conj_dist, ids."""
-    return messages.groupBy("session").transformWithStateInPandas(Session(single_slot), OUT, "Append", "None")
-
-
-def run_sessions(spark: SparkSession, messages: DataFrame, path: str, single_slot: bool = False) -> DataFrame:
-    """Writes ``messages`` (batch) under ``path``, streams them to their end, and gives the answers."""
-    messages.repartition("session").write.parquet(f"{path}/in")
+        for row in batch.to_dict("records"):
+            if ends_session(row["tag"], row["status"]):
+                self.clear()
+            else:
+                out += self.message(int(key[0]), row)
+        if self.idle_ms is not None:
+            for (due,) in list(self.handle.listTimers()):
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        yield pd.DataFrame([[row.get(c) for c in self.names] for row in out], columns=self.names, dtype=object)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.clear()
+        return iter(())
+
+
+def by_distance(conjecture: str, texts: list[str], distances: list[int | None]) -> list[float]:
+    """A stand-in for a model: near clauses of the conjecture's length score high."""
+    return [2.0 / (1 + (9999 if d is None else d)) - abs(len(conjecture) - len(t)) / 1000 for t, d in zip(texts, distances, strict=True)]
+
+
+class Session(Processor):
+    """Map state for clauses and scores, so that a batch touches only what it names."""
+
+    names = [x.split()[0] for x in OUT.split(", ")]
+
+    def __init__(self, single_slot: bool = False, fallback: str = "first", require_conjecture: bool = False, score: Callable = by_distance, idle_ms: int | None = None):
+        super().__init__(idle_ms)
+        self.single_slot, self.fallback, self.require_conjecture, self.score = single_slot, fallback, require_conjecture, score
+
+    def states(self, handle: StatefulProcessorHandle) -> list:
+        self.clauses = handle.getMapState("clauses", "clause_id long", "text string, conj_dist int")
+        self.scored = handle.getMapState("scored", "clause_id long, text_hash string", "score double")
+        self.waiting = handle.getListState("waiting", "pos long, ids array<long>")
+        self.conjecture = handle.getValueState("conjecture", "clause_id long, text string")
+        return [self.clauses, self.scored, self.waiting, self.conjecture]
+
+    def message(self, session: int, row: dict) -> list[dict]:
+        if row["tag"] == "register_clauses":
+            self._register(row["clauses"])
+        elif row["tag"] == "scores_req":
+            asked = (int(row["pos"]), [int(i) for i in row["ids"]])
+            self.waiting.put([asked]) if self.single_slot else self.waiting.appendValue(asked)
+        elif row["tag"] == "server_queries_start" and self.waiting.exists():
+            answers = [dict(session=session, request_pos=pos, start_pos=int(row["pos"]), **self._answer(list(ids))) for pos, ids in list(self.waiting.get())]
+            self.waiting.clear()
+            return answers
+        return []
+
+    def _register(self, clauses) -> None:
+        pool: dict[int, str] = {}  # where a conjecture is missing, so are other clauses of earlier messages
+        for c in clauses if clauses is not None else []:
+            own, text = int(c["clause_id"]), c["text"] or ""
+            distance = None if missing(c["conj_dist"]) else int(c["conj_dist"])
+            self.clauses.updateValue((own,), (text, distance))
+            if c["bare"]:
+                continue
+            if distance != 0:
+                pool[own] = text
+            elif not self.conjecture.exists():
+                self.conjecture.update((own, text))
+        if pool and not self.conjecture.exists():
+            pick = {"first": min, "shortest": lambda p: min(p, key=lambda k: len(p[k])), "longest": lambda p: max(p, key=lambda k: len(p[k]))}[self.fallback]
+            own = pick(pool)
+            self.conjecture.update((own, pool[own]))
+
+    def _answer(self, ids: list[int]) -> dict:
+        """Scores: none if no id is known, else one for each id, 0 for unknown ones."""
+        known = {i: self.clauses.getValue((i,)) for i in ids if self.clauses.containsKey((i,))}
+        out = {"n_missing": sum(i not in known for i in ids), "n_hits": 0, "scores": [0.0] * len(ids) if known else []}
+        if known and not self.conjecture.exists() and not self.require_conjecture:
+            first = next(i for i in ids if i in known)
+            self.conjecture.update((first, known[first][0]))
+        out["conjecture"] = int(self.conjecture.get()[0]) if self.conjecture.exists() else None
+        if not known or not self.conjecture.exists():
+            return out
+        # A pair of the conjecture, which stays, and a clause's text is scored once.
+        keys = {i: (i, hashlib.sha1(text.encode()).hexdigest()) for i, (text, _) in known.items()}
+        scores = {i: self.scored.getValue(k)[0] for i, k in keys.items() if self.scored.containsKey(k)}
+        new = [i for i in known if i not in scores]
+        for i, score in zip(new, self.score(self.conjecture.get()[1], [known[i][0] for i in new], [known[i][1] for i in new]), strict=True):
+            scores[i] = float(score)
+            self.scored.updateValue(keys[i], (float(score),))
+        return out | {"n_hits": len(known) - len(new), "scores": [float(scores.get(i, 0.0)) for i in ids]}
+
+
+def answer_sessions(messages: DataFrame, processor: StatefulProcessor | None = None, out: str = OUT) -> DataFrame:
+    """messages (streaming): the columns of MESSAGE."""
+    processor = processor or Session()
+    return messages.groupBy("session").transformWithStateInPandas(processor, out, "Append", "None" if processor.idle_ms is None else "ProcessingTime")
+
+
+def start(spark: SparkSession, messages: DataFrame, path: str, processor: StatefulProcessor, out: str, sink: Callable | None = None):
+    """A query that streams the messages' files to their end, into files under ``path`` or to ``sink`` by batch.
+
+    With timers a stream has no end: start such a one from ``answer_sessions``, with a trigger of its own.
+    """
+    if processor.idle_ms is not None:
+        raise ValueError("a stream with idle_ms has no end")
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     try:
-        stream = answer_sessions(spark.readStream.schema(messages.schema).parquet(f"{path}/in"), single_slot)
-        query = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        stream = answer_sessions(messages, processor, out)
+        writer = stream.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
+        query = (writer.foreachBatch(sink) if sink else writer.format("parquet").option("path", f"{path}/out")).start()
         query.awaitTermination()
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+    return query
+
+
+def run_sessions(spark: SparkSession, messages: DataFrame, path: str, **options) -> DataFrame:
+    """Writes ``messages`` (batch) under ``path``, streams them to their end, and gives the answers."""
+    messages.repartition("session").write.parquet(f"{path}/in")
+    start(spark, spark.readStream.schema(messages.schema).parquet(f"{path}/in"), path, Session(**options), OUT)
+    return spark.read.schema(OUT).parquet(f"{path}/out")
+
+
+def padded(messages: DataFrame) -> DataFrame:
+    """``messages`` with all columns of MESSAGE; missing ones are null."""
+    fields = [f.strip().split(" ", 1) for f in MESSAGE.split(", ")]
+    return messages.select(*[(F.col(n) if n in messages.columns else F.lit(None)).cast(t).alias(n) for n, t in fields])

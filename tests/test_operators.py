@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from lemmaflow.functions import text
-from lemmaflow.operators import canonical, evaluation, labeling
+from lemmaflow.functions import formula, text
+from lemmaflow.operators import caching, encoding, evaluation, labeling, ordering, requests, scoring
 from lemmaflow.sources import messages, sinks
 
 
@@ -49,10 +49,11 @@ def test_last_given_overshoots(spark):
     assert [r["clause_id"] for r in got] == [22, 21]
 
 
-def test_symbols_and_variables(spark):
-    assert [(t[3], t[4], t[5]) for t in canonical.scan_tokens("![X0:$i]: (~p(f(X0,a))|g(b)=c)")] == [
-        ("X0", "variable", 0), ("p", "predicate", 1), ("f", "function", 2), ("X0", "variable", 0), ("a", "constant", 0),
-        ("g", "function", 1), ("b", "constant", 0), ("c", "constant", 0),
+def test_symbols_and_variables():
+    rows = formula.scan("![X0:$i]: (~p(f(X0,a))|g(b)=c)")
+    assert [(name, "variable" if variable else "constant" if constant else "call", arity) for _, _, name, variable, constant, arity, _ in rows[:-1]] == [
+        ("X0", "variable", 0), ("p", "call", 1), ("f", "call", 2), ("X0", "variable", 0), ("a", "constant", 0),
+        ("g", "call", 1), ("b", "constant", 0), ("c", "constant", 0),
     ]
 
 
@@ -76,3 +77,75 @@ def test_jsonl_leaves_out_optional_nulls(spark, tmp_path):
 def test_chunks_stop_after_a_short_one(spark):
     df = spark.range(1).select(text.chunks(F.sequence(F.lit(1), F.lit(10)), 4, 3).alias("c"))
     assert df.first()["c"] == [[1, 2, 3, 4], [4, 5, 6, 7], [7, 8, 9, 10], [10]]
+
+
+def test_bytes_that_are_no_text_go(spark, tmp_path):
+    log = tmp_path / "a.log"
+    log.write_bytes(b'{"tag":"a\xff\xc3","component":"\xef\xbf\xbd\xc3\xa9\xe2\x82"}\n{"tag":"b"}\x00\xfe')
+    read = messages.read_event_logs(spark, str(log)).orderBy("msg_pos").collect()
+    assert [(r["tag"], r["component"]) for r in read] == [("a", "\ufffd\u00e9"), ("b", None)]
+
+
+def test_doubled_requests_count_once(spark):
+    lines = ['{"tag":"scores_req","clause_ids":[1]}', '{"tag":"given_clause","clause_ids":[1]}', '{"tag":"scores_req","clause_ids":[1],"component":null}', '{"tag":"scores_res","scores":[1.0]}']
+    lines += [lines[0], '{"tag":"scores_req","clause_ids":[2]}', lines[0], lines[3], '{"clauses":[]}']
+    rows = spark.createDataFrame([("a", k, x) for k, x in enumerate(lines)] + [("b", 0, lines[0])], "source string, msg_pos int, raw string")
+    left = messages.without_doubled_requests(messages.parse_messages(rows)).orderBy("source", "msg_pos").collect()
+    assert [(r["source"], r["msg_pos"]) for r in left] == [("a", 0), ("a", 1), ("a", 3), ("a", 4), ("a", 5), ("a", 7), ("a", 8), ("b", 0)]
+
+
+def test_last_ground_values_of_an_id_count(spark):
+    raw = '{"tag":"cls_sat_eval_gr_res","clause_ids":[5,6,5,7],"sat_lit_gr_vals":[[true],[false],[false,true]]}'
+    got = requests.sat_values(messages.parse_messages(spark.createDataFrame([("a", 1, raw)], "source string, msg_pos int, raw string")))
+    assert got.first()["values"] == {5: [False, True], 6: [False], 7: []}
+
+
+def test_positions_over_ranges_and_ties_of_files(spark, tmp_path):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"), F.lit("p").alias("part")).repartition(7)
+    got = ordering.positions(rows, [F.desc("x")])
+    assert got.where("position <> 999 - x").isEmpty() and got.count() == 1000 and got.columns == ["x", "part", "position"]
+    assert ordering.positions(rows.limit(0), [F.desc("x")]).isEmpty()
+    ordering.write_in_order(rows, [F.col("x")], str(tmp_path / "o"))
+    lines = [x for f in sorted((tmp_path / "o").glob("part-*")) for x in f.read_text().split()]
+    assert lines == [f'{{"x":{k},"part":"p"}}' for k in range(1000)]
+
+
+def test_dynamic_ids_with_split_tokens(spark):
+    rows = [(2, "b a  b"), (1, " a a c"), (3, ""), (4, None)]
+    for share in (1, 1000):
+        got = {r["k"]: r["ids"] for r in encoding.encode_dynamic(spark.createDataFrame(rows, "k int, text string"), "k", share=share).collect()}
+        assert got == {1: [2, 2, 3], 2: [4, 2, 4], 3: [5]}  # an empty text is one empty token
+
+
+def test_a_batch_is_written_once(spark, tmp_path):
+    path = str(tmp_path / "w")
+    assert sinks.read_once(spark, path, "x long").isEmpty()
+    for number, n in ((0, 3), (1, 5), (1, 50)):
+        sinks.write_once(spark.range(n).toDF("x"), path, number)
+    assert sinks.read_once(spark, path).count() == 8
+    told = {r["batch_id"]: r for r in sinks.manifests(spark, path).collect()}
+    assert {k: r["n_rows"] for k, r in told.items()} == {0: 3, 1: 5} and all(r["stamp"] > 0 and r["digest"] for r in told.values())
+    # A try that died before its manifest leaves rows that don't count, and are written over.
+    spark.range(9).toDF("x").write.parquet(f"{path}/data/batch=000000000002")
+    assert sinks.read_once(spark, path).count() == 8
+    sinks.write_once(spark.range(1).toDF("x"), path, 2)
+    assert sinks.read_once(spark, path).count() == 9
+    sinks.write_artifacts(spark.createDataFrame([("r1", 1), ("r2", 2)], "request_id string, v int"), str(tmp_path / "a"), 0)
+    found = {f.parent.name: f.read_text() for f in (tmp_path / "a" / "data").rglob("part-*.txt")}
+    assert found == {"request_id=r1": '{"v":1}\n', "request_id=r2": '{"v":2}\n'}
+
+
+def test_kept_scores_equal_new_ones(spark, tmp_path):
+    def pairs(ids):
+        return spark.createDataFrame([(q, i, float(q * 10 + i)) for q in (1, 2) for i in ids], "query_id long, id long, x double")
+
+    path, scorer = str(tmp_path / "kept"), F.col("x") * 2
+    rounds = [caching.score_new(pairs(ids), scorer, path, n) for n, ids in enumerate((range(5), range(3, 8), range(8)))]
+    assert [(r.candidates, r.hits) for r in rounds] == [(10, 0), (10, 4), (16, 16)]
+    assert all(r["score"] == 2 * r["x"] for one in rounds for r in one.rows.collect())
+
+
+def test_attention_of_one_chunk_is_the_chunk(spark):
+    rows = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [1.0, 0.0]), ("b", [0.0, 1.0])], "g string, vector array<double>")
+    got = {r["g"]: r["vector"] for r in scoring.attend_chunks(rows, ["g"], F.array(F.lit(0.0), F.lit(0.0)), 2).collect()}
+    assert got == {"a": [1.0, 2.0], "b": [0.5, 0.5]}

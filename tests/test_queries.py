@@ -30,12 +30,6 @@ def test_same_rows(spark, duck, name):
     assert got == want
 
 
-def test_replay_answers_each_request_once(spark):
-    got = registry.QUERIES["event_replay"](spark, str(DATA)).toPandas()
-    assert len(got) and not got.duplicated(["problem", "request_pos"]).any()
-    assert (got["n_known"] <= got["n_requested"]).all()
-
-
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
