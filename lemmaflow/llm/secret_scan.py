@@ -1,9 +1,11 @@
 """Secret scans with corpus-wide ownership frequency, with built-in functions only.
 
 Candidates are the base kinds (assign, access, hex) and two wider ones (issued: tokens with an issuer's
-prefix; opaque: long mixed strings). Each candidate's value is hashed and counted over the corpus by distinct
-owners. A value of one owner is live, in however many of its repositories and copies it is; a value that more
-owners have is a widely copied example. Base spans are always reported; wider ones only if they are live.
+prefix; opaque: long mixed strings). Each candidate's value is hashed and counted over the corpus by distinct owners
+and by distinct repositories, where rows of equal text are one repository and its forks. A value that at least
+OWNERS owners and at least REPOSITORIES repositories have is a widely copied example; any other value is live, in
+however many copies it is, and also where a few owners share it. Base spans are always reported; wider ones only if
+they are live.
 
 Defined cases: a null text is empty; null owners count as one value of their own; repeated rows give a row each;
 spans are in code points, end exclusive; other columns are
@@ -33,6 +35,9 @@ GUARD = {
     "issued": "gh[pousr]_|xox[abprs]-|k_live_|AIza",
     "opaque": r"[A-Za-z0-9+/_-]{32}",
 }
+#: A value of so many owners and so many repositories is an example.
+OWNERS = 4
+REPOSITORIES = 4
 #: A set of this many flags at most is broadcast to tell which texts are to be changed.
 FLAGS = 1 << 20
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int,value:string>>"
@@ -102,17 +107,21 @@ def candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
     return read.select(*keep, F.array_sort(F.concat(*[_spans(F.col("text"), k) for k in KINDS])).alias("spans"))
 
 
-def ownership(spans: DataFrame, owner: str) -> DataFrame:
-    """value_hash, n_owners. Distinct pairs first, so that a copied value is summed before it moves."""
-    owners = spans.groupBy("value_hash", owner).agg(F.lit(1).alias("one"))
-    return owners.groupBy("value_hash").agg(F.count(F.lit(1)).alias("n_owners"))
+def ownership(spans: DataFrame, owner: str, repository: str) -> DataFrame:
+    """value_hash, n_owners, n_repositories. Distinct pairs first, so that a copied value is summed before it moves."""
 
+    def counted(of: str, name: str) -> DataFrame:
+        pairs = spans.groupBy("value_hash", of).agg(F.lit(1).alias("one"))
+        return pairs.groupBy("value_hash").agg(F.count(F.lit(1)).alias(name))
 
-def _judged(one: DataFrame, owner: str) -> DataFrame:
+    return counted(owner, "n_owners").join(counted(repository, "n_repositories"), "value_hash")
+
+
+def _judged(one: DataFrame, owner: str, repository: str) -> DataFrame:
     """``one`` (a candidate a row, as s) with verdict, without wider candidates that aren't live."""
     one = one.withColumn("value_hash", F.sha2("s.value", 256))
-    live = F.col("n_owners") == 1
-    judged = one.join(ownership(one, owner), "value_hash").withColumn("verdict", F.when(live, "live").otherwise("example"))
+    live = (F.col("n_owners") < OWNERS) | (F.col("n_repositories") < REPOSITORIES)
+    judged = one.join(ownership(one, owner, repository), "value_hash").withColumn("verdict", F.when(live, "live").otherwise("example"))
     return judged.where(F.col("s.kind").isin(BASE) | live)
 
 
@@ -122,14 +131,15 @@ def _gathered():
 
 def scan_secrets(docs: DataFrame, repo: str = "doc_id", owner: str = "source") -> DataFrame:
     """The rows of ``docs`` as repo, owner, row_key, spans: array of (start, rank, kind, end, verdict)."""
-    found = materialize(candidates(docs, [repo, owner]).withColumn("row_key", F.monotonically_increasing_id()))
-    one = found.select(repo, owner, "row_key", F.explode("spans").alias("s"))
-    judged = _judged(one, owner).groupBy("row_key").agg(_gathered())
+    own = docs.select(F.col(repo).alias("_repo"), F.col(owner).alias("_owner"), F.xxhash64("text").alias("_repository"), "text")
+    found = materialize(candidates(own, ["_repo", "_owner", "_repository"]).withColumn("row_key", F.monotonically_increasing_id()))
+    one = found.select("_owner", "_repository", "row_key", F.explode("spans").alias("s"))
+    judged = _judged(one, "_owner", "_repository").groupBy("row_key").agg(_gathered())
     empty = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,verdict:string>>")
     return (
-        found.select(repo, owner, "row_key")
+        found.select("_repo", "_owner", "row_key")
         .join(judged, "row_key", "left")
-        .select(repo, owner, "row_key", F.coalesce("spans", empty).alias("spans"))
+        .select(F.col("_repo").alias(repo), F.col("_owner").alias(owner), "row_key", F.coalesce("spans", empty).alias("spans"))
     )
 
 
@@ -160,10 +170,10 @@ def redact_secrets(docs: DataFrame, repo: str = "doc_id", owner: str = "source")
     """``docs`` with the live spans of text replaced; only texts that have one move."""
     own, flag = unused("text_key", docs), unused("flag", docs)
     key = F.xxhash64(repo, "text")
-    read = docs.select(F.col(repo).alias("repo"), F.col(owner).alias("owner"), key.alias("text_key"), "text")
-    found = materialize(candidates(read, ["repo", "owner", "text_key"]).where(F.size("spans") > 0))
-    one = found.select("repo", "owner", "text_key", F.explode("spans").alias("s"))
-    spans = _judged(one, "owner").where("verdict = 'live'").groupBy(F.col("text_key").alias(own)).agg(_gathered().alias(unused("spans", docs)))
+    read = docs.select(F.col(owner).alias("owner"), F.xxhash64("text").alias("repository"), key.alias("text_key"), "text")
+    found = materialize(candidates(read, ["owner", "repository", "text_key"]).where(F.size("spans") > 0))
+    one = found.select("owner", "repository", "text_key", F.explode("spans").alias("s"))
+    spans = _judged(one, "owner", "repository").where("verdict = 'live'").groupBy(F.col("text_key").alias(own)).agg(_gathered().alias(unused("spans", docs)))
     found_spans = unused("spans", docs)
     marked = F.pmod(own, F.lit(FLAGS)).cast("int").alias(flag)
     spans = materialize(spans)

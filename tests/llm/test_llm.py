@@ -75,6 +75,7 @@ def near_copies(seed: int = 3, n: int = 240) -> list[tuple[int, str]]:
 @pytest.mark.parametrize(("seed", "block"), [(3, 1 << 17), (4, 400)])
 def test_jaccard_components(spark, monkeypatch, seed, block):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "MEMBERS", max(2, block >> 7))
     rows = near_copies(seed)
     rows += [(1000 + i, t) for i, t in rows[::7]]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -101,9 +102,20 @@ def secret_text(spans):
 
 
 def test_redaction(spark):
-    rows = spark.createDataFrame([(1, "x password=abcdef12 y", "a"), (2, "secret: shared99 z", "a"), (3, "secret: shared99 z", "b"), (4, None, "b")], "doc_id long, text string, source string")
+    two = [(2, "secret: shared99 z", "a"), (3, "secret: shared99 y", "b"), (4, None, "b")]
+    wide = [(10 + k, f"token=example99 {k}", f"o{k}") for k in range(secret_scan.OWNERS)]
+    forks = [(20 + k, "token=forked99 x", f"o{k}") for k in range(9)]
+    rows = spark.createDataFrame([(1, "x password=abcdef12 y", "a"), *two, *wide, *forks], "doc_id long, text string, source string")
     got = {r["doc_id"]: r["text"] for r in secret_scan.redact_secrets(rows).collect()}
-    assert got == {1: "x <secret> y", 2: "secret: shared99 z", 3: "secret: shared99 z", 4: None}
+    # A few owners leave a value live, and so do copies of one text, at however many owners; many of both make an example.
+    assert got == {1: "x <secret> y", 2: "<secret> z", 3: "<secret> y", 4: None} | {k: x for k, x, _ in wide} | {k: "<secret> x" for k, _, _ in forks}
+
+
+def test_ownership(spark):
+    r = random.Random(4)
+    spans = [(f"v{r.randrange(9)}", r.choice([None, "a", "b", "c"]), r.randrange(6)) for _ in range(150)]
+    got = {x["value_hash"]: (x["n_owners"], x["n_repositories"]) for x in secret_scan.ownership(spark.createDataFrame(spans, "value_hash string, owner string, repository long"), "owner", "repository").collect()}
+    assert got == {v: tuple(len({s[k] for s in spans if s[0] == v}) for k in (1, 2)) for v in {s[0] for s in spans}}
 
 
 def test_copies_of_one_owner_stay_live(spark):
@@ -379,7 +391,10 @@ def test_moderate_outliers_go_and_small_groups_lean_on_others(spark):
 def test_pipeline_decides_on_rows(spark):
     import corpus_pipeline
 
-    words = lambda seed: " ".join(random.Random(seed).choice("abcdefghij") * 3 + str(k % 17) for k in range(60))
+    def words(seed: int) -> str:
+        r = random.Random(seed)
+        return " ".join(r.choice("abcdefghij") * 3 + str(k % 17) for k in range(60))
+
     rows = [(1, words(1)), (1, words(2)), (2, words(1) + " more"), (3, words(3)), (3, words(3)), (None, words(3)), (None, words(4)), (4, None), (5, ""), (5, "")]
     docs = spark.createDataFrame([(i, t, "en", "s", 1, 7, 8) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, flag int, row int")
     got = corpus_pipeline.drop_copies(spark, docs, str(DATA))
