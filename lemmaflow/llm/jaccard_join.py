@@ -10,10 +10,13 @@
    pass the length and positional filters, then a suffix filter: counts of a set's hashes in 64 ranges, whose
    differences bound the symmetric difference from below. Each pair left is verified once, on whole sets.
 5. Members that the hub's links already connect need no link to find their component. Where a group still spans
-   several components, its pairs across components are tried the same way. So no link between components is lost,
-   and large groups of copies do not make all their pairs.
-6. Links within components of three and more classes are counted in blocks of bounded size: every two blocks of a
-   component meet in one task, which counts what their sets share and gives each class its number of links.
+   several components, its pairs across components are tried the same way, in blocks of MEMBERS members: every two
+   blocks of a group are a key of their own, so that a frequent shingle is split over tasks. So no link between
+   components is lost, and large groups of copies do not make all their pairs.
+6. Links within what the hubs' links connect, where that are three and more classes, are joined in blocks of bounded size: every two blocks of a
+   component meet in one task, which indexes the prefixes of one block and looks up those of the other. Pairs that share
+   a prefix shingle pass the same three filters; those that step 4 has verified, which one of the two met as the hub,
+   are left out, and each other one is verified here, once. A task gives each class the number of rows it links to.
 
 Defined cases: a text without words (or null) has n_shingles 0 and is a component of its own; every row gives a
 row, repeated ids too; a row with a null id takes part, and its component's id is the smallest one that is not
@@ -33,8 +36,9 @@ from lemmaflow.llm.graph import connected_components
 
 WORDS = 5
 COUNTERS = 1 << 18
-#: Components are cut into blocks of about so many shingles.
-BLOCK = 1 << 15
+#: Components are cut into blocks of about so many shingles, groups of a shingle into blocks of about so many members.
+BLOCK = 1 << 18
+MEMBERS = 1 << 12
 #: Odd multipliers of the five places of a shingle, and of the last mix.
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -101,6 +105,12 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
 
 
+def _prefix(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The rarest shingles of a set, in order: a set of similarity 0.8 has one of them in its own prefix."""
+    first = len(tokens) - (4 * len(tokens) + 4) // 5 + 1
+    return tokens[np.lexsort((tokens, counts[(tokens & np.uint64(COUNTERS - 1)).astype(np.int64)]))[:first]]
+
+
 def _prefixes(counters):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.frombuffer(counters.value, np.uint32), set()
@@ -113,9 +123,9 @@ def _prefixes(counters):
                 tokens = shingle_set(text)
                 if not (n := len(tokens)):
                     continue
-                first = n - (4 * n + 4) // 5 + 1
-                order = np.lexsort((tokens, counts[(tokens & np.uint64(COUNTERS - 1)).astype(np.int64)]))[:first]
-                out.append((tokens[order].view(np.int64), np.full(first, _mark(tokens)), np.full(first, n, np.int32), np.arange(first, dtype=np.int32)))
+                prefix = _prefix(tokens, counts)
+                first = len(prefix)
+                out.append((prefix.view(np.int64), np.full(first, _mark(tokens)), np.full(first, n, np.int32), np.arange(first, dtype=np.int32)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["token", "fp", "n", "pos"])
         _hash_of.clear()
@@ -193,75 +203,130 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFra
     return near.select("a", "b", "text_a", "text_b").mapInArrow(_links, "a long, b long")
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shingles of a class's text; another row of a repeated id has another mark, and gives none."""
-    for batch in batches:
-        sets = [shingle_set(t) for t in batch["text"].to_pylist()]
-        same = pa.array([_mark(s) == fp for s, fp in zip(sets, batch["fp"].to_pylist(), strict=True)], pa.bool_())
-        columns = [batch[c] for c in ("root", "fp", "times", "blocks")] + [pa.array([s.tobytes() for s in sets], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=["root", "fp", "times", "blocks", "tokens"]).filter(same)
+def _sets(counters):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The shingles and the prefix of a class's text; another row of a repeated id has another mark, and gives none."""
+        counts = np.frombuffer(counters.value, np.uint32)
+        for batch in batches:
+            sets = [shingle_set(t) for t in batch["text"].to_pylist()]
+            same = pa.array([_mark(s) == fp for s, fp in zip(sets, batch["fp"].to_pylist(), strict=True)], pa.bool_())
+            columns = [batch[c] for c in ("root", "fp", "times", "blocks", "hub_of")]
+            columns += [pa.array([x.tobytes() for x in each], pa.binary()) for each in (sets, [_prefix(s, counts) for s in sets])]
+            yield pa.RecordBatch.from_arrays(columns, names=["root", "fp", "times", "blocks", "hub_of", "tokens", "prefix"]).filter(same)
+        _hash_of.clear()
+        release()
+
+    return rows
 
 
-def _shared(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
-    """How many elements each of the sets shares with each of the others."""
-    joined = np.concatenate(sets)
-    order = np.argsort(joined, kind="stable")
-    tokens, owner = joined[order], np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order]
-    out = np.empty((len(others), len(sets)), np.int64)
-    for k, other in enumerate(others):
-        low, high = np.searchsorted(tokens, other, "left"), np.searchsorted(tokens, other, "right")
-        times = high - low
-        at = np.repeat(low - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
-        out[k] = np.bincount(owner[at], minlength=len(sets))
-    return out.T
+class _Block:
+    """Classes of a component: their sets, and their prefixes as an index by shingle."""
+
+    def __init__(self, rows: list[tuple]):
+        self.fps = [r[0] for r in rows]
+        self.times = np.array([r[1] for r in rows])
+        self.sets = [np.frombuffer(r[2], np.uint64) for r in rows]
+        self.prefixes = [np.frombuffer(r[3], np.uint64) for r in rows]
+        self.hubs = [np.isin(p, np.array(r[4], np.int64).view(np.uint64)) for p, r in zip(self.prefixes, rows, strict=True)]
+        self.sizes = np.array([len(x) for x in self.sets])
+        self.ranges = np.array([np.bincount((x >> np.uint64(58)).astype(np.int64), minlength=64) for x in self.sets])
+        lengths = [len(p) for p in self.prefixes]
+        joined = np.concatenate(self.prefixes)
+        order = np.argsort(joined, kind="stable")
+        self.tokens, self.owner = joined[order], np.repeat(np.arange(len(rows)), lengths)[order]
+        self.pos, self.is_hub = np.concatenate([np.arange(n) for n in lengths])[order], np.concatenate(self.hubs)[order]
+
+    def candidates(self, other: "_Block", k: int, below: int) -> np.ndarray:
+        """Classes of this block, the first ``below``, that the filters leave for class ``k`` of the other, and weren't verified."""
+        prefix, n = other.prefixes[k], other.sizes[k]
+        low, high = np.searchsorted(self.tokens, prefix, "left"), np.searchsorted(self.tokens, prefix, "right")
+        found = high - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(found)[:-1]]), found) + np.arange(found.sum())
+        owner, sizes = self.owner[at], self.sizes[self.owner[at]]
+        rest = np.minimum(sizes - self.pos[at], n - np.repeat(np.arange(len(prefix)), found))
+        passed = (owner < below) & (5 * np.minimum(sizes, n) >= 4 * np.maximum(sizes, n)) & (9 * rest >= 4 * (sizes + n))
+        met = passed & (self.is_hub[at] != np.repeat(other.hubs[k], found))
+        left = np.zeros(len(self.fps), bool)
+        left[owner[passed]] = True
+        left[owner[met]] = False
+        left = np.flatnonzero(left)
+        apart = np.abs(self.ranges[left] - other.ranges[k]).sum(axis=1)
+        return left[9 * apart <= self.sizes[left] + n]
+
+    def linked(self, at: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """Those of the classes ``at`` whose sets are similar to ``tokens``."""
+        if not len(at):
+            return at
+        joined = np.concatenate([self.sets[k] for k in at])
+        place = np.minimum(np.searchsorted(tokens, joined), len(tokens) - 1)
+        shared = np.add.reduceat((tokens[place] == joined).astype(np.int64), np.concatenate([[0], np.cumsum(self.sizes[at])[:-1]]))
+        return at[9 * shared >= 4 * (self.sizes[at] + len(tokens))]
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows in the order of root, lo, hi: how many rows each class of two blocks links to in the other one."""
 
-    def count(members: list[tuple]) -> pa.RecordBatch:
-        of = {}
-        for _, _, _, own, fp, times, tokens in members:
-            of.setdefault(own, {})[fp] = times, np.frombuffer(tokens, np.uint64)
-        first, second = of.get(True, {}), of.get(False, {})
-        pairs = [(first, second), (second, first)] if second else [(first, first)]
+    def count(key: tuple, members: list[tuple]) -> pa.RecordBatch:
+        sides = [[m[1:] for m in members if m[0] == own] for own in (True, False)]
         fps, links = [], []
-        for a, b in pairs if first else []:
-            sizes = [np.array([len(t) for _, t in x.values()]) for x in (a, b)]
-            linked = 9 * _shared([t for _, t in a.values()], [t for _, t in b.values()]) >= 4 * (sizes[0][:, None] + sizes[1])
-            fps += a
-            links += (linked @ np.array([times for times, _ in b.values()])).tolist()
-            if a is b:
-                links[-len(a) :] = [n - times for n, (times, _) in zip(links[-len(a) :], a.values(), strict=True)]
+        if sides[0] and (key[1] == key[2] or sides[1]):
+            one = _Block(sides[0])
+            two = one if key[1] == key[2] else _Block(sides[1])
+            of_one, of_two = np.zeros(len(one.fps), np.int64), np.zeros(len(two.fps), np.int64)
+            for k in range(len(two.fps)):
+                near = one.linked(one.candidates(two, k, k if one is two else len(one.fps)), two.sets[k])
+                of_one[near] += two.times[k]
+                of_two[k] += one.times[near].sum()
+            fps, links = one.fps + two.fps, [*of_one.tolist(), *of_two.tolist()]
         return pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(links, pa.int64())], names=["fp", "links"])
 
-    group: list[tuple] = []
+    key, group = None, []
     for batch in batches:
-        for row in zip(*(batch[c].to_pylist() for c in ("root", "lo", "hi", "own", "fp", "times", "tokens")), strict=True):
-            if group and group[0][:3] != row[:3]:
-                yield count(group)
-                group = []
+        for root, lo, hi, *row in zip(*(batch[c].to_pylist() for c in ("root", "lo", "hi", "own", "fp", "times", "tokens", "prefix", "hub_of")), strict=True):
+            if (root, lo, hi) != key:
+                if group:
+                    yield count(key, group)
+                key, group = (root, lo, hi), []
             group.append(row)
     if group:
-        yield count(group)
+        yield count(key, group)
+    release()
 
 
-def _links_of(rooted: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
-    """fp, links: with how many rows of other classes a class links. rooted: fp, n, rid, times (its rows), root."""
-    size = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"))
-    two = rooted.join(size.where("members = 2").select("root"), "root").select("fp", "times")
+def _links_of(rooted: DataFrame, links: DataFrame, hubs: DataFrame, texts: DataFrame, counters) -> DataFrame:
+    """fp, links: with how many rows of other classes a class links. rooted: fp, n, rid, times (its rows), root.
+
+    ``links`` are the verified ones; classes of different roots have no others.
+    """
     ends = links.union(links.select("b", "a")).toDF("fp", "other")
-    single = ends.join(two.select("fp"), "fp").join(two.toDF("other", "links"), "other").select("fp", "links")
+    verified = ends.join(rooted.select(F.col("fp").alias("other"), F.col("times").alias("links")), "other").select("fp", "links")
 
+    size = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"))
     blocks = F.ceil(F.col("total") / BLOCK).cast("int")
     more = rooted.join(size.where("members > 2").select("root", blocks.alias("blocks")), "root").select("root", "fp", "times", "blocks", "rid")
-    sets = _fetched(texts.select("rid", "text"), more.select("rid", "root", "fp", "times", "blocks")).mapInArrow(_sets, "root long, fp long, times long, blocks int, tokens binary")
+    hub_of = hubs.groupBy("fp").agg(F.collect_list("token").alias("hub_of"))  # of its own prefix at most
+    more = more.join(hub_of, "fp", "left").withColumn("hub_of", F.coalesce("hub_of", F.array().cast("array<bigint>")))
+    sets = _fetched(texts.select("rid", "text"), more.select("rid", "root", "fp", "times", "blocks", "hub_of"))
+    sets = sets.mapInArrow(_sets(counters), "root long, fp long, times long, blocks int, hub_of array<bigint>, tokens binary, prefix binary")
     sets = sets.dropDuplicates(["fp"]).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     met = sets.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("root", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), (F.col("block") <= F.col("with")).alias("own"), "fp", "times", "tokens")
+    met = met.select("root", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), (F.col("block") <= F.col("with")).alias("own"), "fp", "times", "tokens", "prefix", "hub_of")
     met = met.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
-    counted = met.mapInArrow(_counted, "fp long, links long").groupBy("fp").agg(F.sum("links").alias("links"))
-    return single.union(counted)
+    return verified.union(met.mapInArrow(_counted, "fp long, links long")).groupBy("fp").agg(F.sum("links").alias("links"))
+
+
+def _across(others: DataFrame) -> DataFrame:
+    """Pairs of a group's members (token, fp, n, pos, root) in different components that pass the filters.
+
+    Groups are dealt in blocks; every two blocks are joined under a key of their own.
+    """
+    blocks = others.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("blocks"))
+    dealt = others.join(blocks, "token").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("block", "with"), "hi": F.greatest("block", "with")})
+    one = met.where("block = lo").select("token", "lo", "hi", "fp", "n", "pos", "root")
+    two = met.where("block = hi").select("token", "lo", "hi", F.col("fp").alias("fp2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("root").alias("root2"))
+    once = (F.col("lo") < F.col("hi")) | (F.col("fp") < F.col("fp2"))
+    return one.join(two, ["token", "lo", "hi"]).where(once & (F.col("root") != F.col("root2")) & _passes("n", "pos", "n2", "pos2"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -278,7 +343,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     summed = found.where("counter is not null").groupBy("counter").agg(F.sum("times").alias("times")).toPandas()  # COUNTERS rows at most
     counts = np.zeros(COUNTERS, np.uint32)
     counts[summed["counter"].to_numpy(np.int64)] = np.minimum(summed["times"].to_numpy(np.int64), 2**32 - 1)
-    rows = materialize(texts.select("text_hash", "text").mapInArrow(_prefixes(spark.sparkContext.broadcast(counts.tobytes())), "token long, fp long, n int, pos int"))
+    counters = spark.sparkContext.broadcast(counts.tobytes())
+    rows = materialize(texts.select("text_hash", "text").mapInArrow(_prefixes(counters), "token long, fp long, n int, pos int"))
     key = F.shiftleft(F.least("pos", F.lit(32767)).cast("long"), 48).bitwiseOR(F.col("fp").bitwiseAND(F.lit((1 << 48) - 1)))
     # Counting and joining need the same columns, so both read one shuffle.
     dealt = rows.repartition("token")
@@ -294,15 +360,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     others = members.where("not hub").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     mixed = others.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
     others = materialize(others.join(mixed, "token", "left_semi").select("token", "fp", "n", "pos", "root"))
-    again = others.toDF("token", "fp2", "n2", "pos2", "root2")
-    across = others.join(again, "token").where((F.col("root") != F.col("root2")) & (F.col("fp") < F.col("fp2")) & _passes("n", "pos", "n2", "pos2"))
-    more = materialize(_verified(_pairs(across), classes, texts))
+    more = materialize(_verified(_pairs(_across(others)), classes, texts))
+    hubbed = roots.toDF("fp", "base")  # components by the hubs' links alone
     if not more.isEmpty():
         roots = materialize(connected_components(roots.toDF("a", "b").union(more)))
 
-    rooted = materialize(classes.select("fp", "id", "n", "rid", "times").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    rooted = classes.select("fp", "id", "n", "rid", "times").join(roots.withColumnRenamed("node", "fp"), "fp", "left").join(hubbed, "fp", "left")
+    rooted = materialize(rooted.withColumns({"root": F.coalesce("root", "fp"), "base": F.coalesce("base", "fp")}))
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    linked = materialize(_links_of(rooted, links.union(more), texts))
+    within = rooted.select("fp", "n", "rid", "times", F.col("base").alias("root"))
+    linked = materialize(_links_of(within, links.union(more), hubs.select("token", F.col("fp2").alias("fp")), texts, counters))
     named = rooted.join(least, "root").join(linked, "fp", "left")
     named = named.select("fp", "component_id", F.col("root").alias("component"), (F.col("times") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = per_doc.where("n > 0").join(named, "fp", "left").select("id", "n", "component_id", "n_links", "text_hash", "component")
