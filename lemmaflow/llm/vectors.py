@@ -96,14 +96,15 @@ def _packer(scale: int, shard: int, plant: Callable | None):
     return packed
 
 
-def packed(rows: DataFrame, scale: int, plant: Callable | None = None, shard: int = SHARD) -> DataFrame:
+def packed(rows: DataFrame, scale: int, plant: Callable | None = None, shard: int | None = None) -> DataFrame:
     """The rows (id: long, label: long, vector: array of doubles) in shards; written. ``plant``: order and index of a shard."""
-    return materialize(rows.select("id", "label", "vector").mapInArrow(_packer(scale, shard, plant), PACKED))
+    return materialize(rows.select("id", "label", "vector").mapInArrow(_packer(scale, shard or SHARD, plant), PACKED))
 
 
-def blocks_of_queries(rows: DataFrame, scale: int, block: int = SHARD) -> DataFrame:
+def blocks_of_queries(rows: DataFrame, scale: int, block: int | None = None) -> DataFrame:
     """Packed blocks of distinct queries, with a number for each (group), in slots numbered from 0; written."""
     queries = rows.select("id", "label", "vector").dropDuplicates()
+    block = block or SHARD
     n = max(1, -(-queries.count() // block))
     dealt = queries.repartition(n).mapInArrow(_packer(scale, block, None), PACKED)
     return materialize(dealt.select("*", F.monotonically_increasing_id().alias("group"), F.spark_partition_id().alias("slot")))
