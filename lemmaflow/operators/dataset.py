@@ -41,10 +41,14 @@ def proof_ids(messages: DataFrame, lines: DataFrame, outputs: DataFrame) -> Data
     return found.join(best, ["source", "rank"]).select("source", "clause_id")
 
 
-def run_outcomes(runs: DataFrame, messages: DataFrame, lines: DataFrame, outputs: DataFrame, simulated: bool = False) -> DataFrame:
-    """``runs`` with has_log, has_proof, has_szs and reason (null for a success). Simulated runs fail only without a proof."""
+def run_outcomes(runs: DataFrame, messages: DataFrame, lines: DataFrame, outputs: DataFrame, simulated: bool = False, strict: bool = False) -> DataFrame:
+    """``runs`` with has_log, has_proof, has_szs and reason (null for a success). Simulated runs fail only without a proof.
+
+    ``strict`` takes a log's status only where backslashes stand in it for spaces, as older datasets were made.
+    """
+    success = SUCCESS.replace("\\", "\\\\") if strict else SUCCESS
     said = lines.groupBy("source").agg(F.lit(True).alias("has_log"), F.bool_or(F.contains("raw", F.lit('"proof_out"'))).alias("has_proof"))
-    status = messages.where("tag = 'szs_result_out'").groupBy("source").agg(F.bool_or(F.coalesce("szs_status", F.lit("")).rlike(SUCCESS)).alias("log_szs"))
+    status = messages.where("tag = 'szs_result_out'").groupBy("source").agg(F.bool_or(F.coalesce("szs_status", F.lit("")).rlike(success)).alias("log_szs"))
     printed = outputs.select("source", (F.contains("text", F.lit("% " + START)) | F.col("text").rlike(r"%\s*" + SUCCESS)).alias("out_szs"))
     no = F.lit(False)
     joined = runs.join(said, "source", "left").join(status, "source", "left").join(printed, "source", "left")

@@ -82,30 +82,39 @@ def tail(ids: Column, n: Column) -> Column:
     return F.slice(ids, F.size(ids) - kept + 1, kept)
 
 
-def _outer(ids: Column) -> Column:
-    """The first and last quarter of a long sequence."""
-    quarter = F.greatest(F.lit(1), F.floor(F.size(ids) / 4).cast("int"))
-    return F.when(F.size(ids) > 2 * quarter, F.concat(head(ids, quarter), tail(ids, quarter))).otherwise(ids)
-
-
 def truncated_pair(whole: Column, query: Column, separator: Column, candidate: Column, most: Column) -> tuple[Column, Column]:
     """How a query and a candidate fit into ``most`` ids (full_fit, truncated, extreme_truncated), and the ids.
 
-    Space goes by the share of lengths; of pairs over three times too long, only the outer quarters compete.
+    Space goes by the share of lengths; of pairs over three times too long, only the outer quarters compete. Lengths are
+    settled first, so that each sequence is cut once: into a beginning and, for outer quarters, an end.
     """
+    none = F.lit(0)
+    clamp = lambda n, most: F.greatest(none, F.least(n, most))
+    share = lambda a, n: F.when(n > 0, a / n).otherwise(0.5)
     room, nq, nc = most - F.size(separator), F.size(query), F.size(candidate)
     total = nq + nc
-    share = lambda a, n: F.when(n > 0, a / n).otherwise(0.5)
     usual = F.least(F.greatest(F.lit(1), (room * share(nq, total)).cast("int")), nq, room - 1)
-    moderate = F.concat(head(query, usual), separator, head(candidate, room - usual))
-    oq, oc = _outer(query), _outer(candidate)
-    outer = F.size(oq) + F.size(oc)
-    part = (room * share(F.size(oq), outer)).cast("int")
-    long = F.when(outer > room, F.concat(head(oq, part), separator, head(oc, room - part))).otherwise(F.concat(oq, separator, oc))
+    long = total > 3 * most
+
+    def outer(n: Column) -> tuple[Column, Column]:
+        """Lengths of the beginning and the end that outer quarters leave."""
+        quarter = F.greatest(F.lit(1), F.floor(n / 4).cast("int"))
+        return F.when(n > 2 * quarter, quarter).otherwise(n), F.when(n > 2 * quarter, quarter).otherwise(none)
+
+    (q1, q2), (c1, c2) = outer(nq), outer(nc)
+    both = q1 + q2 + c1 + c2
+    part = F.when(both > room, (room * share(q1 + q2, both)).cast("int")).otherwise(q1 + q2)
+    rest = F.when(both > room, room - part).otherwise(c1 + c2)
+
+    def cut(ids: Column, n: Column, first: Column, last: Column, wanted: Column, plain: Column) -> tuple[Column, Column]:
+        begin = F.when(long, clamp(wanted, first)).otherwise(clamp(plain, n))
+        end = F.when(long, clamp(wanted - first, last)).otherwise(none)
+        return F.slice(ids, F.lit(1), begin), F.slice(ids, F.greatest(F.lit(1), n - last + 1), end)
+
     fits, tight = F.size(whole) <= most, room <= 2
     kind = F.when(fits, "full_fit").when(tight, "extreme_truncated").otherwise("truncated")
-    ids = F.when(fits, whole).when(tight, head(whole, most)).when(total > 3 * most, head(long, most)).otherwise(head(moderate, most))
-    return kind, ids
+    pieces = F.concat(*cut(query, nq, q1, q2, part, usual), separator, *cut(candidate, nc, c1, c2, rest, room - usual))
+    return kind, F.slice(F.when(fits | tight, whole).otherwise(pieces), F.lit(1), F.greatest(most, none))
 
 
 def truncation_counts(kinds: DataFrame, by: list[str]) -> DataFrame:

@@ -124,15 +124,15 @@ FRONTIER = """, g AS (SELECT problem, clause_id, row_number() OVER (PARTITION BY
       + greatest(0.0::DOUBLE, 5.0::DOUBLE - conj_dist) AS score FROM neg0)"""
 
 
-def _frontier(spark, sf_dir):
-    rows = clause_log(spark, sf_dir).where("is_given")
-    one = rows.select("problem", F.col("born").alias("msg_pos"), F.lit(0).alias("item_pos"), "clause_id")
+def _frontier(log):
+    one = log.where("is_given").select("problem", F.col("born").alias("msg_pos"), F.lit(0).alias("item_pos"), "clause_id")
     return labeling.last_given(one, 4)
 
 
 @query(CL + FRONTIER + " SELECT problem, clause_id, frontier, round(score, 6) AS score FROM neg")
 def neg_score(spark, sf_dir):
-    rows = labeling.scored_negatives(labelled(spark, sf_dir), _frontier(spark, sf_dir))
+    log = written_once(labelled(spark, sf_dir))
+    rows = labeling.scored_negatives(log, _frontier(log))
     return rows.select("problem", "clause_id", "frontier", F.round("score", 6).alias("score"))
 
 
@@ -187,7 +187,8 @@ SAMPLED = (
 
 
 def _sampled(spark, sf_dir):
-    return labeling.sample_negatives(labelled(spark, sf_dir), _frontier(spark, sf_dir), mult=1)
+    log = written_once(labelled(spark, sf_dir))
+    return labeling.sample_negatives(log, _frontier(log), mult=1)
 
 
 @query(CL + SAMPLED + " SELECT problem, clause_id, label, neg_bucket, part FROM every")

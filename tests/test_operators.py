@@ -1,9 +1,14 @@
 """Golden cases and properties of the operators."""
 
+import json
+import math
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
-from lemmaflow.functions import formula, text
-from lemmaflow.operators import caching, encoding, evaluation, labeling, ordering, requests, scoring
+from lemmaflow.functions import formula, scores, text
+from lemmaflow.operators import caching, dataset, encoding, evaluation, labeling, ordering, requests, scorers, scoring, symbols
 from lemmaflow.sources import messages, sinks
 
 
@@ -149,3 +154,94 @@ def test_attention_of_one_chunk_is_the_chunk(spark):
     rows = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [1.0, 0.0]), ("b", [0.0, 1.0])], "g string, vector array<double>")
     got = {r["g"]: r["vector"] for r in scoring.attend_chunks(rows, ["g"], F.array(F.lit(0.0), F.lit(0.0)), 2).collect()}
     assert got == {"a": [1.0, 2.0], "b": [0.5, 0.5]}
+
+
+def test_readers_of_files(spark, tmp_path):
+    (tmp_path / "s.jsonl").write_text('{"scores":[{"id":1,"score":0.5},{"id":2,"score":1}]}\n\n{"scores":[{"id":1,"score":0.25}]}\n')
+    assert sorted(map(tuple, messages.read_score_maps(spark, str(tmp_path / "s.jsonl")).collect())) == [(1, 0.25), (2, 1.0)]
+    (tmp_path / "p.jsonl").write_text('{"score":1.0}\n\n{bad\n{"score":2.0,"label":1.0}\n')
+    assert sorted(map(tuple, messages.read_jsonl(spark, str(tmp_path / "p.jsonl"), "score double, label double").collect()), key=str) == [(1.0, None), (2.0, 1.0)]
+    for name, whole in (("a.json", '[{"problem_name":"x","file_path":"x.p"},{"file_path":"y.p"}]'), ("b.json", '{"problems":[{"problem_name":"x","file_path":"x.p"},{"file_path":"y.p"}]}')):
+        (tmp_path / name).write_text(whole)
+        assert [(r["pos"], r["problem_name"], r["file_path"]) for r in messages.read_problems(spark, str(tmp_path / name)).orderBy("pos").collect()] == [(0, "x", "x.p"), (1, None, "y.p")]
+        assert messages.read_problems(spark, str(tmp_path / name), 1).count() == 1
+    (tmp_path / "c.json").write_text('{"other":1}')
+    with pytest.raises(Exception, match="neither a list"):
+        messages.read_problems(spark, str(tmp_path / "c.json")).collect()
+    (tmp_path / "run.log").write_text("% SZS status Theorem\n")
+    assert [(r["path"].rsplit("/")[-1], r["text"]) for r in messages.read_solver_logs(spark, str(tmp_path)).collect()] == [("run.log", "% SZS status Theorem\n")]
+
+
+def test_reports_as_json(spark):
+    rows = spark.createDataFrame([("b", 1), ("a", None)], "path string, n int")
+    told = json.loads(sinks.report_json(rows, spark.createDataFrame([(2,)], "count int")).first()["report"])
+    assert [r["path"] for r in told["rows"]] == ["a", "b"] and told["aggregate"] == {"count": 2}
+    metric = sinks.metrics_json(spark.createDataFrame([(1, None)], "k int, auc double")).first()["json"]
+    assert json.loads(metric) == {"k": 1, "auc": None} and "\n" in metric
+
+
+def test_outcomes_of_simulated_and_strict_runs(spark):
+    runs = spark.createDataFrame([("a", True, 1), ("b", False, 0), ("c", False, 1)], "source string, timed_out boolean, exit_code int")
+    raw = [("a", '{"tag":"proof_out"}'), ("b", '{"tag":"szs_result_out","szs_status":"SZS status Theorem"}'), ("c", '{"tag":"szs_result_out","szs_status":"SZS\\\\sstatus\\\\sTheorem\\\\b"}')]
+    lines = spark.createDataFrame([(s, 1, x) for s, x in raw], "source string, msg_pos int, raw string")
+    outputs = spark.createDataFrame([("a", "")], "source string, text string")
+
+    def reasons(**options):
+        got = dataset.run_outcomes(runs, messages.parse_messages(lines), lines, outputs, **options)
+        return {r["source"]: r["reason"] for r in got.collect()}
+
+    assert reasons() == {"a": "timeout", "b": None, "c": "iprover_error"}
+    assert reasons(strict=True) == {"a": "timeout", "b": "no_proof", "c": None}
+    assert reasons(simulated=True) == {"a": None, "b": None, "c": "no_proof"}
+
+
+def test_truncated_pairs_equal_the_plain_rule(spark):
+    def plain(q, sep, c, most):
+        def outer(x):
+            k = max(1, len(x) // 4)
+            return x[:k] + x[-k:] if len(x) > 2 * k else x
+
+        whole, room = q + sep + c, most - len(sep)
+        if len(whole) <= most:
+            return "full_fit", whole
+        if room <= 2:
+            return "extreme_truncated", whole[:most]
+        total = len(q) + len(c)
+        if total > 3 * most:
+            oq, oc = outer(q), outer(c)
+            if len(oq) + len(oc) > room:
+                part = int(room * (len(oq) / (len(oq) + len(oc))))
+                return "truncated", (oq[:part] + sep + oc[: room - part])[:most]
+            return "truncated", (oq + sep + oc)[:most]
+        n = min(max(1, int(room * (len(q) / total))), len(q), room - 1)
+        return "truncated", (q[:n] + sep + c[: room - n])[:most]
+
+    r = random.Random(3)
+    cases = [(list(range(r.randint(0, 40))), [-1] * r.randint(0, 3), list(range(100, 100 + r.choice([0, 1, 2, 9, 80, 300]))), r.randint(1, 60)) for _ in range(800)]
+    rows = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "i int, q array<int>, s array<int>, c array<int>, most int")
+    kind, ids = encoding.truncated_pair(F.concat("q", "s", "c"), F.col("q"), F.col("s"), F.col("c"), F.col("most"))
+    got = {x["i"]: (x["kind"], x["ids"]) for x in rows.select("i", kind.alias("kind"), ids.alias("ids")).collect()}
+    assert got == {k: plain(*c) for k, c in enumerate(cases)}
+
+
+def test_logprobs_projections_and_merges(spark):
+    df = spark.range(1)
+    assert df.select(scorers.mean_logprob(F.array(F.lit(-1.0), F.lit(-3.0), F.lit(-5.0)), F.array(F.lit(0), F.lit(1), F.lit(1)))).first()[0] == -4.0
+    assert df.select(scorers.mean_logprob(F.array(F.lit(-1.0)), F.array(F.lit(0)))).first()[0] == 0.0
+    a, b = F.array(F.lit(1.0), F.lit(2.0)), F.array(*[F.lit(float(k)) for k in range(4)])
+    want = sum(x * sum(k * math.sin(3 + 12.9898 * (k + 1) + 78.233 * (j + 1)) for k in range(4)) / 2 for j, x in enumerate((1.0, 2.0)))
+    for left, right in ((a, b), (b, a)):
+        assert abs(df.select(scores.dot_of_any(left, right, 3)).first()[0] - want) < 1e-9
+    merged = requests.merged(F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2")), F.create_map(F.lit("b"), F.lit("3")))
+    assert df.select(merged).first()[0] == {"a": "1", "b": "3"}
+
+
+def test_readable_documents(spark):
+    own = spark.createDataFrame([("x", 1, 0, "~p(a)|q(X,a)"), ("x", 2, 1000, "q(X,b)")], "batch string, key long, ord long, formula string")
+    clauses, numbers, conflicts = symbols.canonical_batch(own, own)
+    clauses = clauses.withColumn("role", F.when(F.col("ord") == 0, "conjecture").otherwise("context"))
+    targets = symbols.conjecture_targets(clauses.where("ord = 0").select("batch", "canonical"))
+    tags = symbols.tree_tags(clauses.where("ord > 0").select("batch", "key", "canonical"), targets)
+    text = symbols.readable(symbols.batch_documents(clauses, numbers, conflicts, targets, tags)).first()["text"]
+    assert text.split("\n\n")[1:] == ["Conjecture:\n  ID 1: ~P1(C1)|P2(V0,C1)", "Context clauses:\n  ID 2: P2(V0,C2)", "Candidate clauses:"]
+    assert "  P2/2 (kind=predicate, arity=2): q/2" in text
