@@ -120,14 +120,14 @@ def raw_log_clauses(spark, sf_dir):
 
 
 @query(
-    """SELECT event_id, epoch_us(ts) // 1000000 AS seconds, epoch_ms(ts) AS millis, strftime(ts, '%H:%M:%S') AS clock, strftime(ts, '%Y%m%d_%H%M%S') AS digits,
-      round((epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id))::DOUBLE / 1000000, 3) AS elapsed FROM events"""
+    """SELECT event_id, epoch_us(ts) // 1000000 AS seconds, epoch_us(ts) // 1000 AS millis, strftime(ts, '%H:%M:%S') AS clock, strftime(ts, '%Y%m%d_%H%M%S') AS digits,
+      (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id))::DOUBLE / 1000000 AS elapsed FROM events"""
 )
 def time_stamps(spark, sf_dir):
     """The forms of each event's time, and the seconds since the user's last one."""
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     before = F.lag(micros).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return _read(spark, sf_dir, "events").select("event_id", requests.stamps(F.col("ts")).alias("s"), F.round((micros - before) / 1000000, 3).alias("elapsed")).select("event_id", "s.*", "elapsed")
+    return _read(spark, sf_dir, "events").select("event_id", requests.stamps(F.col("ts")).alias("s"), ((micros - before) / 1000000).alias("elapsed")).select("event_id", "s.*", "elapsed")
 
 
 @query(
