@@ -144,6 +144,15 @@ _WHOLE = """SELECT vec_id, {label} AS label, list_transform(embedding, lambda x:
       WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
 _DOT = "list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i]))::BIGINT"
 ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+          ELSE list_distinct([array_to_string(w[i : i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM w),
+        t AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s),
+        links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY ALL HAVING 100 * count(*) >= 80 * (max(a.n) + max(b.n) - count(*))),
+        reach AS (SELECT doc_id, doc_id AS root FROM s UNION SELECT b, root FROM reach JOIN links ON a = doc_id AND root < b)
+        SELECT s.doc_id, len(s)::BIGINT AS n_shingles, (SELECT min(root) FROM reach WHERE reach.doc_id = s.doc_id) AS component_id,
+          (SELECT count(*) FROM links WHERE a = s.doc_id) AS n_links FROM s""",
     "op5_chat_formatting": """
         WITH own AS (
           SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
