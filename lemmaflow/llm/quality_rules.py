@@ -5,7 +5,7 @@ vector is estimated for each language and source. Three deterministic starts (me
 absolute deviations, with the correlations of tanh-transformed scores, and with the spatial sign covariance) take two
 concentration steps each: keep the ``support`` share of rows with the smallest distances, estimate mean and
 covariance from them, measure again. Of each group the start with the least determinant goes on until no group's
-determinant falls any more. Then each group's mean and covariance are averaged with those of all groups' kept rows,
+determinant falls by a hundredth any more, which ends, as determinants have a least value. Then each group's mean and covariance are averaged with those of all groups' kept rows,
 which count as ``prior`` rows; so a small group leans on the others and a large one on itself, by one rule at all sizes.
 
 A row is rejected where its squared Mahalanobis distance would be exceeded with ``probability`` under a log-normal
@@ -36,7 +36,6 @@ PAIRS = [(i, j) for i in range(K) for j in range(i, K)]
 FLOORS = [0.25, 0.05, 0.05, 0.05]
 MEANS = [f"m{i}" for i in range(K)]
 SPREAD = [f"c{i}{j}" for i, j in PAIRS]
-STEPS = 20
 
 
 def words_of(text: Column) -> Column:
@@ -173,7 +172,7 @@ def robust_distance(rows: DataFrame, groups: list[str], support: float = 0.75, p
         estimates = _concentrated(own, estimates, support)
     best = estimates.groupBy("g").agg(F.min(F.struct("log_det", "start")).alias("best"))
     estimates = estimates.join(best, "g").where(F.col("start") == F.col("best.start")).drop("best")
-    for _ in range(STEPS):
+    while True:
         after = _concentrated(own, estimates, support)
         fall = after.select("g", F.col("log_det").alias("now")).join(estimates.select("g", "log_det"), "g").agg(F.max(F.col("log_det") - F.col("now"))).first()[0]
         if fall is None or fall < 0.01:
