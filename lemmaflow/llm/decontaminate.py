@@ -46,6 +46,8 @@ RUN = 32
 CHUNK = 1 << 16
 BITS = 1 << 24
 FLAGS = 1 << 20
+#: Items that a text is tried against at once.
+LIST = 512
 MIX = np.uint64(0xFF51AFD7ED558CCD)
 _words = re.compile(r"\w+").findall
 
@@ -180,17 +182,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     flag = F.pmod(F.xxhash64("id"), F.lit(FLAGS)).cast("int")
     flags = found.select(flag.alias("flag")).distinct()  # FLAGS rows at most
     texts = read.withColumn("flag", flag).join(F.broadcast(flags), "flag", "left_semi").drop("flag")
-    wanted = found.join(items.select(F.col("id").alias("item"), F.col("text").alias("item_text")), "item")
+    # A text meets its items in lists of about LIST, so that it moves once for most documents.
+    lists = found.groupBy("id").agg(F.ceil(F.count(F.lit(1)) / LIST).cast("int").alias("lists"))
+    listed = found.join(lists, "id").join(items.select(F.col("id").alias("item"), F.col("text").alias("item_text")), "item")
+    listed = listed.withColumn("list", F.pmod(F.xxhash64("item"), F.col("lists")).cast("int"))
+    wanted = listed.groupBy("id", "list").agg(F.collect_list(F.struct("item", "item_text", "diagonals")).alias("wanted"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for key, item, text, item_text, d in zip(*(batch[x].to_pylist() for x in ("id", "item", "text", "item_text", "diagonals")), strict=True):
-                best = _best(word_hashes(text), word_hashes(item_text), d, stretch)
-                if best >= share:
-                    out.append((key, item, best))
+            for key, text, asked in zip(*(batch[x].to_pylist() for x in ("id", "text", "wanted")), strict=True):
+                words = word_hashes(text)
+                for one in asked:
+                    best = _best(words, word_hashes(one["item_text"]), one["diagonals"], stretch)
+                    if best >= share:
+                        out.append((key, one["item"], best))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["id", "item", "overlap"])
 
-    judged = wanted.join(texts, "id").mapInArrow(verify, "id long, item long, overlap double")
+    judged = wanted.join(texts, "id").select("id", "text", "wanted").mapInArrow(verify, "id long, item long, overlap double")
     judged = judged.groupBy("id", "item").agg(F.max("overlap").alias("overlap"))
     return judged.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.round("overlap", 6).alias("overlap"))
