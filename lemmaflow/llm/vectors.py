@@ -1,8 +1,9 @@
 """Integer vectors in shards, and jobs that meet every block of queries with every shard.
 
 Vectors are quantised to whole numbers and packed: a row of a packed table is a shard of at most SHARD vectors of one
-length, ordered by id. Blocks of queries are packed alike. A task of the grid holds one block and one shard at a time
-and keeps the best of each query; lists of several tasks are merged in a tree. So neither side is ever held whole.
+length, ordered by id. Queries are packed alike, in blocks of BLOCK, and dealt in slots of SLOT. A task of the grid holds
+one slot and one shard at a time and keeps the best of each query; lists of several tasks are merged in a tree. So
+neither side is ever held whole, and the shards are copied as often as there are slots.
 
 Scores are whole numbers of 64 bits; larger ones count as the largest or the smallest such number.
 """
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from lemmaflow.llm.common import materialize, release
 
 SHARD = 4096
+BLOCK = 1 << 14
+SLOT = 1 << 16
 #: A shard has at most so many components, whatever its vectors' length.
 COMPONENTS = 1 << 20
 #: Queries whose products with a shard are held at once.
@@ -101,12 +104,11 @@ def packed(rows: DataFrame, scale: int, plant: Callable | None = None, shard: in
     return materialize(rows.select("id", "label", "vector").mapInArrow(_packer(scale, shard or SHARD, plant), PACKED))
 
 
-def blocks_of_queries(rows: DataFrame, scale: int, block: int | None = None) -> DataFrame:
+def blocks_of_queries(rows: DataFrame, scale: int) -> DataFrame:
     """Packed blocks of distinct queries, with a number for each (group), in slots numbered from 0; written."""
     queries = rows.select("id", "label", "vector").dropDuplicates()
-    block = block or SHARD
-    n = max(1, -(-queries.count() // block))
-    dealt = queries.repartition(n).mapInArrow(_packer(scale, block, None), PACKED)
+    n = max(1, -(-queries.count() // SLOT))
+    dealt = queries.repartition(n).mapInArrow(_packer(scale, BLOCK, None), PACKED)
     return materialize(dealt.select("*", F.monotonically_increasing_id().alias("group"), F.spark_partition_id().alias("slot")))
 
 

@@ -59,7 +59,8 @@ def some_rows(seed, n=700, dim=6):
 
 @pytest.mark.parametrize(("seed", "shard"), [(1, 4096), (2, 64)])
 def test_searches_equal_all_pairs(spark, monkeypatch, seed, shard):
-    monkeypatch.setattr(vectors, "SHARD", shard)
+    for name, size in (("SHARD", shard), ("BLOCK", shard // 4), ("SLOT", shard // 2), ("TILE", shard // 8)):
+        monkeypatch.setattr(vectors, name, size)
     rows = some_rows(seed)
     df = spark.createDataFrame([(*x, "s", 1) for x in rows], ROWS).repartition(5)
     # Small shards and blocks make a grid of many tasks, whose lists are merged in a tree.
