@@ -172,7 +172,7 @@ def reliabilities(kinds: list[str], votes: np.ndarray, n: np.ndarray, rounds: in
 
     A kind's accuracies are averaged with those of all kinds, which count as ``weight`` votes.
     """
-    own = [np.array([k == x for k in kinds]) for x in KINDS]
+    own = [np.array([k == x for k in kinds], bool) for x in KINDS]
     of = np.array([KINDS.index(k) for k in kinds], int)
     accuracy, prior, p = np.full((len(KINDS), votes.shape[1]), 0.8), np.full(len(KINDS), 0.5), np.full(len(votes), 0.5)
     for _ in range(rounds):
