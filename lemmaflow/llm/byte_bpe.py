@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lemmaflow.llm.common import bounded_batches, release, unused
+from lemmaflow.llm.common import KEPT_IN_WORKER, bounded_batches, release, unused
 
 #: So many chunks (about), states and pairs of tokens are kept at most; then the tables start anew.
 KEPT, STATES, FOLLOWS = 150_000, 65_536, 131_072
@@ -298,7 +298,7 @@ class _Chunks:
         return out
 
 
-_loaded: dict[tuple, object] = {}
+_loaded: dict[tuple, object] = KEPT_IN_WORKER.setdefault("byte_bpe", {})
 
 
 def _once(key: tuple, make):
@@ -351,7 +351,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
         chunks = _chunks(content.value, pattern, chunk_pattern)
         for texts in batches:
             yield _ids(texts, chunks)
-            release()
+            release("byte_bpe")
 
     return docs.withColumn(ids_col, run(text_col))
 
@@ -365,7 +365,7 @@ def decode(docs: DataFrame, ranks_path: str, ids_col: str = "ids", text_col: str
         token = _once(("decode", hash(content.value)), lambda: {i: t for t, i in read_ranks(content.value).items()}).__getitem__
         for ids in batches:
             yield _texts(ids, token, step)
-            release()
+            release("byte_bpe")
 
     return docs.withColumn(text_col, run(ids_col))
 
@@ -380,7 +380,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "
         for texts in batches:
             ids = _ids(texts, chunks)
             yield pa.StructArray.from_arrays([ids, _texts(ids, chunks.machine.bytes_of.__getitem__, step)], names=["ids", "decoded"])
-            release()
+            release("byte_bpe")
 
     both = unused("both", docs)
     names = [c for c in docs.columns if c not in (ids_col, decoded_col)]

@@ -66,8 +66,18 @@ def text_of(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def release() -> None:
-    """Gives a Python worker's freed memory back to the system, as workers are kept for later stages."""
+#: What operators keep in a Python worker from task to task, by operator.
+KEPT_IN_WORKER: dict[str, dict] = {}
+
+
+def release(own: str = "") -> None:
+    """Gives a Python worker's freed memory back to the system, as workers are kept for later stages.
+
+    What other operators than ``own`` keep in the worker goes first: their stages are over.
+    """
+    for name, held in KEPT_IN_WORKER.items():
+        if name != own:
+            held.clear()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(AttributeError):  # another C library than glibc
         ctypes.CDLL(None).malloc_trim(0)
