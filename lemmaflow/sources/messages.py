@@ -5,6 +5,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lemmaflow.operators import ordering
+
 MESSAGE = (
     "tag string, clauses array<struct<clause_id:string,clause:string,clause_features:string>>, clause_ids array<string>,"
     " cause_ids array<string>, component string, component_id string, scores array<double>,"
@@ -125,5 +127,6 @@ def read_problems(spark: SparkSession, path: str, limit: int | None = None) -> D
 
 
 def read_solver_logs(spark: SparkSession, folder: str) -> DataFrame:
-    """path, text of each *.log in a folder."""
-    return spark.read.option("pathGlobFilter", "*.log").text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    """pos, path, text of each *.log in a folder, numbered in order of path."""
+    logs = spark.read.option("pathGlobFilter", "*.log").text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return ordering.positions(logs.select("path"), [F.col("path")], "pos").join(logs, "path").select("pos", "path", "text")

@@ -168,8 +168,10 @@ def test_readers_of_files(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"other":1}')
     with pytest.raises(Exception, match="neither a list"):
         messages.read_problems(spark, str(tmp_path / "c.json")).collect()
-    (tmp_path / "run.log").write_text("% SZS status Theorem\n")
-    assert [(r["path"].rsplit("/")[-1], r["text"]) for r in messages.read_solver_logs(spark, str(tmp_path)).collect()] == [("run.log", "% SZS status Theorem\n")]
+    for name in ("run.log", "b.log", "Z.log"):
+        (tmp_path / name).write_text(f"% SZS status {name}\n")
+    read = messages.read_solver_logs(spark, str(tmp_path)).orderBy("pos").collect()
+    assert [(r["pos"], r["path"].rsplit("/")[-1], r["text"]) for r in read] == [(k, n, f"% SZS status {n}\n") for k, n in enumerate(("Z.log", "b.log", "run.log"))]
 
 
 def test_reports_as_json(spark):
