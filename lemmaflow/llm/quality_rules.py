@@ -4,8 +4,8 @@ Text statistics give base rules; beside them, the minimum covariance determinant
 vector is estimated for each language and source. Three deterministic starts (medians with the diagonal of median
 absolute deviations, with the correlations of tanh-transformed scores, and with the spatial sign covariance) take two
 concentration steps each: keep the ``support`` share of rows with the smallest distances, estimate mean and
-covariance from them, measure again. Of each group the start with the least determinant goes on until no group's
-determinant falls by a hundredth any more, which ends, as determinants have a least value. Then each group's mean and covariance are averaged with those of all groups' kept rows,
+covariance from them, measure again. Of each group the start with the least determinant goes on for as long as a step
+lowers the determinant by a hundredth, which ends, as determinants have a least value. Then each group's mean and covariance are averaged with those of all groups' kept rows,
 which count as ``prior`` rows; so a small group leans on the others and a large one on itself, by one rule at all sizes.
 
 A row is rejected where its squared Mahalanobis distance would be exceeded with ``probability`` under a log-normal
@@ -172,12 +172,15 @@ def robust_distance(rows: DataFrame, groups: list[str], support: float = 0.75, p
         estimates = _concentrated(own, estimates, support)
     best = estimates.groupBy("g").agg(F.min(F.struct("log_det", "start")).alias("best"))
     estimates = estimates.join(best, "g").where(F.col("start") == F.col("best.start")).drop("best")
+    ended = []
     while True:
-        after = _concentrated(own, estimates, support)
-        fall = after.select("g", F.col("log_det").alias("now")).join(estimates.select("g", "log_det"), "g").agg(F.max(F.col("log_det") - F.col("now"))).first()[0]
-        if fall is None or fall < 0.01:
+        before = estimates.select("g", F.col("log_det").alias("before"))
+        fell = materialize(_concentrated(own, estimates, support).join(before, "g").where(F.col("before") - F.col("log_det") >= 0.01).drop("before"))
+        ended.append(estimates.join(fell, "g", "left_anti").select(fell.columns))
+        if fell.isEmpty():
             break
-        estimates = after
+        estimates = fell
+    estimates = materialize(reduce(DataFrame.union, ended))
     final = _prepared(_pooled(estimates, prior))
     measured = materialize(rows.join(final.select("g", *MEANS, *[f"w{i}{j}" for i in range(K) for j in range(i + 1)]), "g").select(*rows.columns, F.greatest(_distance(), F.lit(1e-6)).alias("d2")))
     quartiles = F.percentile_approx(F.log("d2"), F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75)]), F.lit(1000))

@@ -3,9 +3,11 @@
 import hashlib
 import random
 from pathlib import Path
+from statistics import NormalDist
 
 import brute
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -106,3 +108,91 @@ def test_sql_of_whole_tables(spark, name):
     columns = sorted(got.column_names)
     assert columns == sorted(want.column_names)
     assert sorted(map(repr, got.select(columns).to_pylist())) == sorted(map(repr, want.select(columns).to_pylist()))
+
+
+def lower(values, q):
+    """The smallest value that at least a share ``q`` of the values doesn't exceed."""
+    values = np.sort(values)
+    return values[max(int(np.ceil(q * len(values))) - 1, 0)]
+
+
+def verdicts(groups: dict, support=0.75, prior=10.0, probability=1e-3):
+    """Rows of each group (arrays of four statistics) to whether they stay: the stated method, with plain arrays."""
+    floors = np.array(quality_rules.FLOORS)
+
+    def factor(c):
+        low = np.zeros((4, 4))
+        for i in range(4):
+            for j in range(i + 1):
+                rest = c[i, j] - low[i, :j] @ low[j, :j]
+                low[i, j] = np.sqrt(max(rest, floors[i] / 10)) if i == j else rest / low[j, j]
+        return low
+
+    def distances(x, m, c):
+        return (np.linalg.solve(factor(c), (x - m).T) ** 2).sum(axis=0)
+
+    def log_det(c):
+        return 2 * np.log(np.diag(factor(c))).sum()
+
+    def step(x, m, c):
+        d2 = distances(x, m, c)
+        kept = x[d2 <= lower(d2, support)]
+        return kept.mean(axis=0), np.cov(kept.T, bias=True) + np.diag(floors), len(kept)
+
+    found = {}
+    for g, x in groups.items():
+        middle = np.array([lower(v, 0.5) for v in x.T])
+        scale = np.sqrt((np.array([lower(v, 0.5) for v in np.abs(x - middle).T]) * 1.4826) ** 2 + floors)
+        z = (x - middle) / scale
+        alike, norm = np.cov(np.tanh(z).T, bias=True), (z**2).sum(axis=1)
+        spread = np.sqrt(np.outer(np.diag(alike), np.diag(alike)))
+        alike = np.where(np.eye(4) > 0, 1.0, alike / np.maximum(spread, 1e-9))
+        signs = np.array([np.outer(a, a) / n if n > 0 else np.zeros((4, 4)) for a, n in zip(z, norm, strict=True)]).mean(axis=0)
+        starts = []
+        for k, c in enumerate((np.eye(4), alike, signs * 4 + 0.1 * np.eye(4))):
+            m, c, n = middle, c * np.outer(scale, scale), 0
+            for _ in range(2):
+                m, c, n = step(x, m, c)
+            starts.append((log_det(c), k, (m, c, n)))
+        best = min(starts, key=lambda s: s[:2])[2]
+        while log_det(best[1]) - log_det((after := step(x, *best[:2]))[1]) >= 0.01:
+            best = after
+        found[g] = best
+    total = sum(n for _, _, n in found.values())
+    centre = sum(n * m for m, _, n in found.values()) / total
+    whole = sum(n * (c + np.outer(m - centre, m - centre)) for m, c, n in found.values()) / total
+    d2 = {}
+    for g, (m, c, n) in found.items():
+        share = n / (n + prior)
+        d2[g] = np.log(np.maximum(distances(groups[g], share * m + (1 - share) * centre, share * c + (1 - share) * whole), 1e-6))
+    everyone = np.concatenate(list(d2.values()))
+    out = {}
+    for g, own in d2.items():
+        share = len(own) / (len(own) + prior)
+        q = [share * lower(own, p) + (1 - share) * lower(everyone, p) for p in (0.25, 0.5, 0.75)]
+        out[g] = own <= q[1] + NormalDist().inv_cdf(1 - probability) * (q[2] - q[0]) / (2 * quality_rules.QUARTILE)
+    return out
+
+
+def test_verdicts_equal_the_plain_method(spark):
+    r = random.Random(11)
+    word = lambda mean: "abcdefghij"[r.randrange(10)] * max(1, round(r.gauss(mean, 2)))
+    rows = []
+    for g, n, mean in (("a", 260, 6), ("b", 90, 4), ("c", 14, 5), (None, 3, 5)):
+        for _ in range(n):
+            odd = r.random() < 0.08
+            text = " ".join(word(15 if odd else mean) + (" #" * r.randrange(3) if odd else "") for _ in range(r.randint(12, 300)))
+            rows.append((len(rows), text.replace(" ", "\n", r.randrange(4)), "en", g))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {x["doc_id"]: x for x in quality_rules.quality_rules(docs).collect()}
+    groups, ids = {}, {}
+    for i, text, _, g in rows:
+        n, chars, symbols, dup, _, failed = brute.quality(text)
+        assert got[i]["base_failed"] == failed
+        if not failed:
+            lines = max(sum(1 for x in text.split("\n") if x.split()), 1)
+            groups.setdefault(g, []).append([np.log1p(n), chars / n, np.log1p(100 * symbols / n), np.log1p(10 * dup / lines)])
+            ids.setdefault(g, []).append(i)
+    want = {i: bool(k) for g, kept in verdicts({g: np.array(x) for g, x in groups.items()}).items() for i, k in zip(ids[g], kept, strict=True)}
+    assert {i: x["kept"] for i, x in got.items() if not x["base_failed"]} == want
+    assert 3 < sum(not k for k in want.values()) < 60
