@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lemmaflow.functions import formula as trees
+from lemmaflow.session import written_once
 
 SYMBOL = ["batch", "name", "arity"]
 
@@ -53,13 +54,15 @@ def canonical_batch(scope: DataFrame, used: DataFrame) -> tuple[DataFrame, DataF
 
     Clauses: batch, key, ord, canonical, variables (map name to V<n>), symbols (map of symbol key to its names), lit_count.
     """
-    # A clause of both is scanned once.
-    both = scope.select("batch", "key", F.col("ord").alias("scope_ord"), "formula").join(
-        used.select("batch", "key", F.col("ord").alias("used_ord"), F.col("formula").alias("used_formula")), ["batch", "key"], "full"
-    )
-    rows = both.select("batch", "key", "scope_ord", "used_ord", F.coalesce("formula", "used_formula").alias("formula"))
+    if scope is used:
+        rows = scope.select("batch", "key", F.col("ord").alias("scope_ord"), F.col("ord").alias("used_ord"), "formula")
+    else:  # a clause of both is scanned once
+        both = scope.select("batch", "key", F.col("ord").alias("scope_ord"), "formula").join(
+            used.select("batch", "key", F.col("ord").alias("used_ord"), F.col("formula").alias("used_formula")), ["batch", "key"], "full"
+        )
+        rows = both.select("batch", "key", "scope_ord", "used_ord", F.coalesce("formula", "used_formula").alias("formula"))
     kinds = occurrences(trees.formula_nodes(rows.where("scope_ord is not null").select("batch", "formula")))
-    tokens = trees.formula_tokens(rows)
+    tokens = written_once(trees.formula_tokens(rows))  # read by several branches
     symbols = _kinds(tokens, kinds)
     numbers = numbered(symbols.where("scope_ord is not null").withColumn("ord", F.col("scope_ord")), symbols.where("used_ord is not null").withColumn("ord", F.col("used_ord")))
     own = Window.partitionBy("batch", "key")
