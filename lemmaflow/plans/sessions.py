@@ -132,18 +132,18 @@ RELEASED = (
         CASE WHEN tag = 'values' OR (tag = 'start' AND (round + 1) % 3 <> 0) THEN pending END,
         tag = 'start' AND pending IS NOT NULL AND (round + 1) % 3 = 0,
         CASE WHEN tag IN ('request', 'end') THEN NULL WHEN tag = 'values' THEN m.born ELSE told END
-      FROM walk w JOIN m ON m.problem = w.problem AND m.born = w.born + 1),"""
+      FROM walk w JOIN m ON m.problem = w.problem AND m.born = w.born + 1)"""
 )
 
 
-@query(RELEASED + " x AS (SELECT 1) SELECT w.problem AS session, pending AS request_pos, w.born AS start_pos, round, array_to_string(ids, ',') AS ids FROM walk w JOIN m ON m.problem = w.problem AND m.born = pending WHERE asks")
+@query(RELEASED + " SELECT w.problem AS session, pending AS request_pos, w.born AS start_pos, round, array_to_string(ids, ',') AS ids FROM walk w JOIN m ON m.problem = w.problem AND m.born = pending WHERE asks")
 def sat_rounds(spark, sf_dir):
     return agent.sat_queries(spark, _ran(spark, sf_dir)).withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
 
 
 REQUESTS = (
     RELEASED
-    + f""" rel AS (SELECT w.problem, m.epoch, w.born AS release_pos, released AS request_pos, round, m.ids, s.ids AS sat_ids, s.k AS sat_k, m.problem * 100000 + released AS batch,
+    + f""", rel AS (SELECT w.problem, m.epoch, w.born AS release_pos, released AS request_pos, round, m.ids, s.ids AS sat_ids, s.k AS sat_k, m.problem * 100000 + released AS batch,
       first(released) OVER (PARTITION BY m.problem, m.epoch, m.ids, m.k % 2 = 0, CASE WHEN len(s.ids) > 0 THEN told END ORDER BY w.born) AS first_pos
       FROM walk w JOIN m ON m.problem = w.problem AND m.born = released LEFT JOIN m s ON s.problem = w.problem AND s.born = told WHERE released IS NOT NULL),
     fresh AS (SELECT * FROM rel WHERE first_pos = request_pos),

@@ -105,10 +105,6 @@ def run_agent(spark, rows, path, **options):
     agent.run_agent(spark, stream, path, lambda rows: 1.0 / (1 + F.col("conj_dist")), agent.Agent(2, **options))
 
 
-def told(pos, ids, values, session=1):
-    return (session, pos, ids, values)
-
-
 def test_rounds_ask_for_values_and_wait(spark):
     path = shared_path(spark)
     rows = [register(1, clause(1, 0, "tcf(c_1,plain,(p(c_1)),x)"), clause(2, 1, "tcf(c_2,plain,(p(c_2)),x)"), clause(3, 2), clause(4, 4), clause(5, 1))]
