@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lemmaflow.operators import ordering
+from lemmaflow.session import written_once
 
 
 def resolve_predictions(rows: DataFrame) -> DataFrame:
@@ -20,36 +21,38 @@ def resolve_predictions(rows: DataFrame) -> DataFrame:
     return rows.select(group.alias("group_id"), score.alias("score"), label.alias("label"), pos.alias("pos")).where("score is not null and label is not null")
 
 
-def _ranked(preds: DataFrame) -> DataFrame:
-    group = Window.partitionBy("group_id")
-    return preds.select(
-        "group_id",
-        "label",
-        F.row_number().over(group.orderBy(F.desc("score"), "pos")).alias("r"),
-        F.row_number().over(group.orderBy(F.desc("label"))).alias("ideal"),
-    )
+def ranking_metrics(preds: DataFrame, ks: list[int]) -> DataFrame:
+    """k, hit, recall, ndcg, mrr: means over groups. ``preds`` is read twice.
 
+    Only the best rows of a group that some k needs are ranked; ideal gains and positives come from counts by label.
+    """
+    group, most = Window.partitionBy("group_id"), max(ks)
+    gain, positive = F.pow(F.lit(2.0), F.col("label")) - 1, F.col("label") > 0
+    top = preds.select("group_id", "label", F.row_number().over(group.orderBy(F.desc("score"), "pos")).alias("r")).where(F.col("r") <= most)
+    counts = preds.groupBy("group_id", "label").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(group.orderBy(F.desc("label")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
-def ranking_metrics(preds: DataFrame, ks: list[int]) -> DataFrame:
-    """k, hit, recall, ndcg, mrr: means over groups. One shuffle by group; a group's rows fan out to no more than len(ks)."""
-    gain = F.pow(F.lit(2.0), F.col("label")) - 1
-    rows = _ranked(preds).withColumn("dcg", gain / F.log2(F.col("r") + 1.0)).withColumn("idcg", gain / F.log2(F.col("ideal") + 1.0))
-    positive = F.col("label") > 0
+    def ideal(k: int):
+        """The gains of a label's rows at ideal places up to k."""
+        places = F.sequence(F.col("before") + 1, F.least(F.col("before") + F.col("n"), F.lit(k)))
+        discounts = F.aggregate(places, F.lit(0.0), lambda t, r: t + 1.0 / F.log2(r + 1.0))
+        return F.when(F.col("before") < k, gain * discounts).otherwise(0.0).alias(f"ideal_{k}")
+
+    found = top.withColumn("dcg", gain / F.log2(F.col("r") + 1.0)).unionByName(counts.select("group_id", F.when(positive, F.col("n")).otherwise(0).alias("positives"), *map(ideal, ks)), allowMissingColumns=True)
 
     def per(k: int):
         inside = F.col("r") <= k
-        found = F.coalesce(F.sum(F.when(inside & positive, 1)), F.lit(0))
-        ideal = F.coalesce(F.sum(F.when(F.col("ideal") <= k, F.col("idcg"))), F.lit(0.0))
-        first = F.min(F.when(inside & positive, F.col("r")))
+        hits = F.coalesce(F.sum(F.when(inside & positive, 1)), F.lit(0))
+        best, first = F.coalesce(F.sum(f"ideal_{k}"), F.lit(0.0)), F.min(F.when(inside & positive, F.col("r")))
         return F.struct(
             F.lit(k).alias("k"),
-            F.when(found > 0, 1.0).otherwise(0.0).alias("hit"),
-            F.coalesce(F.try_divide(found, F.sum(F.when(positive, 1))), F.lit(0.0)).alias("recall"),
-            F.when(ideal > 0, F.coalesce(F.sum(F.when(inside, F.col("dcg"))), F.lit(0.0)) / ideal).otherwise(0.0).alias("ndcg"),
+            F.when(hits > 0, 1.0).otherwise(0.0).alias("hit"),
+            F.coalesce(F.try_divide(hits, F.sum("positives")), F.lit(0.0)).alias("recall"),
+            F.when(best > 0, F.coalesce(F.sum(F.when(inside, F.col("dcg"))), F.lit(0.0)) / best).otherwise(0.0).alias("ndcg"),
             F.coalesce(1.0 / first, F.lit(0.0)).alias("mrr"),
         )
 
-    groups = rows.groupBy("group_id").agg(F.array(*[per(k) for k in ks]).alias("each")).select(F.inline("each"))
+    groups = found.groupBy("group_id").agg(F.array(*[per(k) for k in ks]).alias("each")).select(F.inline("each"))
     return groups.groupBy("k").agg(*[F.avg(m).alias(m) for m in ("hit", "recall", "ndcg", "mrr")])
 
 
@@ -77,17 +80,23 @@ def auc_ap(preds: DataFrame) -> DataFrame:
 
 
 def rank_diagnostics(preds: DataFrame, ks: list[int]) -> DataFrame:
-    first = F.sum(F.when((F.col("r") == 1) & (F.col("label") > 0), 1.0).otherwise(0.0))
-    per = _ranked(preds).groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("label") > 0, 1).otherwise(0)).alias("p"), first.alias("first"))
-    groups = F.greatest(F.lit(1), F.count(F.lit(1)))
-    return per.agg(
-        F.count(F.lit(1)).alias("groups"),
-        F.sum("n").alias("candidates"),
-        F.sum("p").alias("positives"),
-        (F.sum("first") if 1 in ks else F.lit(0.0)).alias("hit_at_1"),
-        F.sum("first").alias("hit_at_1_pos"),
-        (F.sum("n") / groups).alias("avg_candidates"),
-        (F.sum("p") / groups).alias("avg_positives"),
+    """One row of counts and means. ``preds`` is read twice: for the counts and best score of each group, and for who has it."""
+    per = preds.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") > 0).alias("p"), F.max("score").alias("top"))
+    per = written_once(per)
+    best = per.select(F.col("group_id").alias("_group"), F.col("top").alias("_top"))
+    tops = preds.join(best, F.col("group_id").eqNullSafe(F.col("_group")) & F.col("score").eqNullSafe(F.col("_top")))
+    firsts = tops.groupBy("group_id").agg(F.min(F.struct("pos", "label"))["label"].alias("label"))
+    hits = firsts.agg(F.sum(F.when(F.col("label") > 0, 1.0).otherwise(0.0)).alias("first"))
+    groups = F.greatest(F.lit(1), F.col("groups"))
+    counts = per.agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("candidates"), F.sum("p").alias("positives"))
+    return counts.crossJoin(hits).select(
+        "groups",
+        "candidates",
+        "positives",
+        (F.col("first") if 1 in ks else F.lit(0.0)).alias("hit_at_1"),
+        F.col("first").alias("hit_at_1_pos"),
+        (F.col("candidates") / groups).alias("avg_candidates"),
+        (F.col("positives") / groups).alias("avg_positives"),
     )
 
 

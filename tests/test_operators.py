@@ -247,3 +247,43 @@ def test_readable_documents(spark):
     text = symbols.readable(symbols.batch_documents(clauses, numbers, conflicts, targets, tags)).first()["text"]
     assert text.split("\n\n")[1:] == ["Conjecture:\n  ID 1: ~P1(C1)|P2(V0,C1)", "Context clauses:\n  ID 2: P2(V0,C2)", "Candidate clauses:"]
     assert "  P2/2 (kind=predicate, arity=2): q/2" in text
+
+
+def test_dot_pairs_of_odd_vectors_on_all_cores(spark):
+    vectors = [[1.0, 2.0], None, [3.0], [0.5, None], [float("nan"), 1.0], [], [1e300, 1e300], [0.1, 0.2]]
+    rows = spark.createDataFrame(list(enumerate(vectors)) + [(k, [float(k), 0.5]) for k in range(8, 2000)], "id long, v array<double>")
+    queries = rows.where("id < 8").select(F.col("id").alias("q_id"), F.col("v").alias("q"))
+    met = scoring.dot_pairs(queries, rows, "q", "v", 1)
+    assert met.rdd.getNumPartitions() >= 7  # all queries are of one block
+    got = {(r.q_id, r.id): (r.score, r.rounded) for r in met.collect()}
+    assert len(got) == 8 * 2000
+    assert got[0, 0] == (5.0, 5.0) and got[7, 9] == (0.1 * 9.0 + 0.2 * 0.5, 1.0) and got[5, 5] == (0.0, 0.0) and got[6, 0] == (3e300, 3e300)
+    assert all(got[0, k] == (None, None) for k in (1, 2, 3, 5)) and all(v == (None, None) for (q, _), v in got.items() if q in (1, 3))
+    assert got[0, 4][0] != got[0, 4][0] and got[2, 2] == (9.0, 9.0) and got[2, 0] == (None, None)
+
+
+def test_ranking_metrics_rank_only_the_best(spark):
+    rows = [("g", (k * 37) % 101 / 50, float(k % 4 == 0) * (1 + k % 3), k) for k in range(300)] + [("h", 0.5, 0.0, 7), ("i", 1.0, 1.0, 2), ("i", 1.0, 0.0, 1)]
+    preds = spark.createDataFrame(rows, "group_id string, score double, label double, pos long")
+    plan = evaluation.ranking_metrics(preds, [1, 10])._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan
+    got = {r.k: r for r in evaluation.ranking_metrics(preds, [1, 10]).collect()}
+    want = {1: [0.0] * 4, 10: [0.0] * 4}
+    for g in "ghi":
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[3]))
+        best = sorted((r[2] for r in own), reverse=True)
+        dcg = lambda ls: sum((2**x - 1) / math.log2(i + 2) for i, x in enumerate(ls))
+        for k, sums in want.items():
+            head = [r[2] for r in own[:k]]
+            hits, n = sum(x > 0 for x in head), sum(x > 0 for x in best)
+            values = [float(hits > 0), hits / n if n else 0.0, dcg(head) / dcg(best[:k]) if n else 0.0, next((1 / (i + 1) for i, x in enumerate(head) if x > 0), 0.0)]
+            want[k] = [a + b / 3 for a, b in zip(sums, values, strict=True)]
+    for k, values in want.items():
+        assert all(abs(a - b) < 1e-9 for a, b in zip(got[k][1:], values, strict=True))
+
+
+def test_rank_diagnostics_without_a_window(spark):
+    rows = [("g", 2.0, 0.0, 5), ("g", 2.0, 1.0, 3), ("g", 1.0, 1.0, 1), ("h", 1.0, 0.0, 1), ("h", 0.0, 1.0, 2)]
+    told = evaluation.rank_diagnostics(spark.createDataFrame(rows, "group_id string, score double, label double, pos long"), [1])
+    assert "Window" not in told._jdf.queryExecution().toString()
+    assert list(told.first()) == [2, 5, 3, 1.0, 1.0, 2.5, 1.5]
