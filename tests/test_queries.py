@@ -30,6 +30,15 @@ def test_same_rows(spark, duck, name):
     assert got == want
 
 
+def test_static_tokens_of_texts_without_tokens(spark, tmp_path):
+    rows = list(enumerate(["", "\u0434\u043e\u043c", None, ":$", " ", "a:$i b"]))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.QUERIES["static_tokens"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, got)) == sorted(con.sql(registry.ORACLES["static_tokens"]).fetchall())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
