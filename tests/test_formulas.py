@@ -1,5 +1,6 @@
 """Formula trees, tokens and reading of raw logs on cases that trip up simple scanners."""
 
+import pyarrow as pa
 import pytest
 
 from lemmaflow.functions import formula as trees
@@ -110,3 +111,17 @@ def test_scorer_modes(spark):
     assert [r["score"] for r in both.orderBy("pos").collect()] == [2.0, 1.0, -3.0]
     with pytest.raises(ValueError, match="no scorer mode"):
         scorers.load_scorer("other")
+
+
+def test_formulas_that_repeat_are_read_once(spark, tmp_path):
+    log = tmp_path / "read"
+
+    def of(text):
+        with log.open("a") as f:
+            f.write(text + "\n")
+        return [(k, c) for k, c in enumerate(text)]
+
+    rows = spark.createDataFrame([(1, "ab"), (2, None), (3, "ab"), (4, "c"), (5, "")], "id long, f string").coalesce(1)
+    got = trees.token_table(rows, "f", {"n": pa.int32(), "c": pa.string()}, of).collect()
+    assert [tuple(r) for r in got] == [(1, 0, "a"), (1, 1, "b"), (3, 0, "a"), (3, 1, "b"), (4, 0, "c")]
+    assert sorted(log.read_text().split("\n")) == ["", "", "ab", "c"]
