@@ -37,8 +37,147 @@ def missing(value) -> bool:
     return value is None or value != value  # NaN
 
 
+#: Entries of a map state that are kept as one list; more go to the map itself.
+RECENT = 1024
+
+
+class Value:
+    """A value state that is read once and written once in a call."""
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str, schema: str):
+        self.state = handle.getValueState(name, schema)
+
+    def begin(self) -> None:
+        self.read = self.changed = False
+
+    def get(self) -> tuple | None:
+        if not self.read:
+            self.read, self.own = True, self.state.get() if self.state.exists() else None
+        return self.own
+
+    def exists(self) -> bool:
+        return self.get() is not None
+
+    def update(self, value: tuple | None) -> None:
+        self.read, self.changed, self.own = True, True, value
+
+    def clear(self) -> None:
+        self.update(None)
+
+    def flush(self) -> None:
+        if self.changed and self.own is not None:
+            self.state.update(self.own)
+        elif self.changed and self.state.exists():
+            self.state.clear()
+
+
+class Several(Value):
+    """The same of a list state."""
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str, schema: str):
+        self.state = handle.getListState(name, schema)
+
+    def get(self) -> list | None:
+        if not self.read:
+            self.read, self.own = True, list(self.state.get()) or None if self.state.exists() else None
+        return self.own
+
+    def put(self, values: list) -> None:
+        self.update(values or None)
+
+    def appendValue(self, value: tuple) -> None:
+        self.update([*(self.get() or []), value])
+
+    def flush(self) -> None:
+        if self.changed and self.own is not None:
+            self.state.put(self.own)
+        elif self.changed and self.state.exists():
+            self.state.clear()
+
+
+class Map:
+    """A map state. What changed lately is a list beside it, of RECENT entries at most, which a call reads and writes whole.
+
+    So a small session's entries cost two exchanges with the state store a call, and a large one's only those it names.
+    """
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str, key: str, value: str):
+        self.state = handle.getMapState(name, key, value)
+        self.list = handle.getListState(f"{name}_recent", f"{key}, {value}, gone boolean")
+        self.keys_of, self.width = len(key.split(", ")), len(value.split(", "))
+
+    def begin(self) -> None:
+        self.read = self.changed = self.dropped = False
+        self.below: bool | None = None
+
+    def _recent(self) -> dict:
+        if not self.read:
+            rows = [tuple(r) for r in self.list.get()] if self.list.exists() else []
+            self.own = {r[: self.keys_of]: None if r[-1] else r[self.keys_of : -1] for r in rows}
+            self.read = True
+        return self.own
+
+    def _below(self) -> bool:
+        """Whether the map itself holds anything."""
+        if self.below is None:
+            self.below = self.state.exists()
+        return self.below
+
+    def getValue(self, key: tuple) -> tuple | None:
+        own = self._recent()
+        if key in own:
+            return own[key]
+        return self.state.getValue(key) if self._below() and self.state.containsKey(key) else None
+
+    def containsKey(self, key: tuple) -> bool:
+        return self.getValue(key) is not None
+
+    def updateValue(self, key: tuple, value: tuple | None) -> None:
+        self._recent()[key] = value
+        self.changed = True
+
+    def removeKey(self, key: tuple) -> None:
+        self.updateValue(key, None)
+
+    def iterator(self):
+        own = self._recent()
+        yield from ((k, v) for k, v in own.items() if v is not None)
+        if self._below():
+            yield from ((tuple(k), v) for k, v in self.state.iterator() if tuple(k) not in own)
+
+    def keys(self):
+        return (k for k, _ in self.iterator())
+
+    def clear(self) -> None:
+        self.dropped |= self._below()
+        self.own, self.read, self.changed, self.below = {}, True, True, False
+
+    def flush(self) -> None:
+        if self.dropped:
+            self.state.clear()
+        if not self.changed:
+            return
+        if len(self.own) > RECENT:
+            for key, value in self.own.items():
+                if value is not None:
+                    self.state.updateValue(key, value)
+                elif self._below() and self.state.containsKey(key):
+                    self.state.removeKey(key)
+            self.own = {}
+        elif not self._below():
+            self.own = {k: v for k, v in self.own.items() if v is not None}
+        if self.own:
+            none = (None,) * self.width
+            self.list.put([(*k, *(none if v is None else v), v is None) for k, v in self.own.items()])
+        elif self.list.exists():
+            self.list.clear()
+
+
 class Processor(StatefulProcessor):
-    """Messages in order of pos; all state of a session goes when it ends, or when nothing came for ``idle_ms``."""
+    """Messages in order of pos; all state of a session goes when it ends, or when nothing came for ``idle_ms``.
+
+    ``states`` are Value, Several and Map: they meet the state store when a call begins to use them and when it ends.
+    """
 
     def __init__(self, idle_ms: int | None = None):
         self.idle_ms = idle_ms
@@ -59,6 +198,8 @@ class Processor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         out: list[dict] = []
+        for state in self.held:
+            state.begin()
         # Arrival order is the only clock: a session's rows of one batch are put in order of pos.
         batch = pd.concat(list(rows)).sort_values("pos", kind="stable")
         for row in batch.to_dict("records"):
@@ -66,6 +207,8 @@ class Processor(StatefulProcessor):
                 self.clear()
             else:
                 out += self.message(int(key[0]), row)
+        for state in self.held:
+            state.flush()
         if self.idle_ms is not None:
             for (due,) in list(self.handle.listTimers()):
                 self.handle.deleteTimer(due)
@@ -73,7 +216,11 @@ class Processor(StatefulProcessor):
         yield pd.DataFrame([[row.get(c) for c in self.names] for row in out], columns=self.names, dtype=object)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        for state in self.held:
+            state.begin()
         self.clear()
+        for state in self.held:
+            state.flush()
         return iter(())
 
 
@@ -83,7 +230,7 @@ def by_distance(conjecture: str, texts: list[str], distances: list[int | None])
 
 
 class Session(Processor):
-    """Map state for clauses and scores, so that a batch touches only what it names."""
+    """Maps for clauses and scores, so that a batch of a large session touches only what it names."""
 
     names = [x.split()[0] for x in OUT.split(", ")]
 
@@ -92,10 +239,10 @@ class Session(Processor):
         self.single_slot, self.fallback, self.require_conjecture, self.score = single_slot, fallback, require_conjecture, score
 
     def states(self, handle: StatefulProcessorHandle) -> list:
-        self.clauses = handle.getMapState("clauses", "clause_id long", "text string, conj_dist int")
-        self.scored = handle.getMapState("scored", "clause_id long, text_hash string", "score double")
-        self.waiting = handle.getListState("waiting", "pos long, ids array<long>")
-        self.conjecture = handle.getValueState("conjecture", "clause_id long, text string")
+        self.clauses = Map(handle, "clauses", "clause_id long", "text string, conj_dist int")
+        self.scored = Map(handle, "scored", "clause_id long, text_hash string", "score double")
+        self.waiting = Several(handle, "waiting", "pos long, ids array<long>")
+        self.conjecture = Value(handle, "conjecture", "clause_id long, text string")
         return [self.clauses, self.scored, self.waiting, self.conjecture]
 
     def message(self, session: int, row: dict) -> list[dict]:

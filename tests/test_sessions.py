@@ -1,5 +1,7 @@
 """Scoring sessions and whole requests: rules that need more than one message or batch."""
 
+import pytest
+import random
 import shutil
 import time
 
@@ -144,3 +146,89 @@ def test_a_failing_scorer_falls_back(spark):
     low, high = 0.7, 1.7  # an unknown clause, and one of distance 1 that is a horn unit
     assert got["is_fallback"] and got["n_selected"] == 2
     assert [round(s, 6) for s in got["scores"]] == [1.0, round((2 / 6 + 0.7 - low) / (high - low), 6), 0.0]
+
+
+class _Store:
+    """A state store that counts what is asked of it."""
+
+    def __init__(self):
+        self.maps, self.lists, self.calls = {}, {}, 0
+
+    def getMapState(self, name, key, value):
+        return _MapState(self, self.maps.setdefault(name, {}))
+
+    def getListState(self, name, schema):
+        return _ListState(self, self.lists.setdefault(name, []))
+
+
+class _MapState:
+    def __init__(self, store, own):
+        self.store, self.own = store, own
+
+    def __getattribute__(self, name):
+        if name not in ("store", "own"):
+            self.store.calls += 1
+        return object.__getattribute__(self, name)
+
+    def exists(self):
+        return bool(self.own)
+
+    def containsKey(self, k):
+        return k in self.own
+
+    def getValue(self, k):
+        return self.own[k]
+
+    def updateValue(self, k, v):
+        self.own[k] = v
+
+    def removeKey(self, k):
+        del self.own[k]
+
+    def iterator(self):
+        return iter(list(self.own.items()))
+
+    def clear(self):
+        self.own.clear()
+
+
+class _ListState(_MapState):
+    def get(self):
+        return iter(list(self.own))
+
+    def put(self, values):
+        self.own[:] = values
+
+
+@pytest.mark.parametrize("recent", [0, 3, 1000])
+def test_map_states_over_many_calls(monkeypatch, recent):
+    monkeypatch.setattr(sessions, "RECENT", recent)
+    rng, store, want = random.Random(recent), _Store(), {}
+    for _ in range(400):
+        state = sessions.Map(store, "m", "k long", "v long, w string")
+        state.begin()
+        for _ in range(rng.randrange(6)):
+            key, act = (rng.randrange(9),), rng.random()
+            if act < 0.5:
+                want[key] = (rng.randrange(100), "x")
+                state.updateValue(key, want[key])
+            elif act < 0.7 and key in want:
+                del want[key]
+                state.removeKey(key)
+            elif act > 0.97:
+                want.clear()
+                state.clear()
+            assert state.containsKey(key) == (key in want) and state.getValue(key) == want.get(key)
+        assert dict(state.iterator()) == want and set(state.keys()) == set(want)
+        state.flush()
+
+
+def test_a_small_session_meets_the_store_a_few_times():
+    store = _Store()
+    state = sessions.Map(store, "m", "k long", "v long")
+    state.begin()
+    for k in range(500):
+        state.updateValue((k,), (k,))
+        assert state.containsKey((k,)) and not state.containsKey((k + 500,))
+    state.flush()
+    assert store.calls <= 5
