@@ -150,6 +150,30 @@ def test_kept_scores_equal_new_ones(spark, tmp_path):
     assert all(r["score"] == 2 * r["x"] for one in rounds for r in one.rows.collect())
 
 
+def test_kept_scores_as_lists(spark, tmp_path):
+    vectors = {n: [float(n % 5), float(n % 3 - 1), 0.0001234567 * n] for n in range(60)} | {7: None, 11: [1.0], 13: [1.0, None, 2.0]}
+    of = lambda ids, key: spark.createDataFrame([(n, vectors[n], n % 4) for n in ids], f"{key} long, vector array<double>, label int")
+    second = F.round(2.0 * F.col("dot") + F.col("label"), 6)
+    kept, topped = set(), set()
+    for number, asked, met in ((1, range(0, 20), range(0, 60, 2)), (2, range(5, 30), range(0, 60, 3)), (3, range(30), range(0, 60, 6))):
+        rows, counts = caching.two_stages_of_blocks(of(asked, "query_id").drop("label"), of(met, "id"), second, 4, 3, 6, str(tmp_path), number)
+        got = {(r["query_id"], r["id"]): r["final"] for r in rows.collect()}
+        dots = {}
+        for q in asked:
+            for i in met:
+                x, y = vectors[q], vectors[i]
+                whole = x and y and len(x) == len(y) and None not in x + y
+                dots[q, i] = sum(a * b for a, b in zip(x, y, strict=True)) if whole else None
+        top = {(q, i) for q in asked for i in sorted(met, key=lambda i: (dots[q, i] is None, -round(dots[q, i] or 0, 6), i))[:4]}
+        assert got.keys() == dots.keys()
+        for (q, i), x in dots.items():
+            want = None if x is None else 2.0 * x + i % 4 if (q, i) in top else x
+            assert got[q, i] is None if want is None else abs(got[q, i] - want) < 1e-6
+        assert sorted(tuple(r)[1:4] for r in counts.collect()) == [("first", len(dots), len(kept & dots.keys())), ("second", len(top), len(topped & top))]
+        kept |= dots.keys()
+        topped |= top
+
+
 def test_attention_of_one_chunk_is_the_chunk(spark):
     rows = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [1.0, 0.0]), ("b", [0.0, 1.0])], "g string, vector array<double>")
     got = {r["g"]: r["vector"] for r in scoring.attend_chunks(rows, ["g"], F.array(F.lit(0.0), F.lit(0.0)), 2).collect()}
