@@ -23,7 +23,7 @@ from lemmaflow.functions import scores, text
 from lemmaflow.operators import scoring, symbols
 from lemmaflow.session import written_once
 from lemmaflow.sources.sinks import read_once, write_once
-from lemmaflow.streaming.sessions import Map, Processor, Value, missing, start
+from lemmaflow.streaming.sessions import Held, Map, Processor, Value, missing, start
 
 OUT = (
     "session bigint, request_pos bigint, release_pos bigint, kind string, round bigint, ids array<bigint>, supports array<double>,"
@@ -43,15 +43,15 @@ class Agent(Processor):
         super().__init__(idle_ms)
         self.context, self.sat_every, self.sat_in_key = context, sat_every, sat_in_key
 
-    def states(self, handle: StatefulProcessorHandle) -> list:
-        self.clauses = Map(handle, "clauses", "clause_id long", "place long, text string, conj_dist int, horn boolean")
-        self.places = Map(handle, "places", "place long", "clause_id long")
-        self.goals = Map(handle, "goals", "place long", "clause_id long")  # clauses of distance 0
-        self.count = Value(handle, "count", "n long")
-        self.pending = Value(handle, "pending", "pos long, ids array<long>, component string, component_id long")
-        self.rounds = Value(handle, "rounds", "n long")
-        self.values = Map(handle, "values", "clause_id long", "truths array<boolean>")
-        self.answered = Map(handle, "answered", "request string", "pos long")
+    def states(self, handle: StatefulProcessorHandle, held: Held) -> list:
+        self.clauses = Map(handle, "clauses", "clause_id long", "place long, text string, conj_dist int, horn boolean", held)
+        self.places = Map(handle, "places", "place long", "clause_id long", held)
+        self.goals = Map(handle, "goals", "place long", "clause_id long", held)  # clauses of distance 0
+        self.count = Value(held, "count")  # n
+        self.pending = Value(held, "pending")  # pos, ids, component, component_id
+        self.rounds = Value(held, "rounds")  # n
+        self.values = Map(handle, "values", "clause_id long", "truths array<boolean>", held)
+        self.answered = Map(handle, "answered", "request string", "pos long", held)
         return [self.clauses, self.places, self.goals, self.count, self.pending, self.rounds, self.values, self.answered]
 
     def message(self, session: int, row: dict) -> list[dict]:

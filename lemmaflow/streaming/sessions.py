@@ -11,10 +11,10 @@ one, or is answered by zeros if a conjecture is required.
 """
 
 import hashlib
+import json
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -37,50 +37,88 @@ def missing(value) -> bool:
     return value is None or value != value  # NaN
 
 
-#: Entries of a map state that are kept as one list; more go to the map itself.
+#: Entries of a map state that are kept beside it; more go to the map itself.
 RECENT = 1024
 
 
-class Value:
-    """A value state that is read once and written once in a call."""
+class Held:
+    """What a session's states hold, by name, as one value: a call reads it once and writes it once."""
 
-    def __init__(self, handle: StatefulProcessorHandle, name: str, schema: str):
-        self.state = handle.getValueState(name, schema)
+    def __init__(self, handle: StatefulProcessorHandle):
+        self.state = handle.getValueState("held", "held string")
 
     def begin(self) -> None:
         self.read = self.changed = False
 
-    def get(self) -> tuple | None:
+    def _all(self) -> dict:
         if not self.read:
-            self.read, self.own = True, self.state.get() if self.state.exists() else None
+            got = self.state.get()
+            self.read, self.there, self.own = True, got is not None, json.loads(got[0]) if got is not None else {}
         return self.own
 
+    def get(self, name: str) -> list | None:
+        return self._all().get(name)
+
+    def put(self, name: str, value: list | tuple | None) -> None:
+        self._all()[name] = value
+        self.changed = True
+
+    def flush(self) -> None:
+        if not self.changed:
+            return
+        own = {k: v for k, v in self.own.items() if v is not None}
+        if own:
+            self.state.update((json.dumps(own),))
+        elif self.there:
+            self.state.clear()
+
+
+class Alone:
+    """The same of one map that no other state stands beside: a list state."""
+
+    def __init__(self, handle: StatefulProcessorHandle, state, name: str, key: str, value: str):
+        self.state, self.list = state, handle.getListState(f"{name}_recent", f"{key}, {value}, gone boolean")
+        self.keys_of, self.width = len(key.split(", ")), len(value.split(", "))
+
+    def get(self, name: str) -> tuple[bool, list]:
+        rows = [tuple(r) for r in self.list.get()] if self.list.exists() else []
+        return self.state.exists(), [(r[: self.keys_of], None if r[-1] else r[self.keys_of : -1]) for r in rows]
+
+    def put(self, name: str, value: list | None) -> None:
+        none = (None,) * self.width
+        if value and value[1]:
+            self.list.put([(*k, *(none if v is None else v), v is None) for k, v in value[1]])
+        elif self.list.exists():
+            self.list.clear()
+
+
+class Value:
+    """A row of a session, or none."""
+
+    def __init__(self, held: Held, name: str):
+        self.held, self.name = held, name
+
+    def begin(self) -> None:
+        pass
+
+    def get(self) -> list | tuple | None:
+        return self.held.get(self.name)
+
     def exists(self) -> bool:
         return self.get() is not None
 
     def update(self, value: tuple | None) -> None:
-        self.read, self.changed, self.own = True, True, value
+        self.held.put(self.name, value)
 
     def clear(self) -> None:
         self.update(None)
 
     def flush(self) -> None:
-        if self.changed and self.own is not None:
-            self.state.update(self.own)
-        elif self.changed and self.state.exists():
-            self.state.clear()
+        pass
 
 
 class Several(Value):
-    """The same of a list state."""
-
-    def __init__(self, handle: StatefulProcessorHandle, name: str, schema: str):
-        self.state = handle.getListState(name, schema)
-
-    def get(self) -> list | None:
-        if not self.read:
-            self.read, self.own = True, list(self.state.get()) or None if self.state.exists() else None
-        return self.own
+    """A list of rows."""
 
     def put(self, values: list) -> None:
         self.update(values or None)
@@ -88,46 +126,32 @@ class Several(Value):
     def appendValue(self, value: tuple) -> None:
         self.update([*(self.get() or []), value])
 
-    def flush(self) -> None:
-        if self.changed and self.own is not None:
-            self.state.put(self.own)
-        elif self.changed and self.state.exists():
-            self.state.clear()
-
 
 class Map:
-    """A map state. What changed lately is a list beside it, of RECENT entries at most, which a call reads and writes whole.
+    """A map state. What changed lately is held beside it, RECENT entries at most.
 
-    So a small session's entries cost two exchanges with the state store a call, and a large one's only those it names.
+    So a small session's entries need no exchange of their own with the state store, and a large one's only those it names.
     """
 
-    def __init__(self, handle: StatefulProcessorHandle, name: str, key: str, value: str):
+    def __init__(self, handle: StatefulProcessorHandle, name: str, key: str, value: str, held: Held | None = None):
         self.state = handle.getMapState(name, key, value)
-        self.list = handle.getListState(f"{name}_recent", f"{key}, {value}, gone boolean")
-        self.keys_of, self.width = len(key.split(", ")), len(value.split(", "))
+        self.held, self.name = held or Alone(handle, self.state, name, key, value), name
 
     def begin(self) -> None:
         self.read = self.changed = self.dropped = False
-        self.below: bool | None = None
 
     def _recent(self) -> dict:
         if not self.read:
-            rows = [tuple(r) for r in self.list.get()] if self.list.exists() else []
-            self.own = {r[: self.keys_of]: None if r[-1] else r[self.keys_of : -1] for r in rows}
+            self.below, rows = self.held.get(self.name) or (False, [])  # below: whether the map itself holds anything
+            self.own = {tuple(k): None if v is None else tuple(v) for k, v in rows}
             self.read = True
         return self.own
 
-    def _below(self) -> bool:
-        """Whether the map itself holds anything."""
-        if self.below is None:
-            self.below = self.state.exists()
-        return self.below
-
     def getValue(self, key: tuple) -> tuple | None:
         own = self._recent()
         if key in own:
             return own[key]
-        return self.state.getValue(key) if self._below() and self.state.containsKey(key) else None
+        return self.state.getValue(key) if self.below and self.state.containsKey(key) else None
 
     def containsKey(self, key: tuple) -> bool:
         return self.getValue(key) is not None
@@ -142,15 +166,16 @@ class Map:
     def iterator(self):
         own = self._recent()
         yield from ((k, v) for k, v in own.items() if v is not None)
-        if self._below():
+        if self.below:
             yield from ((tuple(k), v) for k, v in self.state.iterator() if tuple(k) not in own)
 
     def keys(self):
         return (k for k, _ in self.iterator())
 
     def clear(self) -> None:
-        self.dropped |= self._below()
-        self.own, self.read, self.changed, self.below = {}, True, True, False
+        self._recent()
+        self.dropped |= self.below
+        self.own, self.changed, self.below = {}, True, False
 
     def flush(self) -> None:
         if self.dropped:
@@ -161,66 +186,66 @@ class Map:
             for key, value in self.own.items():
                 if value is not None:
                     self.state.updateValue(key, value)
-                elif self._below() and self.state.containsKey(key):
+                elif self.below and self.state.containsKey(key):
                     self.state.removeKey(key)
-            self.own = {}
-        elif not self._below():
+            self.own, self.below = {}, self.below or any(v is not None for v in self.own.values())
+        elif not self.below:
             self.own = {k: v for k, v in self.own.items() if v is not None}
-        if self.own:
-            none = (None,) * self.width
-            self.list.put([(*k, *(none if v is None else v), v is None) for k, v in self.own.items()])
-        elif self.list.exists():
-            self.list.clear()
+        self.held.put(self.name, [self.below, list(self.own.items())] if self.own or self.below else None)
 
 
 class Processor(StatefulProcessor):
     """Messages in order of pos; all state of a session goes when it ends, or when nothing came for ``idle_ms``.
 
-    ``states`` are Value, Several and Map: they meet the state store when a call begins to use them and when it ends.
+    ``states`` are Value, Several and Map: they meet the state store when a call begins to use them and when it ends, all
+    but the entries of large maps in one exchange.
     """
 
     def __init__(self, idle_ms: int | None = None):
         self.idle_ms = idle_ms
 
-    def states(self, handle: StatefulProcessorHandle) -> list:
+    def states(self, handle: StatefulProcessorHandle, held: Held) -> list:
         raise NotImplementedError
 
     def message(self, session: int, row: dict) -> list[dict]:
         raise NotImplementedError
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = self.states(handle)
+        self.handle, self.whole = handle, Held(handle)
+        self.held = self.states(handle, self.whole)
 
     def clear(self) -> None:
         for state in self.held:
             state.clear()
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out: list[dict] = []
-        for state in self.held:
+    def begin(self) -> None:
+        for state in (self.whole, *self.held):
             state.begin()
+
+    def flush(self) -> None:
+        for state in (*self.held, self.whole):
+            state.flush()
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        out: list[dict] = []
+        self.begin()
         # Arrival order is the only clock: a session's rows of one batch are put in order of pos.
-        batch = pd.concat(list(rows)).sort_values("pos", kind="stable")
-        for row in batch.to_dict("records"):
+        for row in sorted((json.loads(row["message"]) for row in rows), key=lambda row: row["pos"]):
             if ends_session(row["tag"], row["status"]):
                 self.clear()
             else:
                 out += self.message(int(key[0]), row)
-        for state in self.held:
-            state.flush()
+        self.flush()
         if self.idle_ms is not None:
             for (due,) in list(self.handle.listTimers()):
                 self.handle.deleteTimer(due)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        yield pd.DataFrame([[row.get(c) for c in self.names] for row in out], columns=self.names, dtype=object)
+        return (Row(**{c: row.get(c) for c in self.names}) for row in out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        for state in self.held:
-            state.begin()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.begin()
         self.clear()
-        for state in self.held:
-            state.flush()
+        self.flush()
         return iter(())
 
 
@@ -238,11 +263,11 @@ class Session(Processor):
         super().__init__(idle_ms)
         self.single_slot, self.fallback, self.require_conjecture, self.score = single_slot, fallback, require_conjecture, score
 
-    def states(self, handle: StatefulProcessorHandle) -> list:
-        self.clauses = Map(handle, "clauses", "clause_id long", "text string, conj_dist int")
-        self.scored = Map(handle, "scored", "clause_id long, text_hash string", "score double")
-        self.waiting = Several(handle, "waiting", "pos long, ids array<long>")
-        self.conjecture = Value(handle, "conjecture", "clause_id long, text string")
+    def states(self, handle: StatefulProcessorHandle, held: Held) -> list:
+        self.clauses = Map(handle, "clauses", "clause_id long", "text string, conj_dist int", held)
+        self.scored = Map(handle, "scored", "clause_id long, text_hash string", "score double", held)
+        self.waiting = Several(held, "waiting")  # pos, ids
+        self.conjecture = Value(held, "conjecture")  # clause_id, text
         return [self.clauses, self.scored, self.waiting, self.conjecture]
 
     def message(self, session: int, row: dict) -> list[dict]:
@@ -297,7 +322,10 @@ class Session(Processor):
 def answer_sessions(messages: DataFrame, processor: StatefulProcessor | None = None, out: str = OUT) -> DataFrame:
     """messages (streaming): the columns of MESSAGE."""
     processor = processor or Session()
-    return messages.groupBy("session").transformWithStateInPandas(processor, out, "Append", "None" if processor.idle_ms is None else "ProcessingTime")
+    # Spark reads a group's rows cell by cell, so a message is one cell.
+    rest = [c for c in messages.columns if c != "session"]
+    whole = messages.select("session", F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}).alias("message"))
+    return whole.groupBy("session").transformWithState(processor, out, "Append", "None" if processor.idle_ms is None else "ProcessingTime")
 
 
 def start(spark: SparkSession, messages: DataFrame, path: str, processor: StatefulProcessor, out: str, sink: Callable | None = None):

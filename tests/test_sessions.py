@@ -1,6 +1,7 @@
 """Scoring sessions and whole requests: rules that need more than one message or batch."""
 
 import pytest
+import json
 import random
 import shutil
 import time
@@ -232,3 +233,25 @@ def test_a_small_session_meets_the_store_a_few_times():
         assert state.containsKey((k,)) and not state.containsKey((k + 500,))
     state.flush()
     assert store.calls <= 5
+
+
+def test_all_states_of_a_session_are_read_and_written_at_once():
+    class Value(_MapState):
+        def get(self):
+            return self.own.get("held")
+
+        def update(self, row):
+            self.own["held"] = row
+
+    store, one = _Store(), {}
+    store.getValueState = lambda name, schema: Value(store, one)
+    for pos in range(0, 30, 3):
+        session = sessions.Session()
+        session.init(store)
+        store.calls = 0
+        clause = dict(clause_id=pos, text="p(\u00e4)", conj_dist=None, bare=False)
+        told = [dict(pos=pos, tag="register_clauses", clauses=[clause], status=None), dict(pos=pos + 1, tag="scores_req", ids=[0, pos], status=None), dict(pos=pos + 2, tag="server_queries_start", status=None)]
+        (got,) = session.handleInputRows((1,), iter([{"message": json.dumps(m)} for m in reversed(told)]), None)
+        assert store.calls == 2 and got["n_missing"] == 0 and got["conjecture"] == 0 and got["n_hits"] == (pos > 0)
+    told = {"message": json.dumps(dict(pos=99, tag="timeout", status=None))}
+    assert not list(session.handleInputRows((1,), iter([told]), None)) and not one
