@@ -39,23 +39,20 @@ def dynamic_vocabulary(tokens: DataFrame) -> DataFrame:
     return ordering.positions(first, [F.col("first")], "id").select("token", "n", (F.col("id") + 2).alias("id"))
 
 
-def encode_dynamic(rows: DataFrame, key: str, column: str = "text", share: int = 1000) -> DataFrame:
+def encode_dynamic(rows: DataFrame, key: str, column: str = "text", share: int = 50_000) -> DataFrame:
     """key, ids: of each text's tokens in order, with ids by arrival over all texts in order of key.
 
-    Tokens that make up more than one ``share``-th of all are split: each of their rows goes to one of several copies of
-    the token's id. There are at most ``share`` of them, so they are known to all tasks.
+    Tokens that make up more than one ``share``-th of all get their ids where they stand. There are less than ``share`` of
+    them, so they are known to all tasks; only the others move to their ids.
     """
     tokens = spaced_tokens(rows, key, column)
     words = written_once(dynamic_vocabulary(tokens))
     total = words.agg(F.sum("n").alias("total"))
-    least = F.greatest(F.lit(1), F.ceil(F.col("total") / share))
-    parts = F.ceil(F.col("n") / least).cast("int").alias("parts")
-    dealt = words.crossJoin(F.broadcast(total)).select("token", "id", parts)  # one row
-    frequent = F.broadcast(dealt.where("parts > 1").select("token", "parts"))  # share rows at most
-    copies = dealt.select("token", "id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("copy"))
-    own = tokens.join(frequent, "token", "left").select(key, "i", "token", F.coalesce(F.pmod(F.xxhash64(key, "i"), F.col("parts")), F.lit(0)).cast("int").alias("copy"))
-    met = own.join(copies, ["token", "copy"])
-    return met.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "id"))), lambda x: x["id"]).alias("ids"))
+    dealt = words.crossJoin(F.broadcast(total)).select("token", "id", (F.col("n") * share > F.col("total")).alias("often"))  # one row
+    frequent = F.broadcast(dealt.where("often").select("token", "id"))  # less than share rows
+    near = tokens.join(frequent, "token").select(key, "i", "id")
+    far = tokens.join(frequent, "token", "left_anti").join(dealt.where("not often").select("token", "id"), "token").select(key, "i", "id")
+    return near.union(far).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "id"))), lambda x: x["id"]).alias("ids"))
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:

@@ -150,6 +150,19 @@ def test_kept_scores_equal_new_ones(spark, tmp_path):
     assert all(r["score"] == 2 * r["x"] for one in rounds for r in one.rows.collect())
 
 
+def test_frequent_tokens_dont_move_to_their_ids(spark):
+    texts = [(1, "a b a  a c"), (0, "c a\td a"), (2, None), (3, ""), (4, "a a a a e b")]
+    rows = spark.createDataFrame(texts, "k long, text string")
+    ids, want = {}, {}
+    for k, text_ in sorted(texts):
+        if text_ is not None:
+            want[k] = [ids.setdefault(t, len(ids) + 2) for t in text_.split() or [""]]
+    for share in (1, 4, 50_000):
+        coded = encoding.encode_dynamic(rows, "k", share=share)
+        assert {r["k"]: r["ids"] for r in coded.collect()} == want
+    assert "explode(sequence" not in coded._jdf.queryExecution().optimizedPlan().toString()  # no copies of ids
+
+
 def test_kept_scores_as_lists(spark, tmp_path):
     vectors = {n: [float(n % 5), float(n % 3 - 1), 0.0001234567 * n] for n in range(60)} | {7: None, 11: [1.0], 13: [1.0, None, 2.0]}
     of = lambda ids, key: spark.createDataFrame([(n, vectors[n], n % 4) for n in ids], f"{key} long, vector array<double>, label int")
