@@ -148,16 +148,18 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_a_batch_is_selected_in_one_pass(spark):
-    rows = [(1, 10, 1, 3), (1, 11, 2, 0), (1, 12, 3, 0), (1, 13, 4, None), (1, 14, 5, 1), (2, 10, 1, 5), (2, 11, 2, 5), (3, 10, 7, 0)]
-    clauses = spark.createDataFrame(rows, "problem long, clause_id long, ord long, conj_dist int")
-    requested = spark.createDataFrame([(1, 14, 9), (1, 12, 4), (1, 14, 2), (1, 11, 1), (2, 11, None), (2, 99, 1)], "problem long, clause_id long, pos int")
-    got = scoring.select_batch(clauses, requested, 1, 2)
-    assert _plan(got).count("Scan ") == 2  # the clauses and the requests, each read once
-    want = [(1, 10, "context", 1), (1, 11, "conjecture", 1), (1, 12, "candidate", 2), (1, 14, "candidate", 1), (2, 10, "context", 1), (2, 11, "candidate", 1), (3, 10, "conjecture", 1)]
-    assert sorted(map(tuple, got.collect())) == want
-    marked = clauses.withColumns({"asked": F.col("ord") > 2, "pos": F.col("ord")})
-    assert _plan(scoring.with_roles(marked)).count("Exchange") == 1
+def test_roles_of_a_batch_are_those_of_its_requests_in_one_shuffle(spark):
+    rows = [(1, 10, 1, 3, None), (1, 11, 2, 0, 1), (1, 12, 3, 0, 4), (1, 13, 4, None, None), (1, 14, 5, 1, 2), (2, None, 1, 0, None), (2, 11, 2, 5, 1), (2, 12, 3, 0, None), (2, 13, 4, 1, None), (3, 10, 7, 0, None)]
+    clauses = spark.createDataFrame(rows, "problem long, clause_id long, ord long, conj_dist int, pos int").withColumn("asked", F.col("pos").isNotNull())
+    got = scoring.with_roles(clauses, 1, 2)
+    assert _plan(got).count("Exchange") == 1 and _plan(got).count("Scan ") == 1
+    taken = got.where("role is not null").select("problem", "clause_id", "role", "rank")
+    want = {(1, 10, "context", 1), (1, 11, "conjecture", 1), (1, 12, "candidate", 2), (1, 14, "candidate", 1), (2, None, "context", 1), (2, 11, "candidate", 1), (2, 12, "conjecture", 1), (3, 10, "conjecture", 1)}
+    assert got.count() == len(rows) and set(map(tuple, taken.collect())) == want
+    named = clauses.where("clause_id is not null")
+    selected = scoring.select_batch(named.drop("pos", "asked"), named.where("asked").select("problem", "clause_id", "pos"), 1, 2)
+    again = scoring.with_roles(named, 1, 2).where("role is not null").select("problem", "clause_id", "role", "rank")
+    assert sorted(map(tuple, selected.collect())) == sorted(map(tuple, again.collect()))
 
 
 def test_targets_and_conflicts_are_told_without_reading_clauses_again(spark):

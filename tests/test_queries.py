@@ -4,6 +4,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lemmaflow.plans import registry
@@ -39,6 +40,16 @@ def test_static_tokens_of_texts_without_tokens(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(con.sql(registry.ORACLES["static_tokens"]).fetchall())
 
 
+@pytest.mark.parametrize("name", ["batch_documents", "batch_symbol_map", "tree_tags"])
+def test_batches_of_events_without_user(spark, tmp_path, name):
+    events = spark.read.parquet(str(DATA / "events.parquet"))
+    events.withColumn("user_id", F.when(F.col("event_id") % 9 != 4, F.col("user_id"))).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got, want = registry.QUERIES[name](spark, str(tmp_path)).toArrow(), con.sql(registry.ORACLES[name]).to_arrow_table()
+    assert sorted(map(repr, got.select(want.column_names).to_pylist())) == sorted(map(repr, want.to_pylist()))
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
