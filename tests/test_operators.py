@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lemmaflow.functions import formula, scores, text
 from lemmaflow.operators import caching, dataset, encoding, evaluation, labeling, ordering, requests, scorers, scoring, symbols
+from lemmaflow.plans import registry
 from lemmaflow.sources import messages, sinks
 
 
@@ -324,3 +325,50 @@ def test_rank_diagnostics_without_a_window(spark):
     told = evaluation.rank_diagnostics(spark.createDataFrame(rows, "group_id string, score double, label double, pos long"), [1])
     assert "Window" not in told._jdf.queryExecution().toString()
     assert list(told.first()) == [2, 5, 3, 1.0, 1.0, 2.5, 1.5]
+
+
+def of_all(spark, name, vectors, ids):
+    return spark.createDataFrame([(i, vectors[i % len(vectors)], None if i % 6 == 5 else i % 3) for i in ids], f"{name} long, vector array<double>, label int")
+
+
+ODD_VECTORS = [[1.0, 2.0], None, [3.0], [0.5, None], [float("nan"), 1.0], [0.0, -0.0], [1e300, 1e300], [0.1, 0.2], [-0.3, 0.25], [float("inf"), 1.0]]
+
+
+def plain_order(q, rows, vectors, digits=6):
+    """(score, id) of all rows for a vector, best first, as SQL sorts: NaN, numbers, nulls; then by id."""
+    told = []
+    for i in rows:
+        x, y = q, vectors[i % len(vectors)]
+        whole = x is not None and y is not None and len(x) == len(y) and None not in x + y
+        dot = sum(a * b for a, b in zip(x, y, strict=True)) if whole else None
+        score = dot if dot is None or not math.isfinite(dot) else round(dot, digits) + 0.0
+        told.append((2 if dot is None else 0 if dot != dot else 1, -score if dot is not None and dot == dot else 0.0, i, dot))
+    return [(dot, i) for _, _, i, dot in sorted(told, key=lambda t: t[:3])]
+
+
+def test_ranks_of_all_pairs_without_a_shuffle_of_pairs(spark):
+    ids = [*range(40), 7, 7]  # ids that repeat, in rows and queries
+    queries = of_all(spark, "q_id", ODD_VECTORS, [*range(12), 3]).withColumnRenamed("vector", "q").drop("label")
+    rows = of_all(spark, "id", ODD_VECTORS, ids)
+    for sizes in ({}, {"held": 100}, {"block": 1}):
+        met = scoring.dot_ranks(queries, rows, "q_id", "id", "q", "vector", 6, 5, **sizes)
+        got = {}
+        for r in met.collect():
+            got.setdefault(r.q_id, []).append(r)
+        assert len(got) == 12
+        for q, own in got.items():
+            want = plain_order(ODD_VECTORS[q % 10], ids * (2 if q == 3 else 1), ODD_VECTORS)
+            own.sort(key=lambda r: r.rank)
+            assert [r.rank for r in own] == list(range(1, len(want) + 1)) and [r.id for r in own] == [i for _, i in want]
+            for r, (dot, i) in zip(own, want, strict=True):
+                assert r.label == (None if i % 6 == 5 else i % 3) and (r.score is None) == (dot is None)
+                assert (r.exact is None) == (dot is None or r.rank > 5) and (r.exact is None or dot != dot or r.exact == dot)
+                assert dot is None or dot != dot or abs(dot) > 1e300 or r.score == round(dot, 6)
+    for empty in (queries.limit(0), rows.limit(0)):
+        sides = (empty, rows) if "q" in empty.columns else (queries, empty)
+        assert scoring.dot_ranks(*sides, "q_id", "id", "q", "vector", 6, 5).count() == 0
+
+
+def test_two_stage_rerank_shuffles_rows_and_no_pairs(spark):
+    plan = registry.QUERIES["two_stage_rerank"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.index("MapInArrow meet") < plan.index("Repartition")  # the pairs' rows are made last
