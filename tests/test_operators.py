@@ -372,3 +372,47 @@ def test_ranks_of_all_pairs_without_a_shuffle_of_pairs(spark):
 def test_two_stage_rerank_shuffles_rows_and_no_pairs(spark):
     plan = registry.QUERIES["two_stage_rerank"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and plan.index("MapInArrow meet") < plan.index("Repartition")  # the pairs' rows are made last
+
+
+def plain_rounds(queries, rounds, k):
+    """{(round, q): [(id, dot, best)]} of ids that repeat, and STAGE's counts; hits are of pairs that earlier rounds had."""
+    told, counts, kept, topped = {}, [], set(), set()
+    for number, ids in rounds.items():
+        pairs, tops, n = set(), set(), [0] * 4
+        for q in sorted(set(queries)):
+            own = [(i, dot, at < k) for at, (dot, i) in enumerate(plain_order(ODD_VECTORS[q % 10], ids * queries.count(q), ODD_VECTORS))]
+            told[number, q] = own
+            for i, _, best in own:
+                n = [n[0] + 1, n[1] + ((q, i) in kept), n[2] + best, n[3] + (best and (q, i) in topped)]
+            pairs |= {(q, i) for i, _, _ in own}
+            tops |= {(q, i) for i, _, best in own if best}
+        counts += [(number, "first", n[0], n[1], n[0]), (number, "second", n[2], n[3], n[2])] if n[0] else []
+        kept |= pairs
+        topped |= tops
+    return told, sorted(counts)
+
+
+def test_rounds_of_blocks_without_kept_files(spark):
+    ids, queries = [*range(1, 60), 8, 8, 9], [*range(10), 3]
+    asked = of_all(spark, "query_id", ODD_VECTORS, queries).drop("label")
+    rows = of_all(spark, "id", ODD_VECTORS, ids)
+    conditions = {1: (lambda i: i % 3 != 0, "id % 3 <> 0"), 2: (lambda i: i % 2 == 0, "id % 2 = 0"), 3: (lambda i: i > 99, "id > 99"), 4: (lambda i: i % 6 == 2, "id % 6 = 2")}
+    want, _ = plain_rounds(queries, {n: [i for i in ids if f(i)] for n, (f, _) in conditions.items()}, 4)
+    got = {}
+    met = caching.rounds_of_blocks(asked, rows, {n: sql for n, (_, sql) in conditions.items()}, F.round(2.0 * F.col("dot") + F.col("label"), 6), 4, 6)
+    assert "Window" not in met._jdf.queryExecution().optimizedPlan().toString()
+    for r in met.collect():
+        got.setdefault((r["round"], r.query_id), []).append((r.id, r.final))
+    assert {k: len(v) for k, v in got.items()} == {k: len(v) for k, v in want.items() if v}
+    text_of = lambda rows: sorted((i, "null" if x is None else f"{x:.5g}") for i, x in rows)
+    for key, own in got.items():
+        second = lambda i, dot: None if dot is None or i % 6 == 5 else 2.0 * dot + i % 3
+        assert text_of(own) == text_of([(i, second(i, dot) if best else dot) for i, dot, best in want[key]])
+
+
+def test_cached_rerank_keeps_no_pairs_in_files(spark, monkeypatch):
+    for writes in ("write_once", "read_once"):
+        monkeypatch.setattr(caching, writes, lambda *_: pytest.fail("scores of all pairs are kept in files"))
+    rows = registry.QUERIES["cached_rerank"](spark, "/root/testdata/sf0.001")
+    assert rows.count() == 5830
+    assert "Join LeftOuter" not in rows._jdf.queryExecution().optimizedPlan().toString()
