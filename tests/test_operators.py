@@ -416,3 +416,21 @@ def test_cached_rerank_keeps_no_pairs_in_files(spark, monkeypatch):
     rows = registry.QUERIES["cached_rerank"](spark, "/root/testdata/sf0.001")
     assert rows.count() == 5830
     assert "Join LeftOuter" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_stages_of_blocks_without_kept_files(spark):
+    ids, queries = [*range(1, 60), 8, 8, 9], [*range(10), 3]
+    asked = of_all(spark, "query_id", ODD_VECTORS, queries).drop("label")
+    rows = of_all(spark, "id", ODD_VECTORS, ids)
+    conditions = {5: (lambda i: i % 3 != 0, "id % 3 <> 0"), 2: (lambda i: i % 2 == 0, "id % 2 = 0"), 3: (lambda i: i > 99, "id > 99"), 4: (lambda i: i % 6 == 2, "id % 6 = 2")}
+    _, want = plain_rounds(queries, {n: [i for i in ids if f(i)] for n, (f, _) in conditions.items()}, 4)
+    told = caching.stages_of_blocks(asked, rows, {n: sql for n, (_, sql) in conditions.items()}, 4, 6)
+    assert sorted(map(tuple, told.collect())) == want
+    assert caching.stages_of_blocks(asked, rows.limit(0), {1: "id > 0"}, 4, 6).count() == 0
+
+
+def test_stage_counts_keep_no_pairs_in_files(spark, monkeypatch):
+    for writes in ("write_once", "read_once"):
+        monkeypatch.setattr(caching, writes, lambda *_: pytest.fail("scores of all pairs are kept in files"))
+    told = registry.QUERIES["stage_counts"](spark, "/root/testdata/sf0.001")
+    assert {(r["round"], r["stage"]): r["candidates"] for r in told.collect()} == {(1, "first"): 3330, (1, "second"): 320, (2, "first"): 2500, (2, "second"): 320}
