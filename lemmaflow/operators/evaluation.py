@@ -26,10 +26,15 @@ def ranking_metrics(preds: DataFrame, ks: list[int]) -> DataFrame:
 
     Only the best rows of a group that some k needs are ranked; ideal gains and positives come from counts by label.
     """
-    group, most = Window.partitionBy("group_id"), max(ks)
+    rank = F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc("score"), "pos"))
+    top = preds.select("group_id", "label", rank.alias("r")).where(F.col("r") <= max(ks))
+    return metrics_of(top, preds.groupBy("group_id", "label").agg(F.count(F.lit(1)).alias("n")), ks)
+
+
+def metrics_of(top: DataFrame, counts: DataFrame, ks: list[int]) -> DataFrame:
+    """``ranking_metrics`` of the best rows of each group (group_id, label, r) and the number of rows by label (group_id, label, n)."""
+    group = Window.partitionBy("group_id")
     gain, positive = F.pow(F.lit(2.0), F.col("label")) - 1, F.col("label") > 0
-    top = preds.select("group_id", "label", F.row_number().over(group.orderBy(F.desc("score"), "pos")).alias("r")).where(F.col("r") <= most)
-    counts = preds.groupBy("group_id", "label").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.withColumn("before", F.coalesce(F.sum("n").over(group.orderBy(F.desc("label")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
     def ideal(k: int):

@@ -434,3 +434,25 @@ def test_stage_counts_keep_no_pairs_in_files(spark, monkeypatch):
         monkeypatch.setattr(caching, writes, lambda *_: pytest.fail("scores of all pairs are kept in files"))
     told = registry.QUERIES["stage_counts"](spark, "/root/testdata/sf0.001")
     assert {(r["round"], r["stage"]): r["candidates"] for r in told.collect()} == {(1, "first"): 3330, (1, "second"): 320, (2, "first"): 2500, (2, "second"): 320}
+
+
+def test_gains_of_all_pairs_equal_those_of_rows(spark):
+    ids = [*range(40), 7, None]
+    rows = spark.createDataFrame([(i, ODD_VECTORS[(i or 0) % 10], None if (i or 0) % 6 == 5 else (i or 0) % 3, 1 + i % 4 if i else None) for i in ids], "id long, vector array<double>, label int, gain long")
+    queries = rows.where("id < 12").select(F.col("id").alias("query_id"), "vector", "label")
+    pairs = scoring.dot_pairs(queries.withColumnsRenamed({"vector": "q", "label": "q_label"}), rows, "q", "vector", 6)
+    label = F.when(F.col("label") == F.col("q_label"), F.col("gain")).otherwise(0)
+    preds = evaluation.resolve_predictions(pairs.select(F.col("query_id").alias("group_id"), F.col("rounded").alias("score"), label.alias("label"), F.col("id").alias("pos")).where("pos is not null"))
+    told = scoring.dot_gains(queries, rows.where("id is not null"), 9, 6, block=3)
+    assert sorted(told.where("n > 0").select(F.col("group_id").cast("string"), "label", "n").collect()) == sorted(preds.groupBy("group_id", "label").count().collect())
+    got = evaluation.metrics_of(told.where("r > 0"), told.where("n > 0"), [1, 3, 9]).collect()
+    want = evaluation.ranking_metrics(preds, [1, 3, 9]).collect()
+    for a, b in zip(sorted(got), sorted(want), strict=True):
+        assert all(abs(x - y) < 1e-9 for x, y in zip(a, b, strict=True))
+    gainless = scoring.dot_gains(queries, rows.where("id is null or id = 0"), 9, 6).where("n > 0").collect()
+    assert {r.group_id: (r.label, r.n) for r in gainless if r.group_id in (7, 9)} == {7: (0.0, 4)}  # two queries 7; 9 has their label, but they no gain
+
+
+def test_ranking_metrics_of_searches_make_no_row_of_a_pair(spark):
+    plan = registry.QUERIES["ranking_metrics"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "WindowGroupLimit" not in plan  # what it reads are a few rows for each query
